@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vec import V, clamp, cross, dot, ratio, settle, v
+from .vec import settle, v
 
 SUMS = ("sx", "sy", "sz", "sxx", "sxy", "sxz", "syy", "syz", "szz")
 
@@ -28,37 +28,32 @@ def merge_aggs() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("n", *SUMS)]
 
 
-SCRATCH = [*("_" + k + a for k in "uwt" for a in ("", *"xyz")), "_q", "_p", "_phi"]
-COV = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+EIGEN = ["mx", "my", "mz", "l0", "l1", "l2", "ex", "ey", "ez"]
+SURFEL = ["mx", "my", "mz", "l0", "l1", "l2", "curv", "curv2", "nx", "ny", "nz", "stable"]
 
 
 def _eigen_steps(df: DataFrame) -> DataFrame:
-    n, m = F.col("n"), v("m")
-    df = df.withColumns({"m" + a: F.col("s" + a) / n for a in "xyz"})
-    df = df.withColumns({
-        "cxx": F.col("sxx") / n - m.x * m.x, "cxy": F.col("sxy") / n - m.x * m.y,
-        "cxz": F.col("sxz") / n - m.x * m.z, "cyy": F.col("syy") / n - m.y * m.y,
-        "cyz": F.col("syz") / n - m.y * m.z, "czz": F.col("szz") / n - m.z * m.z})
-    cxx, cxy, cxz, cyy, cyz, czz = (F.col(c) for c in COV)
-    df = df.withColumn("_q", (cxx + cyy + czz) / 3)
-    q, p, phi = F.col("_q"), F.col("_p"), F.col("_phi")
-    a, b, c = cxx - q, cyy - q, czz - q
-    df = df.withColumn("_p", F.sqrt((a * a + b * b + c * c + 2 * (cxy * cxy + cxz * cxz + cyz * cyz)) / 6))
-    det = a * (b * c - cyz * cyz) - cxy * (cxy * c - cyz * cxz) + cxz * (cxy * cyz - b * cxz)
-    df = df.withColumn("_phi", F.acos(clamp(F.coalesce(ratio(det, 2 * p * p * p), F.lit(0.0)), -1.0, 1.0)) / 3)
-    df = df.withColumns({"l2": q + 2 * p * F.cos(phi), "l0": q + 2 * p * F.cos(phi + F.lit(2 * math.pi / 3))})
-    l0, l2 = F.col("l0"), F.col("l2")
-    r0, r1, r2 = V(cxx - l0, cxy, cxz), V(cxy, cyy - l0, cyz), V(cxz, cyz, czz - l0)
-    cand = {"u": cross(r0, r1), "w": cross(r0, r2), "t": cross(r1, r2)}
-    df = df.withColumns({"l1": 3 * q - l0 - l2,
-                         **{f"_{k}{a}": c for k, vec in cand.items() for a, c in zip("xyz", vec)}})
-    df = df.withColumns({f"_{k}": F.sqrt(dot(v("_" + k), v("_" + k))) for k in cand})
-    first = (F.col("_u") >= F.col("_w")) & (F.col("_u") >= F.col("_t"))
-    second = F.col("_w") >= F.col("_t")
-    return df.withColumns({
-        f"e{a}": F.when(first, ratio(F.col(f"_u{a}"), F.col("_u")))
-        .when(second, ratio(F.col(f"_w{a}"), F.col("_w")))
-        .otherwise(ratio(F.col(f"_t{a}"), F.col("_t"))) for a in "xyz"})
+    """Closed-form eigenvalues of the symmetric 3x3 covariance, one projection per step.
+
+    The direction of l0 is the longest cross product of two rows of C - l0 I.
+    """
+    df = df.selectExpr("*", "sx/n as mx", "sy/n as my", "sz/n as mz")
+    df = df.selectExpr("*", "sxx/n - mx*mx as _xx", "sxy/n - mx*my as _xy", "sxz/n - mx*mz as _xz",
+                       "syy/n - my*my as _yy", "syz/n - my*mz as _yz", "szz/n - mz*mz as _zz")
+    df = df.selectExpr("*", "(_xx + _yy + _zz)/3 as _q")
+    df = df.selectExpr("*", "_xx - _q as _a", "_yy - _q as _b", "_zz - _q as _c")
+    df = df.selectExpr("*", "sqrt((_a*_a + _b*_b + _c*_c + 2*(_xy*_xy + _xz*_xz + _yz*_yz))/6) as _p",
+                       "_a*(_b*_c - _yz*_yz) - _xy*(_xy*_c - _yz*_xz) + _xz*(_xy*_yz - _b*_xz) as _det")
+    df = df.selectExpr("*", "acos(least(greatest(coalesce(_det/nullif(2*_p*_p*_p, 0D), 0D), -1D), 1D))/3 as _phi")
+    df = df.selectExpr("*", "_q + 2*_p*cos(_phi) as l2", f"_q + 2*_p*cos(_phi + {2 * math.pi / 3!r}D) as l0")
+    df = df.selectExpr("*", "3*_q - l0 - l2 as l1", "_xx - l0 as _u0", "_yy - l0 as _u1", "_zz - l0 as _u2")
+    df = df.selectExpr("*", "_xy*_yz - _xz*_u1 as _ux", "_xz*_xy - _u0*_yz as _uy", "_u0*_u1 - _xy*_xy as _uz",
+                       "_xy*_u2 - _xz*_yz as _wx", "_xz*_xz - _u0*_u2 as _wy", "_u0*_yz - _xy*_xz as _wz",
+                       "_u1*_u2 - _yz*_yz as _tx", "_yz*_xz - _xy*_u2 as _ty", "_xy*_yz - _u1*_xz as _tz")
+    df = df.selectExpr("*", *(f"sqrt(_{k}x*_{k}x + _{k}y*_{k}y + _{k}z*_{k}z) as _{k}" for k in "uwt"))
+    return df.selectExpr("*", *(
+        f"case when _u >= _w and _u >= _t then _u{a}/nullif(_u, 0D) when _w >= _t then _w{a}/nullif(_w, 0D)"
+        f" else _t{a}/nullif(_t, 0D) end as e{a}" for a in "xyz"))
 
 
 def with_eigen(df: DataFrame) -> DataFrame:
@@ -66,21 +61,18 @@ def with_eigen(df: DataFrame) -> DataFrame:
 
     e* is null where the smallest eigenvalue has no unique direction.
     """
-    out = ["mx", "my", "mz", "l0", "l1", "l2", "ex", "ey", "ez"]
-    return settle(_eigen_steps(df), out, [*SCRATCH, *COV])
+    return settle(_eigen_steps(df), EIGEN, df.columns)
 
 
 def with_surfel(df: DataFrame, min_points: int, curv_max: float, curv2_min: float,
-                min_variance: Column | float = 0.0) -> DataFrame:
+                min_variance: str = "0D") -> DataFrame:
     """Mean, eigenvalues, curvatures, viewpoint-facing normal and stability of moment rows."""
+    keep = [c for c in df.columns if c not in SUMS]
     df = _eigen_steps(df)
-    enough = F.col("n") >= min_points
-    df = df.withColumns({
-        "curv": F.when(enough, ratio(F.col("l0"), F.col("l2"))),
-        "curv2": F.when(enough, ratio(F.col("l1"), F.col("l2"))), "_away": dot(v("e"), v("m")) > 0})
-    df = df.withColumns({
-        **{f"n{a}": F.when(enough, F.when(F.col("_away"), -F.col(f"e{a}")).otherwise(F.col(f"e{a}"))) for a in "xyz"},
-        "stable": F.coalesce(enough & (F.col("curv") <= curv_max) & (F.col("curv2") >= curv2_min)
-                             & (F.col("l2") >= min_variance), F.lit(False))})
-    out = ["mx", "my", "mz", "l0", "l1", "l2", "curv", "curv2", "nx", "ny", "nz", "stable"]
-    return settle(df, out, [*SCRATCH, *COV, *SUMS, "_away", "ex", "ey", "ez"])
+    df = df.selectExpr("*", f"case when n >= {min_points} then l0/nullif(l2, 0D) end as curv",
+                       f"case when n >= {min_points} then l1/nullif(l2, 0D) end as curv2",
+                       "if(ex*mx + ey*my + ez*mz > 0, -1D, 1D) as _side")
+    df = df.selectExpr("*", *(f"case when n >= {min_points} then _side*e{a} end as n{a}" for a in "xyz"),
+                       f"coalesce(n >= {min_points} and curv <= {curv_max!r}D and curv2 >= {curv2_min!r}D"
+                       f" and l2 >= {min_variance}, false) as stable")
+    return settle(df, SURFEL, keep)

@@ -78,7 +78,13 @@ def let(df: DataFrame, **exprs: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(e.alias(k) for k, e in exprs.items())))))
 
 
-def settle(df: DataFrame, names: list[str], drop: list[str] = ()) -> DataFrame:
-    """Close a chain of ``withColumns`` steps: keep ``names`` as settled columns."""
-    keep = [c for c in df.columns if c not in names and c not in drop]
-    return df.select(*keep, F.inline(F.array(F.struct(*(F.col(c) for c in names)))))
+def settle(df: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """Close a chain of projections: pass ``keep`` through, settle ``names`` as in ``let``."""
+    return df.selectExpr(*keep, f"inline(array(struct({', '.join(names)})))")
+
+
+def constant_rows(names: str, rows) -> str:
+    """SQL generator over a short constant table of integers: ``inline(array(struct...))``."""
+    cols = names.split()
+    body = ", ".join("struct(" + ", ".join(f"{int(v)}L as {c}" for c, v in zip(cols, r)) + ")" for r in rows)
+    return f"inline(array({body}))"

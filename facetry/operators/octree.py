@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import with_pair_axis
 from ..functions.moments import merge_aggs, moment_aggs, with_surfel
-from ..functions.vec import v
+from ..functions.vec import constant_rows, v
 from ..params import SegParams
 
 CELL = ["ix", "iy", "iz"]
@@ -68,10 +68,10 @@ def roll_up(leaves: DataFrame, layers) -> DataFrame:
 
 def surfels(nodes: DataFrame, p: SegParams) -> DataFrame:
     """Mean, eigenvalues, curvatures, normal and stability per node."""
-    floor_ = F.lit(0.0)
+    floor_ = "0D"
     if p.principal_var_factor:
-        size = F.lit(p.min_octree_resolution) * F.pow(F.lit(2.0), p.depth - F.col("layer"))
-        floor_ = F.pow(F.lit(p.principal_var_factor) * size, F.lit(2.0))
+        finest = p.principal_var_factor * p.min_octree_resolution
+        floor_ = f"pow({finest!r}D * pow(2D, {p.depth} - layer), 2D)"
     return with_surfel(nodes, p.min_points_for_normal, p.curv_threshold, p.curv2_threshold, floor_)
 
 
@@ -128,11 +128,12 @@ def finest_normals(keyed: DataFrame, nodes: DataFrame) -> DataFrame:
     return keyed.join(best, LEAF, "left")
 
 
-def neighbour_pairs(nodes: DataFrame, reach: int, self_pairs: bool = False) -> DataFrame:
+def neighbour_pairs(nodes: DataFrame, reach: int, self_pairs: bool = False, mixed: bool = False) -> DataFrame:
     """Unordered pairs of stable nodes of one layer within ``reach`` cells.
 
-    Same-depth pairs use half of the offset cube, so every pair appears once; a node
-    below a coarser leaf looks the leaf up from its own ancestor at that depth.
+    Same-depth pairs use half of the offset cube, so every pair appears once.  With
+    ``mixed`` (range-dependent leaf sizes) a node also looks coarser leaves up, from its
+    own ancestor at that depth; a scan has at most one row per depth in ``present``.
     """
     key = ["scan_id", "layer", "depth", *CELL]
     side = nodes.filter("stable").select(
@@ -140,21 +141,18 @@ def neighbour_pairs(nodes: DataFrame, reach: int, self_pairs: bool = False) -> D
     cube = list(itertools.product(range(-reach, reach + 1), repeat=3))
     half = [o for o in cube if o > (0, 0, 0) or (self_pairs and o == (0, 0, 0))]
 
-    def offsets(rows):
-        return F.array(*(F.struct(*(F.lit(c).cast("bigint").alias(k) for c, k in zip(o, ("ox", "oy", "oz"))))
-                         for o in rows))
-
-    b = side.select(*(F.col(c).alias(c if c in ("scan_id", "layer") else "b_" + c) for c in side.columns))
-    a = side.select(*(F.col(c).alias(c if c in ("scan_id", "layer") else "a_" + c) for c in side.columns))
-    same = a.select("*", F.inline(offsets(half)), F.col("a_depth").alias("b_depth"))
-    for k in "xyz":
-        same = same.withColumn(f"b_i{k}", F.col(f"a_i{k}") + F.col(f"o{k}"))
-    coarser = a.select("*", F.explode(F.expr("filter(sequence(0, a_depth), d -> d < a_depth)")).alias("b_depth"))
-    present = side.select("scan_id", "layer", F.col("depth").alias("b_depth")).distinct()
-    coarser = coarser.join(present, ["scan_id", "layer", "b_depth"]).select("*", F.inline(offsets(cube)))
-    for k in "xyz":
-        coarser = coarser.withColumn(f"b_i{k}", F.expr(f"shiftright(a_i{k}, a_depth - b_depth)") + F.col(f"o{k}"))
-    probe = same.unionByName(coarser).drop("ox", "oy", "oz")
+    own = [c for c in ("depth", *CELL, "n", "curv", "mx", "my", "mz", "nx", "ny", "nz")]
+    a = side.selectExpr("scan_id", "layer", *(f"{c} as a_{c}" for c in own))
+    b = side.selectExpr("scan_id", "layer", *(f"{c} as b_{c}" for c in own))
+    a_cols = ["scan_id", "layer", *("a_" + c for c in own)]
+    probe = (a.selectExpr("*", "a_depth as b_depth", constant_rows("ox oy oz", half))
+             .selectExpr(*a_cols, "b_depth", *(f"a_i{k} + o{k} as b_i{k}" for k in "xyz")))
+    if mixed:
+        present = side.selectExpr("scan_id", "layer", "depth as b_depth").distinct()
+        up = (a.join(present, ["scan_id", "layer"]).filter("b_depth < a_depth")
+              .selectExpr("*", constant_rows("ox oy oz", cube)))
+        probe = probe.unionByName(up.selectExpr(*a_cols, "b_depth", *(
+            f"shiftright(a_i{k}, a_depth - b_depth) + o{k} as b_i{k}" for k in "xyz")))
     pairs = probe.join(b, ["scan_id", "layer", "b_depth", "b_ix", "b_iy", "b_iz"])
     return with_pair_axis(pairs)
 
@@ -169,7 +167,7 @@ def nodes_of_pairs(pairs: DataFrame, distinct: bool = True) -> DataFrame:
 
 def surfel_geometry(nodes: DataFrame, p: SegParams) -> DataFrame:
     """Cube centre and normal line per node; unstable nodes with 20 points get a relaxed normal."""
-    df = with_surfel(nodes, min(20, p.min_points_for_normal), float("inf"), 0.0).filter("layer = depth")
+    df = with_surfel(nodes, min(20, p.min_points_for_normal), 1e300, 0.0).filter("layer = depth")
     strict = F.coalesce((F.col("n") >= p.min_points_for_normal) & (F.col("curv") <= p.curv_threshold)
                         & (F.col("curv2") >= p.curv2_threshold), F.lit(False))
     drawn = strict | (F.col("n") >= 20)
