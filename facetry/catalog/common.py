@@ -74,3 +74,11 @@ part("scene_keys", f"""select *, cast(floor((x+32e0)/{SIZE!r}e0) as bigint) as i
   cast(floor((y+32e0)/{SIZE!r}e0) as bigint) as iy, cast(floor((z+32e0)/{SIZE!r}e0) as bigint) as iz from scene_points""")
 part("scene_moments", moments_sql("scan_id, ix, iy, iz", "scene_keys"))
 surfel_parts("scene_surfels", "scene_moments")
+
+
+# The three true planes and the true cylinder of the scene, as row generators.
+TRUE_PLANES = ("inline(array(struct(0 as plane_id, 0D as nx, 0D as ny, -1D as nz, 0.9D as d),"
+               " struct(1 as plane_id, 1D as nx, 0D as ny, 0D as nz, 1.6D as d),"
+               " struct(2 as plane_id, 0D as nx, 1D as ny, 0D as nz, 1.6D as d)))")
+TRUE_CYLINDER = ("3 as cylinder_id", "0.3D as px", "-0.2D as py", "0D as pz", "0D as ax", "0D as ay", "1D as az",
+                 "0.3D as radius")

@@ -98,7 +98,7 @@ def finest_normal(spark, sf):
 part("pair_nodes", "select * from scene_surfels where stable")
 part("node_pair_rows", """select a.scan_id, a.ix as a_ix, a.iy as a_iy, a.iz as a_iz, b.ix as b_ix, b.iy as b_iy, b.iz as b_iz,
   a.n+b.n as n, greatest(a.curv, b.curv) as curv, a.mx as amx, a.my as amy, a.mz as amz, b.mx as bmx, b.my as bmy, b.mz as bmz,
-  a.nx as ax, a.ny as ay, a.nz as az, b.nx as bx, b.ny as "by", b.nz as bz,
+  a.nx as anx_, a.ny as any_, a.nz as anz_, b.nx as bnx_, b.ny as bny_, b.nz as bnz_,
   a.ny*b.nz-a.nz*b.ny as rx, a.nz*b.nx-a.nx*b.nz as ry, a.nx*b.ny-a.ny*b.nx as rz,
   a.nx*b.nx+a.ny*b.ny+a.nz*b.nz as cosab
   from pair_nodes a join pair_nodes b on a.scan_id=b.scan_id and abs(a.ix-b.ix)<=2 and abs(a.iy-b.iy)<=2
