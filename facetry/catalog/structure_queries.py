@@ -536,15 +536,15 @@ def normal_map(spark, sf):
     return rounded(raster.normal_map(high, size), ["mx", "my", "mz"])
 
 
-@query("quantized_raster", """select t.scan_id, t.plane_id, t.tx, t.ty, cast(round(t.red*255e0) as integer) as red, cast(round(t.green*255e0) as integer) as green,
-  cast(round(t.blue*255e0) as integer) as blue from tex_rgb t join tex_pot s on s.scan_id=t.scan_id and s.plane_id=t.plane_id where t.tx < s.width and t.ty < s.height""")
+@query("quantized_raster", """select t.scan_id, t.plane_id, t.tx, t.ty, cast(floor(round(t.red*255e0,6)+0.5e0) as integer) as red, cast(floor(round(t.green*255e0,6)+0.5e0) as integer) as green,
+  cast(floor(round(t.blue*255e0,6)+0.5e0) as integer) as blue from tex_rgb t join tex_pot s on s.scan_id=t.scan_id and s.plane_id=t.plane_id where t.tx < s.width and t.ty < s.height""")
 def quantized_raster(spark, sf):
     size, rows = texels(spark, sf)
     return raster.cropped_bytes(raster.colours(rows), size, ["red", "green", "blue"]).drop("alpha")
 
 
-@query("plane_records", """select t.scan_id, t.plane_id, t.ty, count(*) as texels, cast(sum(round(t.red*255e0)) as bigint) as red,
-  cast(sum(cast(floor(h.h*255e0+0.5e0) as bigint)) as bigint) as height from tex_rgb t join tex_h h on h.scan_id=t.scan_id and h.plane_id=t.plane_id and h.tx=t.tx and h.ty=t.ty
+@query("plane_records", """select t.scan_id, t.plane_id, t.ty, count(*) as texels, cast(sum(floor(round(t.red*255e0,6)+0.5e0)) as bigint) as red,
+  cast(sum(cast(floor(round(h.h*255e0,6)+0.5e0) as bigint)) as bigint) as height from tex_rgb t join tex_h h on h.scan_id=t.scan_id and h.plane_id=t.plane_id and h.tx=t.tx and h.ty=t.ty
   join tex_pot s on s.scan_id=t.scan_id and s.plane_id=t.plane_id where t.tx < s.width and t.ty < s.height group by all""")
 def plane_records(spark, sf):
     size, rows = texels(spark, sf)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import (box_vertices, frame_columns, frame_from, from_frame, rectangle_vertices,
                                   to_frame, to_plane)
 from ..functions.moments import SUMS, moment_aggs, with_eigen
-from ..functions.vec import V, v
+from ..functions.vec import V, settle, v
 
 POOL_LIMIT = 999  # below the optimizer's limit for pre-shuffle top-k windows
 HASH = "((pid % 2147483647L)*48271L) % 2147483647L"
@@ -120,8 +120,9 @@ def plane_hypotheses(pools: DataFrame, keys, count: int) -> DataFrame:
     d = d.selectExpr(*keys, "k", "a", "b.x-a.x as x1", "b.y-a.y as y1", "b.z-a.z as z1",
                      "c.x-a.x as x2", "c.y-a.y as y2", "c.z-a.z as z2")
     d = d.selectExpr(*keys, "k", "a", "y1*z2-z1*y2 as rx", "z1*x2-x1*z2 as ry", "x1*y2-y1*x2 as rz")
-    d = d.selectExpr("*", "sqrt(rx*rx + ry*ry + rz*rz) as r").filter("r > 1e-12D")
-    d = d.selectExpr(*keys, "k", "rx/r as nx", "ry/r as ny", "rz/r as nz", "(rx*a.x + ry*a.y + rz*a.z)/r as d")
+    d = d.selectExpr("*", "nullif(sqrt(rx*rx + ry*ry + rz*rz), 0D) as r")
+    d = d.selectExpr(*keys, "k", "r", "rx/r as nx", "ry/r as ny", "rz/r as nz", "(rx*a.x + ry*a.y + rz*a.z)/r as d")
+    d = settle(d, ["nx", "ny", "nz", "d", "r"], [*keys, "k"]).filter("r > 1e-12D")
     s = "if(d < 0, -1D, 1D)"
     return d.selectExpr(*keys, "k", f"{s}*nx as nx", f"{s}*ny as ny", f"{s}*nz as nz", "abs(d) as d")
 
@@ -170,18 +171,19 @@ def cylinder_hypotheses(pools: DataFrame, keys, count: int, r_min: float, r_max:
                      "pool[cast((k*104729L + pool_size div 2) % pool_size as int)] as g")
     d = d.selectExpr(*keys, "k", *(f"{s}.{c} as {s}{c}" for s in "fg" for c in ("x", "y", "z", "nx", "ny", "nz")))
     d = d.selectExpr("*", "fny*gnz - fnz*gny as rx", "fnz*gnx - fnx*gnz as ry", "fnx*gny - fny*gnx as rz")
-    d = d.selectExpr("*", "sqrt(rx*rx + ry*ry + rz*rz) as r").filter("r > 1e-3D")
+    d = d.selectExpr("*", "sqrt(rx*rx + ry*ry + rz*rz) as r")
     # axis kept with a non-negative leading component
-    d = d.selectExpr("*", "if(rz < 0 or (rz = 0 and (ry < 0 or (ry = 0 and rx < 0))), -1D, 1D)/r as _s")
+    d = d.selectExpr("*", "if(rz < 0 or (rz = 0 and (ry < 0 or (ry = 0 and rx < 0))), -1D, 1D)/nullif(r, 0D) as _s")
     d = d.selectExpr("*", "_s*rx as ux", "_s*ry as uy", "_s*rz as uz")
     # centre where the two normal lines meet, seen along the axis
     d = d.selectExpr("*", "gny*uz - gnz*uy as mx", "gnz*ux - gnx*uz as my", "gnx*uy - gny*ux as mz")
     d = d.selectExpr("*", "((gx-fx)*mx + (gy-fy)*my + (gz-fz)*mz)/nullif(fnx*mx + fny*my + fnz*mz, 0D) as s")
-    d = d.filter("s is not null").selectExpr("*", "fx + s*fnx as px", "fy + s*fny as py", "fz + s*fnz as pz")
+    d = d.selectExpr("*", "fx + s*fnx as px", "fy + s*fny as py", "fz + s*fnz as pz")
     d = d.selectExpr("*", "(gx-px)*ux + (gy-py)*uy + (gz-pz)*uz as t")
     d = d.selectExpr("*", "sqrt(pow(gx-px-t*ux, 2) + pow(gy-py-t*uy, 2) + pow(gz-pz-t*uz, 2)) as rg")
-    d = d.selectExpr(*keys, "k", "px", "py", "pz", "ux as ax", "uy as ay", "uz as az", "(abs(s) + rg)/2 as radius")
-    return d.filter(f"radius >= {r_min!r}D and radius <= {r_max!r}D")
+    d = d.selectExpr(*keys, "k", "px", "py", "pz", "ux as ax", "uy as ay", "uz as az", "(abs(s) + rg)/2 as radius", "r")
+    d = settle(d, ["px", "py", "pz", "ax", "ay", "az", "radius", "r"], [*keys, "k"])
+    return d.filter(f"r > 1e-3D and radius >= {r_min!r}D and radius <= {r_max!r}D").drop("r")
 
 
 CYLINDER_ERROR = """(1 - {w}D)*abs(_dist - _radius) + {w}D*least(acos(_cos), pi() - acos(_cos))"""
@@ -195,7 +197,9 @@ def _cylinder_error(rows: DataFrame, keys, weight: float, extra=()) -> DataFrame
     d = d.selectExpr("*", "qx-h*ax as ox", "qy-h*ay as oy", "qz-h*az as oz")
     d = d.selectExpr("*", "sqrt(ox*ox + oy*oy + oz*oz) as _dist")
     d = d.selectExpr("*", "least(1D, greatest(-1D, coalesce((ox*nx + oy*ny + oz*nz)/nullif(_dist, 0D), 0D))) as _cos")
-    return d.selectExpr("*", f"{CYLINDER_ERROR.format(w=repr(float(weight)))} as err")
+    d = d.selectExpr("*", f"{CYLINDER_ERROR.format(w=repr(float(weight)))} as err")
+    keep = [c for c in d.columns if c not in ("err", "qx", "qy", "qz", "h", "ox", "oy", "oz", "_dist", "_cos")]
+    return settle(d, ["err"], keep)
 
 
 def score_cylinders(points: DataFrame, hypotheses: DataFrame, keys, limit: str, weight: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import texture_size
@@ -111,11 +111,15 @@ def normal_map(height: DataFrame, size: DataFrame, smooth: bool = True, keys=KEY
     return blur(d, size, ["mx", "my", "mz"], keys) if smooth else d
 
 
+def to_byte(c: Column) -> Column:
+    """0..1 to 0..255, halves up; noise of the summation order is rounded away first."""
+    return F.least(F.greatest(F.floor(F.round(c * 255, 6) + 0.5), F.lit(0)), F.lit(255)).cast("int")
+
+
 def cropped_bytes(raster: DataFrame, size: DataFrame, values, keys=KEYS) -> DataFrame:
     """8-bit values of the true raster size."""
     d = raster.join(size.select(*keys, "width", "height"), list(keys)).filter("tx < width and ty < height")
-    eight = {c: F.least(F.greatest(F.round(F.col(c) * 255), F.lit(0)), F.lit(255)).cast("int") for c in values}
-    return d.withColumns(eight).drop("width", "height")
+    return d.withColumns({c: to_byte(F.col(c)) for c in values}).drop("width", "height")
 
 
 def plane_textures(points: DataFrame, planes: DataFrame, factor: float, dilations: int, limit=None, keys=KEYS):

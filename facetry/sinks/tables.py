@@ -10,6 +10,7 @@ from ..functions.geometry import cylinder_box_vertices, frame_columns, frame_fro
 from ..functions.vec import v
 from ..operators import fit
 from ..operators.assign import dense_labels
+from ..operators.raster import to_byte
 
 CHUNK = 100
 RANGE_BITS = 16  # points of one id range are numbered together, at most 65,536
@@ -102,7 +103,7 @@ def plane_records(planes: DataFrame, size: DataFrame, colours: DataFrame, height
     key = ["scan_id", "plane_id"]
     d = heights.join(colours, [*key, "tx", "ty"], "full").join(size.select(*key, "width", "height"), key)
     d = d.filter("tx < width and ty < height")
-    eight = lambda c: F.least(F.greatest(F.round(F.coalesce(F.col(c), F.lit(0.0)) * 255), F.lit(0)), F.lit(255)).cast("int")
+    eight = lambda c: to_byte(F.coalesce(F.col(c), F.lit(0.0)))
     item = F.struct("tx", eight("h").alias("h"), *(eight(c).alias(c) for c in ("red", "green", "blue")),
                     (F.coalesce("alpha", F.lit(0.0)) > 0.5).alias("alpha"))
     rows = d.groupBy(*key, "ty").agg(F.sort_array(F.collect_list(item)).alias("texels"))
