@@ -210,7 +210,7 @@ def label_image(spark, sf):
     return tables.label_image(px, rows, rows.select("scan_id", "structure_id").distinct())
 
 
-@query("segmented_cloud", """select scan_id, pid, cast(case surf when 0 then 255 when 1 then 255 when 2 then 0 when 3 then 0 else 0 end as bigint) as red,
+@query("segmented_cloud", """select scan_id, pid, cast(case surf when 0 then 255 when 1 then 127 when 3 then 127 else 0 end as bigint) as red,
   surf = 4 as black from scene_points""")
 def segmented_cloud(spark, sf):
     rows = owned(spark, sf)
@@ -242,13 +242,13 @@ STREAM_P = SegParams(rho_max=4.0, min_octree_resolution=0.25, sq_dist_factor=-1.
 S = "sx sy sz sxx sxy sxz syy syz szz"
 
 
-@query("stream_moments", f"""select day, scan_id, ix, iy, iz, n, {rs(S)} from (select strftime(ts, '%Y-%m-%d') as day, scan_id, cast(floor((x+4e0)/0.25e0) as bigint) as ix,
+@query("stream_moments", f"""select day, scan_id, ix, iy, iz, n, {rs(S, 9)} from (select strftime(ts, '%Y-%m-%d') as day, scan_id, cast(floor((x+4e0)/0.25e0) as bigint) as ix,
   cast(floor((y+4e0)/0.25e0) as bigint) as iy, cast(floor((z+4e0)/0.25e0) as bigint) as iz, count(*) as n, sum(x) as sx, sum(y) as sy, sum(z) as sz, sum(x*x) as sxx, sum(x*y) as sxy,
   sum(x*z) as sxz, sum(y*y) as syy, sum(y*z) as syz, sum(z*z) as szz from stream_points group by 1,2,3,4,5) t""")
 def stream_moments(spark, sf):
     d = streams.cell_moments(load(spark, sf, "stream_points"), STREAM_P)
     d = d.selectExpr("date_format(w.start, 'yyyy-MM-dd') as day", "scan_id", "lx as ix", "ly as iy", "lz as iz", "n", *S.split())
-    return rounded(d, S.split())
+    return rounded(d, S.split(), 9)
 
 
 EXTRACT = P.but(only_depth=P.depth, tries_on_each_depth=0, min_octree_nodes=8, min_nodes_in_cc=3)
