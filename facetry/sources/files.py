@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,22 +85,25 @@ def read_clouds(spark: SparkSession, path: str, pattern: str = NUMBER, colour: b
 
     Without colour the colour is 0 and the shape N x 1.
     """
+    # Arrow output keeps NaN coordinates apart from missing values
     def decode(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                head, cols = decode_cloud(row.content)
+        for batch in batches:
+            for row in batch.to_pylist():
+                head, cols = decode_cloud(row["content"])
                 n = len(cols["x"])
                 rgb = _cloud_rgb(cols, n) if colour else np.zeros(n, dtype=np.int64)
                 w, h = (int(head["WIDTH"][0]), int(head["HEIGHT"][0])) if colour else (n, 1)
                 for a in range(0, n, ROWS_PER_BATCH):
                     s = slice(a, min(n, a + ROWS_PER_BATCH))
-                    light = cols["intensity"][s].astype(float) if "intensity" in cols else None
-                    yield pd.DataFrame({
-                        "path": row.path, "scan_id": row.scan_id, "pid": np.arange(s.start, s.stop, dtype=np.int64),
-                        "x": cols["x"][s].astype(float), "y": cols["y"][s].astype(float), "z": cols["z"][s].astype(float),
-                        "rgb": rgb[s], "intensity": light, "width": w, "height": h})
-
-    return _files(spark, path, pattern).mapInPandas(decode, CLOUD_SCHEMA)
+                    k = s.stop - s.start
+                    light = pa.array(cols["intensity"][s].astype(float)) if "intensity" in cols else pa.nulls(k, pa.float64())
+                    yield pa.RecordBatch.from_pydict({
+                        "path": pa.array([row["path"]] * k), "scan_id": pa.array([row["scan_id"]] * k, pa.int64()),
+                        "pid": pa.array(np.arange(s.start, s.stop, dtype=np.int64)),
+                        **{c: pa.array(cols[c][s].astype(float)) for c in "xyz"}, "rgb": pa.array(rgb[s]), "intensity": light,
+                        "width": pa.array([w] * k, pa.int64()), "height": pa.array([h] * k, pa.int64())})
+
+    return _files(spark, path, pattern).mapInArrow(decode, CLOUD_SCHEMA)
 
 
 # --- range and label images ------------------------------------------------
