@@ -22,6 +22,7 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("facetry")
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.driver.memory", "8g")
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.ui.enabled", "false"))
     for key, value in SETTINGS.items():
