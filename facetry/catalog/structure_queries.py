@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assign, claims, fit, grid, octree, raster, spatial
 from ..operators.components import cell_components, decode
+from ..plans import cylinders as cyl_plan
 from ..plans import planes as plane_plan
 from ..plans import post
 from ..session import stage
@@ -415,6 +416,15 @@ def ransac_cylinder(spark, sf):
     return best.drop("inliers").join(got, "scan_id").select("scan_id", "inliers", *(r(c, 2).alias(c) for c in ("px", "py", "ax", "ay", "az", "radius")))
 
 
+@query("ransac_peel_cylinders")
+def ransac_peel_cylinders(spark, sf):
+    p = P.but(sac_iterations=100, min_sac_distance=0.05, max_cylinder_radius=0.5, occupied_ratio=0.1)
+    book = cyl_plan.peel_cylinders(load(spark, sf, "scene_points"), p, max_rounds=1)
+    if book.structures is None:
+        return spark.createDataFrame([], "scan_id bigint, cylinder_id bigint, members bigint, radius double")
+    return book.structures.select("scan_id", "cylinder_id", "members", r("radius", 2).alias("radius"))
+
+
 @query("cylinder_pose", """select scan_id, 0.6e0 as diameter, round(max(z)-min(z),6)+0.0e0 as height, 0e0 as qx, 0e0 as qy, 0e0 as qz, 1e0 as qw, 0.3e0 as mid_x, -0.2e0 as mid_y,
   round((max(z)+min(z))/2e0,6)+0.0e0 as mid_z, round(min(z),6)+0.0e0 as box_low, round(max(z),6)+0.0e0 as box_high from scene_points where surf = 3 group by scan_id""")
 def cylinder_pose(spark, sf):

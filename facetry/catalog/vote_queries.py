@@ -236,7 +236,33 @@ def pair_circles(spark, sf):
     return rounded(d.select("scan_id", *cols, "cx", "cy", "radius"), ["cx", "cy", "radius"], 3)
 
 
-@query("cylinder_hough_round")
+# radius and midpoint histograms of the circles: 30 radius bins, midpoint bins of 0.05 m
+_lo, _hi = P.radius_limits(LAYER)
+_step = (_hi - _lo) / P.cylinder_bins
+_dev = P.radius_dev_factor * _step
+_mid = P.ht_distance(LAYER) * P.midpoint_bin_size_factor
+_mdev = P.radius_dev_factor * _mid
+part("good_circles", f"select * from flat_circles where radius >= {_lo!r}e0 and radius <= {_hi!r}e0 and abs(ra-radius) < {P.sac_distance(LAYER)!r}e0")
+part("radius_votes", f"""select * from (select c.*, b.bin, ({_dev!r}e0-abs(b.bin*{_step!r}e0+{_lo!r}e0-c.radius))/{_dev!r}e0 as rw from good_circles c
+  join (select unnest(range(0, {P.cylinder_bins})) as bin) b on b.bin between floor((c.radius-{_dev!r}e0-{_lo!r}e0)/{_step!r}e0)
+   and ceil((c.radius+{_dev!r}e0-{_lo!r}e0)/{_step!r}e0)-1) t where rw > 0e0""")
+part("radius_peaks", """select * from (select *, row_number() over (partition by scan_id order by round(w,9) desc, bin) as rn from
+  (select scan_id, bin, sum(rw) as w from radius_votes group by all) s) t where rn = 1""")
+part("radius_members", """select v.*, min(v.cx) over (partition by v.scan_id) as x0, max(v.cx) over (partition by v.scan_id) as x1,
+  min(v.cy) over (partition by v.scan_id) as y0, max(v.cy) over (partition by v.scan_id) as y1 from radius_votes v
+  join radius_peaks p on p.scan_id=v.scan_id and p.bin=v.bin where abs(v.cx) <= 40e0 and abs(v.cy) <= 40e0""")
+part("spot_votes", f"""select * from (select m.*, i.k as kx, j.k as ky, ({_mdev!r}e0-sqrt(pow(i.k*{_mid!r}e0+x0-cx,2)+pow(j.k*{_mid!r}e0+y0-cy,2)))/{_mdev!r}e0 as sw
+  from radius_members m join (select unnest(range(0, 2000)) as k) i on i.k between floor((cx-{_mdev!r}e0-x0)/{_mid!r}e0) and ceil((cx+{_mdev!r}e0-x0)/{_mid!r}e0)-1
+   and i.k <= floor((x1-x0)/{_mid!r}e0)
+  join (select unnest(range(0, 2000)) as k) j on j.k between floor((cy-{_mdev!r}e0-y0)/{_mid!r}e0) and ceil((cy+{_mdev!r}e0-y0)/{_mid!r}e0)-1
+   and j.k <= floor((y1-y0)/{_mid!r}e0)) t where sw > 0e0""")
+part("spot_peaks", """select * from (select *, row_number() over (partition by scan_id order by round(w,9) desc, ky, kx) as rn from
+  (select scan_id, bin, kx, ky, x0, y0, sum(sw) as w, count(*) as pairs from spot_votes group by all) s) t where rn = 1""")
+
+
+@query("cylinder_hough_round", f"""select s.scan_id, s.pairs, round(s.bin*{_step!r}e0+{_lo!r}e0,4)+0.0e0 as radius, {rs('ax ay az', 4)},
+  round(f00*(x0+kx*{_mid!r}e0)+f10*(y0+ky*{_mid!r}e0),4)+0.0e0 as px, round(f01*(x0+kx*{_mid!r}e0)+f11*(y0+ky*{_mid!r}e0),4)+0.0e0 as py,
+  round(f02*(x0+kx*{_mid!r}e0)+f12*(y0+ky*{_mid!r}e0),4)+0.0e0 as pz from spot_peaks s join axis_frame f on f.scan_id=s.scan_id""")
 def cylinder_hough_round(spark, sf):
     hyp, pairs = cyl_plan.hough_round(axis_votes(spark, sf), P.but(min_nodes_in_cylinder=3), LAYER)
     got = pairs.groupBy("scan_id").agg(F.count("*").alias("pairs"))
