@@ -75,9 +75,23 @@ def surfels(nodes: DataFrame, p: SegParams) -> DataFrame:
     return with_surfel(nodes, p.min_points_for_normal, p.curv_threshold, p.curv2_threshold, floor_)
 
 
+def layer_moments(keyed: DataFrame, layer: int) -> DataFrame:
+    """Moments of a single layer straight from the points: one shuffle of partial sums."""
+    aggs = moment_aggs()
+    if "pid" in keyed.columns:
+        aggs.append(F.min("pid").alias("node_min"))
+    return cells_of(keyed, layer).withColumn("layer", F.lit(layer)).groupBy(*NODE).agg(*aggs)
+
+
+def node_moments(keyed: DataFrame, layers) -> DataFrame:
+    """Moments of the given layers: directly for one layer, by roll-up for several."""
+    layers = list(layers)
+    return layer_moments(keyed, layers[0]) if len(layers) == 1 else roll_up(leaf_moments(keyed), layers)
+
+
 def build(points: DataFrame, p: SegParams, layers=None) -> DataFrame:
     """points -> surfels of the requested layers (all of them by default)."""
-    return surfels(roll_up(leaf_moments(with_keys(points, p)), layers or p.layers()), p)
+    return surfels(node_moments(with_keys(points, p), layers or p.layers()), p)
 
 
 def max_leaf_depth(keyed: DataFrame) -> DataFrame:

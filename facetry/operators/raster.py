@@ -123,7 +123,7 @@ def cropped_bytes(raster: DataFrame, size: DataFrame, values, keys=KEYS) -> Data
 
 
 def plane_textures(points: DataFrame, planes: DataFrame, factor: float, dilations: int, limit=None, keys=KEYS):
-    """(sizes, colour raster, height raster, normal map) of planes, in the reference order of steps."""
+    """(sizes, colour raster, height raster, normal map) of planes."""
     size = sizes(points, planes, factor, keys)
     placed = place(points, planes, size, keys)
     if limit is None:

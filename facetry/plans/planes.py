@@ -5,6 +5,7 @@ All scans advance together: a round handles the best orientation of every active
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -137,7 +138,7 @@ def claim_nodes(book: Book, open_nodes: DataFrame, keyed: DataFrame, p: SegParam
 def plane_ids(parts: DataFrame, layer: int, round_no: int) -> DataFrame:
     """Reproducible id from layer, round and the order of parts in the round (few per scan)."""
     w = Window.partitionBy("scan_id").orderBy("comp")
-    base = (layer * 4096 + round_no) * (1 << 20)
+    base = (layer << 56) + (round_no << 24)
     return parts.withColumn("plane_id", (F.row_number().over(w) + base).cast("bigint"))
 
 
@@ -200,7 +201,7 @@ def detect_round(votes: DataFrame, book: Book, keyed: DataFrame, p: SegParams, l
 def extract_planes(points: DataFrame, p: SegParams):
     """Coarse-to-fine extraction: (book, keyed points, nodes of all layers)."""
     keyed = stage(octree.with_keys(points.select("scan_id", "pid", "x", "y", "z"), p))
-    nodes = stage(octree.surfels(octree.roll_up(octree.leaf_moments(keyed), p.layers()), p))
+    nodes = stage(octree.surfels(octree.node_moments(keyed, p.layers()), p))
     book = Book()
     for layer in p.layers():
         open_nodes = stage(book.open_nodes(octree.on_layer(nodes, layer).filter("stable").select(*NODE_COLS)))
@@ -227,13 +228,13 @@ def extract_planes(points: DataFrame, p: SegParams):
     return book, keyed, nodes
 
 
-def peel_planes(points: DataFrame, p: SegParams, max_rounds: int = 100):
+def peel_planes(points: DataFrame, p: SegParams, max_rounds: int | None = None):
     """Consensus-only planes: fit all remaining points, split into parts, claim, repeat: Book."""
     book = Book()
     left = stage(points.select("scan_id", "pid", "x", "y", "z"))
     limit = p.min_sac_distance
     fails: DataFrame = stage(left.select("scan_id").distinct().selectExpr("scan_id", "0 as fails"))
-    for round_no in range(max_rounds):
+    for round_no in itertools.count() if max_rounds is None else range(max_rounds):
         crowd = left.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") > p.min_points_in_cc)
         live = left.join(crowd.join(fails, "scan_id").select("scan_id"), "scan_id", "left_semi")
         fits, members = fit.msac_planes(live, ["scan_id"], f"{limit!r}D", p.sac_iterations, "count")
