@@ -9,6 +9,8 @@ from .views import VIEWS
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 PARTS: dict[str, str] = dict(VIEWS)
+# blocks worth computing once in the oracle statements
+KEEP = {"pool", "triple_keys", "hyps", "best_hyp", "plane_points", "refined"}
 
 
 def part(name: str, text: str) -> None:
@@ -30,7 +32,7 @@ def oracle(text: str) -> str:
     visit(text)
     if not order:
         return text.strip()
-    blocks = ",\n".join(f"{name} as ({PARTS[name]})" for name in order)
+    blocks = ",\n".join(f"{name} as {'materialized ' if name in KEEP else ''}({PARTS[name]})" for name in order)
     text = text.strip()
     if text.lower().startswith("with recursive"):
         return f"with recursive {blocks},\n{text[len('with recursive'):].strip()}"

@@ -173,11 +173,12 @@ def plane_rectangle(spark, sf):
 # robust fit: pool in hash order, fixed triples, truncated squares, refit on the inliers
 part("pool", """select * from (select *, row_number() over (partition by scan_id, plane_id order by ((pid % 2147483647)*48271) % 2147483647, pid) as rank,
   least(count(*) over (partition by scan_id, plane_id), 300) as ps from plane_points) t where rank <= 300""")
-part("triples", """select a.scan_id, a.plane_id, k.k, a.x, a.y, a.z, b.x-a.x as x1, b.y-a.y as y1, b.z-a.z as z1, c.x-a.x as x2, c.y-a.y as y2, c.z-a.z as z2
-  from (select unnest(range(0, 100)) as k) k cross join (select distinct scan_id, plane_id, ps from pool) g
-  join pool a on a.scan_id=g.scan_id and a.plane_id=g.plane_id and a.rank = 1+(k.k*7919)%g.ps
-  join pool b on b.scan_id=g.scan_id and b.plane_id=g.plane_id and b.rank = 1+(k.k*104729+g.ps//3)%g.ps
-  join pool c on c.scan_id=g.scan_id and c.plane_id=g.plane_id and c.rank = 1+(k.k*611953+2*g.ps//3)%g.ps""")
+part("triple_keys", """select g.scan_id, g.plane_id, k.k, 1+(k.k*7919)%g.ps as ra, 1+(k.k*104729+g.ps//3)%g.ps as rb, 1+(k.k*611953+2*g.ps//3)%g.ps as rc
+  from (select distinct scan_id, plane_id, ps from pool) g cross join (select unnest(range(0, 100)) as k) k""")
+part("triples", """select t.scan_id, t.plane_id, t.k, a.x, a.y, a.z, b.x-a.x as x1, b.y-a.y as y1, b.z-a.z as z1, c.x-a.x as x2, c.y-a.y as y2, c.z-a.z as z2
+  from triple_keys t join pool a on a.scan_id=t.scan_id and a.plane_id=t.plane_id and a.rank=t.ra
+  join pool b on b.scan_id=t.scan_id and b.plane_id=t.plane_id and b.rank=t.rb
+  join pool c on c.scan_id=t.scan_id and c.plane_id=t.plane_id and c.rank=t.rc""")
 part("raw_hyps", """select *, sqrt(rx*rx+ry*ry+rz*rz) as rr from (select *, y1*z2-z1*y2 as rx, z1*x2-x1*z2 as ry, x1*y2-y1*x2 as rz from triples) t""")
 part("hyps", """select scan_id, plane_id, k, rx/rr as nx, ry/rr as ny, rz/rr as nz, (rx*x+ry*y+rz*z)/rr as d from raw_hyps where rr > 1e-12""")
 part("hyp_scores", """select h.scan_id, h.plane_id, h.k, h.nx, h.ny, h.nz, h.d, round(sum(least(pow(h.nx*p.x+h.ny*p.y+h.nz*p.z-h.d,2), 0.0004e0)),9) as cost
