@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from ..session import shared_folder
+from . import bpe, decontaminate, licenses, near_dedup, quality, quotes, secrets, sharding, token_counts, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,10 +22,63 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("op1_quality_ratio")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_feistel_shards")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.placed(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_quote_threads")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = token_counts.CountParams(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.counts(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/token-counts", p)
+
+
+@query("op5_bpe_round_trip")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.matches(table(spark, sf_dir, "documents"))
+    listed = F.transform("found", lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"), x["percent"].cast("string")))
+    return found.select("doc_id", "n_words", F.size("found").cast("bigint").alias("n_matches"), F.array_join(listed, ",").alias("matches"))
 
 
 @query("op7_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.components(documents(spark, sf_dir)).drop("k1", "k2")
+    return near_dedup.components(table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
+@query("op8_token_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_shards.shards(spark, f"{sf_dir}/documents.parquet", lambda: bpe.vocabulary(path).encode)
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(kind).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
