@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import bpe, decontaminate, licenses, near_dedup, quality, quotes, secrets, sharding, token_counts, token_shards
+from . import bpe, decontaminate, licenses, near_dedup, oracles, quality, quotes, secrets, sharding, token_counts, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -26,18 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_quality_ratio")
+@query("op1_quality_ratio", oracles.quality_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op2_feistel_shards")
+@query("op2_feistel_shards", oracles.shards_sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.placed(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op3_quote_threads")
+@query("op3_quote_threads", oracles.quotes_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
@@ -61,7 +61,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("found").cast("bigint").alias("n_matches"), F.array_join(listed, ",").alias("matches"))
 
 
-@query("op7_near_dedup")
+@query("op7_near_dedup", oracles.near_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
@@ -72,13 +72,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shards(spark, f"{sf_dir}/documents.parquet", lambda: bpe.vocabulary(path).encode)
 
 
-@query("op9_secret_scan")
+@query("op9_secret_scan", oracles.secrets_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(kind).cast("bigint").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", oracles.contamination_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
