@@ -172,6 +172,17 @@ def _confirmed(p: NearParams):
     return kernel
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: a node keeps its smallest neighbour and links the others to it.
+
+    A node has one edge for each tile it is in, and tiles of one family share few smallest nodes, so most of the
+    new edges are equal.
+    """
+    near = edges.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("all"))
+    star = F.transform("all", lambda b, i: F.struct(F.when(i == 0, F.col("a")).otherwise(b).alias("a"), F.get("all", F.lit(0)).alias("b")))
+    return near.select(F.inline(star)).distinct()
+
+
 def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """(doc_id, k1, k2, n_shingles, component_id, kept) for each row of ``docs``."""
     signed = stage(signatures(docs, p).withColumn("rid", F.monotonically_increasing_id()))
@@ -181,8 +192,8 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = in_tiles(keyed.join(shared, "key"), "key", "node", "n", p.bucket_block)
     tiles = (members.join(sets.select("node", "n_shingles", "signature"), "node").select("key", "lo", "hi", "node", "n_shingles", "signature")
-             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"))
-    families = connected_components(tiles.mapInArrow(_close_pairs(p), "a bigint, b bigint").distinct())
+             .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node"))
+    families = connected_components(thinned(tiles.mapInArrow(_close_pairs(p), "a bigint, b bigint")))
     families = stage(families.join(families.groupBy("root").agg(F.count("*").alias("n")), "root"))
 
     wanted = families.join(signed.select(F.col("rid").alias("node"), "doc_id", "k1", "k2"), "node")
@@ -191,8 +202,7 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     held = (wanted.join(texts, F.expr("k1 = t_k1 and k2 = t_k2 and doc_id <=> id"))
             .dropDuplicates(["node"]).select("root", "node", "n", "text"))
     checked = in_tiles(held, "root", "node", "n", p.family_block).groupBy("root", "lo", "hi")
-    links = checked.applyInPandas(_confirmed(p), "a bigint, b bigint").distinct()
-    roots = connected_components(links)
+    roots = connected_components(thinned(checked.applyInPandas(_confirmed(p), "a bigint, b bigint")))
 
     classes = sets.join(roots, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "node").alias("root"))
     rows = signed.select("doc_id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
