@@ -191,13 +191,15 @@ def cylinder_distance(spark, sf):
                     G.height_ok(F.col("qz"), F.lit(-1.0), F.lit(1.0), 0.2).alias("height_fits"))
 
 
-part("circle_rows", "select *, (ay*(az-bx)+ax*(bjy-dy))/nullif(ex*ay-ax*ey,0e0) as s2 from (select vec_id, ax/sqrt(ax*ax+ay*ay) as ax, "
-     "ay/sqrt(ax*ax+ay*ay) as ay, az, bjy as dy, bx, bz as bjy, bz/sqrt(bz*bz+az*az) as ex, az/sqrt(bz*bz+az*az) as ey from directions) t")
+# both normal lines as equations q.x = c, solved by Cramer's rule around the second point
+part("circle_lines", """select vec_id, az as pax, bjy as pay, bx as pbx, bz as pby, ax/sqrt(ax*ax+ay*ay) as nax, ay/sqrt(ax*ax+ay*ay) as nay,
+  bz/sqrt(bz*bz+az*az) as nbx, az/sqrt(bz*bz+az*az) as nby from directions""")
+part("circle_meets", """select *, nbx*c/nullif(det,0e0)+pbx as cx, nby*c/nullif(det,0e0)+pby as cy from (
+  select *, nay*(pax-pbx)-nax*(pay-pby) as c, nbx*nay-nby*nax as det from circle_lines) t""")
 
 
 @query("circle_from_pairs", """select vec_id, round(cx,4)+0.0e0 as cx, round(cy,4)+0.0e0 as cy, round((ra+rb)*0.5e0,4)+0.0e0 as radius,
-  coalesce(abs(ra-(ra+rb)*0.5e0) < 0.3e0, false) as stable from (select *, sqrt((cx-az)*(cx-az)+(cy-dy)*(cy-dy)) as ra,
-    sqrt((cx-bx)*(cx-bx)+(cy-bjy)*(cy-bjy)) as rb from (select *, bx+s2*ex as cx, bjy+s2*ey as cy from circle_rows) a) b""")
+  coalesce(greatest(ra,rb)-least(ra,rb) < 0.6e0, false) as stable from (select *, sqrt(pow(cx-pax,2)+pow(cy-pay,2)) as ra, sqrt(pow(cx-pbx,2)+pow(cy-pby,2)) as rb from circle_meets) t""")
 def circle_from_pairs(spark, sf):
     d = directions(spark, sf).selectExpr(
         "vec_id", "az as pax", "by as pay", "bx as pbx", "bz as pby", "ax/sqrt(ax*ax+ay*ay) as nax", "ay/sqrt(ax*ax+ay*ay) as nay",

@@ -222,8 +222,11 @@ part("flat_pairs0", """select m.scan_id, m.a_ix, m.a_iy, m.a_iz, m.b_ix, m.b_iy,
   from axis_members m join axis_frame f on f.scan_id=m.scan_id""")
 part("flat_pairs", """select scan_id, a_ix, a_iy, a_iz, b_ix, b_iy, b_iz, pax, pay, pbx, pby, nax/sqrt(nax*nax+nay*nay) as nax, nay/sqrt(nax*nax+nay*nay) as nay,
   nbx/sqrt(nbx*nbx+nby*nby) as nbx, nby/sqrt(nbx*nbx+nby*nby) as nby from flat_pairs0""")
-part("flat_circles", """select *, (ra+rb)*0.5e0 as radius from (select *, sqrt((cx-pax)*(cx-pax)+(cy-pay)*(cy-pay)) as ra, sqrt((cx-pbx)*(cx-pbx)+(cy-pby)*(cy-pby)) as rb from (
-  select *, pbx+s2*nbx as cx, pby+s2*nby as cy from (select *, (nay*(pax-pbx)+nax*(pby-pay))/nullif(nbx*nay-nax*nby,0e0) as s2 from flat_pairs) a) b) c""")
+# the normal lines nay*x - nax*y = c, solved by Cramer's rule with the first point as origin
+part("flat_meets", """select *, nax*c/nullif(det,0e0)+pax as cx, nay*c/nullif(det,0e0)+pay as cy from (
+  select *, nby*(pbx-pax)-nbx*(pby-pay) as c, nax*nby-nay*nbx as det from flat_pairs) t""")
+part("flat_circles", """select *, (ra+rb)/2e0 as radius from (
+  select *, sqrt(pow(cx-pax,2)+pow(cy-pay,2)) as ra, sqrt(pow(cx-pbx,2)+pow(cy-pby,2)) as rb from flat_meets) t""")
 
 
 @query("pair_circles", f"""select scan_id, a_ix, a_iy, a_iz, b_ix, b_iy, b_iz, {rs('cx cy radius', 3)} from flat_circles

@@ -137,20 +137,18 @@ def polar_angle(phi1, theta1, phi2, theta2) -> Column:
 
 
 def middle_plane(n1, c1, d1, n2, c2, d2):
-    """Bisecting plane of two planes with centroids c1, c2: (normal, distance).
+    """Bisecting plane of two planes with centroids c1, c2: (normal, signed distance).
 
-    Meant to be evaluated after ``let`` on plain columns.  Null for parallel planes.
+    With both normals turned to the viewpoint, its points have equal signed distance to
+    both planes: a.x - da = b.x - db.  Null for planes of one orientation.
     """
-    a, b = toward_viewpoint(n1, c1), toward_viewpoint(n2, c2)
-    t1 = cross(b, a)
-    s = add(a, b)
-    raw = cross(t1, s)
-    m = unit(raw, norm(raw))
-    w = cross(t1, a)
-    on_first = project_on_plane(c1, n1, d1)
-    lam = ratio(d2 - dot(on_first, n2), dot(n2, w))
-    meet = add(on_first, mul(w, lam))
-    return m, meet
+    turned = []
+    for n, c, d in ((n1, c1, d1), (n2, c2, d2)):
+        sign = F.when(dot(n, c) > 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+        turned.append((mul(n, sign), d * sign))
+    (a, da), (b, db) = turned
+    gap = sub(a, b)
+    return unit(gap, norm(gap)), ratio(da - db, norm(gap))
 
 
 def box_distance(q, lo, hi) -> Column:
@@ -201,18 +199,22 @@ def radius_ok(radius: Column, lo: float, hi: float) -> Column:
     return (radius > lo) & (radius < hi)
 
 
-def circle_from_pair(a, na, b, nb, tolerance) -> dict[str, Column]:
-    """Circle through two oriented 2-D points; null centre for parallel normals."""
-    s2 = ratio(na[1] * (a[0] - b[0]) + na[0] * (b[1] - a[1]), nb[0] * na[1] - na[0] * nb[1])
-    cx, cy = b[0] + s2 * nb[0], b[1] + s2 * nb[1]
+def det2(a, b) -> Column:
+    """Determinant of two 2-D vectors."""
+    return a[0] * b[1] - a[1] * b[0]
+
 
-    def reach(p):
-        return F.sqrt((cx - p[0]) * (cx - p[0]) + (cy - p[1]) * (cy - p[1]))
+def circle_from_pair(a, na, b, nb, tolerance) -> dict[str, Column]:
+    """Circle through two oriented 2-D points; null centre for parallel normals.
 
-    ra = reach(a)
-    radius = (ra + reach(b)) * 0.5
-    return {"cx": cx, "cy": cy, "radius": radius,
-            "stable": F.coalesce(F.abs(ra - radius) < tolerance, F.lit(False))}
+    The centre is where the normal lines meet; each point has its own distance to it, and
+    the radius is their mean.
+    """
+    step = ratio(det2((a[0] - b[0], a[1] - b[1]), na), det2(nb, na))
+    centre = (b[0] + step * nb[0], b[1] + step * nb[1])
+    to_a, to_b = (F.hypot(centre[0] - q[0], centre[1] - q[1]) for q in (a, b))
+    return {"cx": centre[0], "cy": centre[1], "radius": (to_a + to_b) / 2,
+            "stable": F.coalesce(F.abs(to_a - to_b) / 2 < tolerance, F.lit(False))}
 
 
 def with_pair_axis(df: DataFrame) -> DataFrame:

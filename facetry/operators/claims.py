@@ -136,9 +136,8 @@ def middle_planes(pairs: DataFrame, planes: DataFrame) -> DataFrame:
     for tag, key in (("a", "first_plane"), ("b", "second_plane")):
         d = d.join(planes.select("scan_id", F.col("plane_id").alias(key), *(F.col(c).alias(f"{tag}_{c}") for c in cols)),
                    ["scan_id", key])
-    m, meet = middle_plane(v("a_n"), v("a_cg"), F.col("a_d"), v("b_n"), v("b_cg"), F.col("b_d"))
-    d = d.withColumns({"_h" + a: c for a, c in zip("xyz", m)} | {"_m" + a: c for a, c in zip("xyz", meet)})
-    d = d.selectExpr("*", "_hx*_mx + _hy*_my + _hz*_mz as _hd")
+    m, offset = middle_plane(v("a_n"), v("a_cg"), F.col("a_d"), v("b_n"), v("b_cg"), F.col("b_d"))
+    d = d.withColumns({"_h" + a: c for a, c in zip("xyz", m)} | {"_hd": offset})
     d = d.selectExpr("*", "if(_hd < 0, -_hx, _hx) as hx", "if(_hd < 0, -_hy, _hy) as hy", "if(_hd < 0, -_hz, _hz) as hz",
                      "abs(_hd) as hd")
     d = d.withColumns({"sa": signed_distance(v("a_cg"), v("h"), F.col("hd")),
