@@ -243,12 +243,11 @@ def region_centroids(pixels: DataFrame, label: str = "label") -> DataFrame:
 def colour_labels(pixels: DataFrame, width: int) -> DataFrame:
     """Colour picture -> labels: black 0, white 1, others 10, 11, ... by first appearance.
 
-    Raises through ``raise_error`` where an image has more than 245 other colours.
+    Labels are not bounded here; 8-bit files check them when they are encoded.
     """
     first = pixels.groupBy("image_id", "rgb").agg(F.min(F.col("r") * width + F.col("c")).alias("_first"))
     w = Window.partitionBy("image_id").orderBy("_first")
     other = first.filter("rgb <> 0 and rgb <> 16777215").withColumn("_k", F.row_number().over(w))
-    other = other.withColumn("label", F.when(F.col("_k") <= 245, F.col("_k") + 9).otherwise(
-        F.raise_error(F.lit("too many colours in one image")).cast("int")).cast("bigint"))
+    other = other.withColumn("label", (F.col("_k") + 9).cast("bigint"))
     d = pixels.join(other.select("image_id", "rgb", "label"), ["image_id", "rgb"], "left")
     return d.withColumn("label", F.expr("case rgb when 0 then 0L when 16777215 then 1L else label end"))

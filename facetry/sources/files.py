@@ -19,11 +19,26 @@ ROWS_PER_BATCH = 262_144
 NUMBER = r"(\d+)(?!.*\d)"  # last number of the file name
 
 
-def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Files with the scan number taken from their name (``pattern`` has one group)."""
+BY_PATH = "path"  # in place of a pattern: the id is a hash of the whole path, for collections of many folders
+
+
+def _files(spark: SparkSession, path: str, pattern: str, numbers=None) -> DataFrame:
+    """Files with the scan number taken from their name (``pattern`` has one group).
+
+    Files whose number is not asked for are left out by name, before their content is read.
+    """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return d.select("path", F.regexp_extract(name, pattern, 1).cast("bigint").alias("scan_id"), "content")
+    if pattern == BY_PATH:
+        number = F.xxhash64("path")
+    else:
+        number = F.try_element_at(F.regexp_extract_all(F.element_at(F.split("path", "/"), -1), F.lit(pattern), F.lit(1)), F.lit(1)).try_cast("bigint")
+    if numbers is not None:
+        wanted = d.select("path").filter(number.isin(*numbers))
+        paths = [r.path for r in wanted.collect()]  # as many as numbers are asked for
+        if not paths:
+            return d.filter(F.lit(False)).select("path", number.alias("scan_id"), "content")
+        d = spark.read.format("binaryFile").load(paths)
+    return d.select("path", number.alias("scan_id"), "content")
 
 
 # --- point clouds ----------------------------------------------------------
@@ -47,8 +62,32 @@ def parse_cloud_header(content: bytes) -> tuple[dict, int]:
             return head, pos
 
 
+def expand(data: bytes, size: int) -> bytes:
+    """LZF data: runs of literal bytes and copies of earlier output."""
+    out, i = bytearray(), 0
+    while i < len(data):
+        control = data[i]
+        i += 1
+        if control < 32:
+            out += data[i:i + control + 1]
+            i += control + 1
+            continue
+        length = control >> 5
+        if length == 7:
+            length += data[i]
+            i += 1
+        back = ((control & 31) << 8 | data[i]) + 1
+        i += 1
+        length += 2
+        seed = bytes(out[-back:][:length])
+        out += (seed * -(-length // len(seed)))[:length]
+    if len(out) != size:
+        raise ValueError("broken compressed point cloud")
+    return bytes(out)
+
+
 def decode_cloud(content: bytes) -> tuple[dict, dict]:
-    """(header, column arrays) of an ascii or binary point-cloud file."""
+    """(header, column arrays) of an ascii, binary or compressed point-cloud file."""
     head, pos = parse_cloud_header(content)
     names = head["FIELDS"]
     counts = [int(c) for c in head.get("COUNT", ["1"] * len(names))]
@@ -60,6 +99,14 @@ def decode_cloud(content: bytes) -> tuple[dict, dict]:
         record = np.dtype([(n, t, (c,)) if c > 1 else (n, t) for n, t, c in zip(names, dtypes, counts)])
         rows = np.frombuffer(content, record, total, pos)
         return head, {n: rows[n] for n, c in zip(names, counts) if c == 1}
+    if mode == "binary_compressed":  # the fields one after another
+        packed, size = struct.unpack_from("<II", content, pos)
+        body, out, at = expand(content[pos + 8:pos + 8 + packed], size), {}, 0
+        for n, t, c in zip(names, dtypes, counts):
+            if c == 1:
+                out[n] = np.frombuffer(body, t, total, at)
+            at += total * c * np.dtype(t).itemsize
+        return head, out
     if mode != "ascii":
         raise ValueError(f"unsupported point-cloud data mode {mode}")
     cells = np.array(content[pos:].split(), dtype="U32").reshape(total, sum(counts))
@@ -152,7 +199,7 @@ DECODERS = {"raster": decode_raster, "pgm": decode_pgm, "packed": decode_packed}
 PIXEL_SCHEMA = "path string, image_id bigint, r bigint, c bigint, v bigint"
 
 
-def read_images(spark: SparkSession, path: str, kind: str, pattern: str = NUMBER) -> DataFrame:
+def read_images(spark: SparkSession, path: str, kind: str, pattern: str = NUMBER, numbers=None) -> DataFrame:
     """Pixels of image files; one task per file."""
     decoder = DECODERS[kind]
 
@@ -167,12 +214,13 @@ def read_images(spark: SparkSession, path: str, kind: str, pattern: str = NUMBER
                     yield pd.DataFrame({"path": row.path, "image_id": row.scan_id, "r": r.ravel() + a, "c": c.ravel(),
                                         "v": part.ravel().astype(np.int64)})
 
-    return _files(spark, path, pattern).mapInPandas(decode, PIXEL_SCHEMA)
+    return _files(spark, path, pattern, numbers).mapInPandas(decode, PIXEL_SCHEMA)
 
 
-def with_pid(pixels: DataFrame, width: int = 65536) -> DataFrame:
-    """Row-major point id of a pixel."""
-    return pixels.withColumn("pid", F.col("r") * width + F.col("c"))
+def with_pid(pixels: DataFrame) -> DataFrame:
+    """Row-major point id of a pixel, in the widest image of the table."""
+    width = pixels.agg(F.max("c")).first()[0]
+    return pixels.withColumn("pid", F.col("r") * F.lit((width or 0) + 1) + F.col("c"))
 
 
 def read_labels(spark: SparkSession, path: str, pattern: str = NUMBER) -> DataFrame:
@@ -207,9 +255,8 @@ def read_normals(spark: SparkSession, path: str, pattern: str = NUMBER) -> DataF
 
 
 def read_sequence(spark: SparkSession, path: str, kind: str, numbers, pattern: str = NUMBER) -> DataFrame:
-    """Images of a numbered sequence."""
-    d = read_images(spark, path, kind, pattern)
-    return d.filter(F.col("image_id").isin(*numbers))
+    """Images of a numbered sequence; other files are not read."""
+    return read_images(spark, path, kind, pattern, numbers)
 
 
 # --- plane records ---------------------------------------------------------

@@ -26,10 +26,38 @@ def cloud(mode, rows):
             bits = struct.unpack("<f", struct.pack("<I", c))[0]
             lines.append(f"{x} {y} {z} {bits!r}")
         return head + "\n".join(lines).encode() + b"\n"
+    if mode == "binary_compressed":
+        columns = list(zip(*rows))
+        body = b"".join(struct.pack(f"<{len(rows)}{'I' if i == 3 else 'f'}", *c) for i, c in enumerate(columns))
+        packed = b"".join(bytes([len(body[i:i + 32]) - 1]) + body[i:i + 32] for i in range(0, len(body), 32))
+        return head + struct.pack("<II", len(packed), len(body)) + packed
     return head + b"".join(struct.pack("<fffI", x, y, z, c) for x, y, z, c in rows)
 
 
-@pytest.mark.parametrize("mode", ["ascii", "binary"])
+def test_expand():
+    # literals, a copy that overlaps itself, a long copy with an extra length byte
+    assert src.expand(b"\x02abc" + b"\x20\x02" + b"\xe0\x05\x00", 3 + 3 + 14) == b"abcabc" + b"c" * 14
+    with pytest.raises(ValueError):
+        src.expand(b"\x02abc", 4)
+
+
+def test_ids_of_paths_and_pruned_sequences(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.ras").write_bytes(out.encode_image(np.full((2, 2), ord(folder), np.uint8), "raster"))
+    (tmp_path / "b" / "2.ras").write_bytes(b"broken, and never read")
+    (tmp_path / "b" / "plain.ras").write_bytes(b"no number")
+    one = src.read_sequence(spark, str(tmp_path), "raster", [1])
+    assert one.count() == 8 and {r.v for r in one.collect()} == {ord("a"), ord("b")}
+    assert src.read_sequence(spark, str(tmp_path), "raster", [7]).count() == 0
+    (tmp_path / "b" / "2.ras").unlink()
+    (tmp_path / "b" / "plain.ras").unlink()
+    assert src.read_images(spark, str(tmp_path), "raster", src.BY_PATH).select("image_id").distinct().count() == 2
+    wide = spark.createDataFrame([(0, 5), (1, 70000)], "r long, c long")
+    assert sorted(r.pid for r in src.with_pid(wide).collect()) == [5, 140001]
+
+
+@pytest.mark.parametrize("mode", ["ascii", "binary", "binary_compressed"])
 def test_clouds(spark, tmp_path, mode):
     rows = [(0.5, 1.0, 2.0, 0x102030), (float("nan"), 0.0, 1.0, 0xFF), (1.5, -1.0, 30.0, 1), (2.5, 0.25, 4.0, 0x0A0B0C)]
     for k in (3, 12):
