@@ -1,15 +1,18 @@
 """Evaluation, assignment tables, label images, whole extractions and the stream query."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import assign, evaluate, octree
 from ..params import SegParams
 from ..plans import pipeline
+from ..session import shared_folder
 from ..sinks import tables
 from ..streaming import streams
 from .common import P, r, rounded, rs
 from .registry import part, query
-from .views import load
+from .views import STREAM, load
 
 T = 0.8
 part("overlap", "select cast(image_id as bigint) as image_id, ms, gt, count(*) as pixels from label_pixels group by all")
@@ -231,10 +234,10 @@ def chunked_points(spark, sf):
 
 
 @query("bulk_moments", """select scan_id, cast(floor((x+16e0)/0.5e0) as bigint) as ix, cast(floor((y+16e0)/0.5e0) as bigint) as iy, cast(floor((z+16e0)/0.5e0) as bigint) as iz,
-  count(*) as n, round(sum(x*z),2)+0.0e0 as sxz from big_points where abs(x) < 16e0 and abs(y) < 16e0 group by 1,2,3,4""")
+  count(*) as n, round(sum(x*z),2)+0.0e0 as sxz from big_points group by 1,2,3,4""")
 def bulk_moments(spark, sf):
     p = SegParams(rho_max=16.0, min_octree_resolution=0.5, sq_dist_factor=-1.0)
-    d = octree.leaf_moments(octree.with_keys(load(spark, sf, "big_points").filter("abs(x) < 16 and abs(y) < 16"), p))
+    d = octree.leaf_moments(octree.with_keys(load(spark, sf, "big_points"), p))
     return d.select("scan_id", F.col("lx").alias("ix"), F.col("ly").alias("iy"), F.col("lz").alias("iz"), "n", r("sxz", 2).alias("sxz"))
 
 
@@ -246,7 +249,9 @@ S = "sx sy sz sxx sxy sxz syy syz szz"
   cast(floor((y+4e0)/0.25e0) as bigint) as iy, cast(floor((z+4e0)/0.25e0) as bigint) as iz, count(*) as n, sum(x) as sx, sum(y) as sy, sum(z) as sz, sum(x*x) as sxx, sum(x*y) as sxy,
   sum(x*z) as sxz, sum(y*y) as syy, sum(y*z) as syz, sum(z*z) as szz from stream_points group by 1,2,3,4,5) t""")
 def stream_moments(spark, sf):
-    d = streams.cell_moments(load(spark, sf, "stream_points"), STREAM_P)
+    arriving = streams.point_stream(spark, sf, spark.read.parquet(f"{sf}/events.parquet").schema, name="events.parquet")
+    points = spark.sql(STREAM.replace("from events", "from {events}"), events=arriving)
+    d = streams.drained(streams.cell_moments(points, STREAM_P), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     d = d.selectExpr("date_format(w.start, 'yyyy-MM-dd') as day", "scan_id", "lx as ix", "ly as iy", "lz as iz", "n", *S.split())
     return rounded(d, S.split(), 9)
 

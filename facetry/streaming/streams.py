@@ -17,9 +17,10 @@ POINT_SCHEMA = ("sensor_id bigint, frame_ts timestamp, scan_id bigint, pid bigin
                 "rgb bigint, intensity double")
 
 
-def point_stream(spark: SparkSession, path: str, schema: str = POINT_SCHEMA, files_per_trigger: int = 100) -> DataFrame:
-    """Points that arrive as Parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def point_stream(spark: SparkSession, path: str, schema=POINT_SCHEMA, files_per_trigger: int = 100, name: str = "*") -> DataFrame:
+    """Points that arrive as Parquet files (of that name pattern) in a folder."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+            .option("pathGlobFilter", name).parquet(path))
 
 
 def widen(points: DataFrame) -> DataFrame:
@@ -81,6 +82,18 @@ def cell_moments(points: DataFrame, p: SegParams, ts: str = "ts", window: str =
     return keyed.groupBy(F.window(ts, window).alias("w"), "scan_id", "lx", "ly", "lz").agg(*moment_aggs(v("x", "y", "z")))
 
 
+def drained(result: DataFrame, folder: str) -> DataFrame:
+    """Run a stream over all that has arrived and return its complete result, stored in ``folder``."""
+    table = f"{folder}/table"
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table)
+
+    (result.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return result.sparkSession.read.schema(result.schema).parquet(table)
+
+
 def surfels_of_moments(moments: DataFrame, p: SegParams) -> DataFrame:
     """Surfels from accumulated cell moments (a batch or the content of ``foreachBatch``)."""
     d = moments.selectExpr("w.start as window_start", "scan_id", f"{p.depth} as layer", f"{p.depth} as depth",
