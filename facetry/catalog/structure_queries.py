@@ -2,6 +2,7 @@
 
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assign, claims, fit, grid, octree, raster, spatial
@@ -9,6 +10,7 @@ from ..operators.components import cell_components, decode
 from ..plans import cylinders as cyl_plan
 from ..plans import planes as plane_plan
 from ..plans import post
+from ..plans.book import stack
 from ..session import stage
 from ..sinks import tables
 from .common import LAYER, P, SIZE, TRUE_CYLINDER, TRUE_PLANES, eigen_parts, moments_sql, r, rounded, rs
@@ -170,11 +172,16 @@ def plane_rectangle(spark, sf):
                     r(F.col("rectangle")[0]["z"], 5).alias("z0"), r(F.col("box")[5]["x"], 5).alias("bx"), "rank")
 
 
-# robust fit: pool in hash order, fixed triples, truncated squares, refit on the inliers
-part("pool", """select * from (select *, row_number() over (partition by scan_id, plane_id order by ((pid % 2147483647)*48271) % 2147483647, pid) as rank,
+# robust fit: pool in draw order, different triples, truncated squares, refit on the inliers
+DRAW = "((((pid % 2147483647)*48271) % 2147483647) * 69621) % 2147483629"
+part("pool", f"""select * from (select *, row_number() over (partition by scan_id, plane_id order by {DRAW}, pid) as rank,
   least(count(*) over (partition by scan_id, plane_id), 300) as ps from plane_points) t where rank <= 300""")
-part("triple_keys", """select g.scan_id, g.plane_id, k.k, 1+(k.k*7919)%g.ps as ra, 1+(k.k*104729+g.ps//3)%g.ps as rb, 1+(k.k*611953+2*g.ps//3)%g.ps as rc
-  from (select distinct scan_id, plane_id, ps from pool) g cross join (select unnest(range(0, 100)) as k) k""")
+part("triple_numbers", f"""select scan_id, plane_id, ps, k, (k*({fit.STRIDE} % c)) % c as r from (
+  select scan_id, plane_id, ps, c, unnest(range(0, least(100, c))) as k from (select distinct scan_id, plane_id, ps, ps*(ps-1)//2*(ps-2)//3 as c from pool) g where c > 0) t""")
+# positions of combination r: the largest t with t over 3 <= r, then the same for the rest
+part("triple_keys", """select scan_id, plane_id, k, 1+rest-k2*(k2-1)//2 as ra, 1+k2 as rb, 1+k3 as rc from (
+  select *, list_max(list_filter(range(1, ps), lambda t: t*(t-1)//2 <= rest)) as k2 from (select *, r-k3*(k3-1)*(k3-2)//6 as rest from (
+    select *, list_max(list_filter(range(2, ps), lambda t: t*(t-1)*(t-2)//6 <= r)) as k3 from triple_numbers) a) b) c""")
 part("triples", """select t.scan_id, t.plane_id, t.k, a.x, a.y, a.z, b.x-a.x as x1, b.y-a.y as y1, b.z-a.z as z1, c.x-a.x as x2, c.y-a.y as y2, c.z-a.z as z2
   from triple_keys t join pool a on a.scan_id=t.scan_id and a.plane_id=t.plane_id and a.rank=t.ra
   join pool b on b.scan_id=t.scan_id and b.plane_id=t.plane_id and b.rank=t.rb
@@ -222,10 +229,26 @@ def plane_acceptance(spark, sf):
     return counts.join(good, KEY, "left").select(*KEY, "members", "total", F.coalesce("ok", F.lit(False)).alias("accepted"))
 
 
-@query("ransac_peel_planes")
+def found_surfaces(points: DataFrame, assignment: DataFrame, label: str, surfaces: str, share: float) -> DataFrame:
+    """Scan and true surface: its points, and whether one label holds at least ``share`` of them and little else."""
+    rows = points.select("scan_id", "pid", "surf").join(assignment.select("scan_id", "pid", F.col(label).alias("label")), ["scan_id", "pid"], "left")
+    held = rows.groupBy("scan_id", "surf", "label").agg(F.count("*").alias("n"))
+    whole = held.groupBy("scan_id", "label").agg(F.sum("n").alias("of_label"))
+    best = (held.filter("label is not null").join(whole, ["scan_id", "label"]).filter(f"n >= {share!r}D*of_label")
+            .groupBy("scan_id", "surf").agg(F.max("n").alias("most")))
+    total = held.groupBy("scan_id", "surf").agg(F.sum("n").alias("points")).filter(surfaces)
+    return total.join(best, ["scan_id", "surf"], "left").select(
+        "scan_id", F.col("surf").cast("bigint").alias("surface"), "points", F.expr(f"coalesce(most >= {share!r}D*points, false)").alias("found"))
+
+
+TRUE_SURFACES = "select scan_id, cast(surf as bigint) as surface, count(*) as points, true as found from scene_points where surf {} group by 1, 2"
+
+
+@query("ransac_peel_planes", TRUE_SURFACES.format("< 3"))
 def ransac_peel_planes(spark, sf):
-    book = plane_plan.peel_planes(load(spark, sf, "scene_points"), P.but(min_sac_distance=0.05, sac_iterations=100), max_rounds=3)
-    return rounded(book.structures.select(*KEY, "nx", "ny", "nz", "d", "members"), ["nx", "ny", "nz", "d"], 3)
+    pts = load(spark, sf, "scene_points")
+    book = plane_plan.peel_planes(pts, P.but(min_sac_distance=0.05, min_points_in_cc=300))
+    return found_surfaces(pts, stack(book.assignment), "plane_id", "surf < 3", 0.6)
 
 
 # neighbourhoods
@@ -332,13 +355,8 @@ part("mid0", """select q.*, a.nx as ax, a.ny as ay, a.nz as az, a.d as ad, b.nx
   from (select distinct scan_id, first_plane, second_plane from nearest_rows where second_plane is not null) q
   join true_planes a on a.plane_id=q.first_plane join true_planes b on b.plane_id=q.second_plane
   join plane_cg g on g.scan_id=q.scan_id and g.plane_id=q.first_plane join plane_cg h on h.scan_id=q.scan_id and h.plane_id=q.second_plane""")
-part("mid1", """select *, sa*ax as fx, sa*ay as fy, sa*az as fz, sb*bx as kx, sb*bjy as ky, sb*bz as kz from mid0""")
-part("mid2", """select *, ky*fz-kz*fy as t1x, kz*fx-kx*fz as t1y, kx*fy-ky*fx as t1z, fx+kx as sx, fy+ky as sy, fz+kz as sz,
-  ax*gx+ay*gy+az*gz-ad as ga from mid1""")
-part("mid3", """select *, t1y*sz-t1z*sy as rx, t1z*sx-t1x*sz as ry, t1x*sy-t1y*sx as rz, t1y*fz-t1z*fy as wx, t1z*fx-t1x*fz as wy, t1x*fy-t1y*fx as wz,
-  gx-ax*ga as ox, gy-ay*ga as oy, gz-az*ga as oz from mid2""")
-part("mid4", """select *, sqrt(rx*rx+ry*ry+rz*rz) as rl, (bd-(ox*bx+oy*bjy+oz*bz))/nullif(bx*wx+bjy*wy+bz*wz,0e0) as lam from mid3""")
-part("mid5", """select *, rx/rl as mx, ry/rl as my, rz/rl as mz, rx/rl*(ox+lam*wx)+ry/rl*(oy+lam*wy)+rz/rl*(oz+lam*wz) as md from mid4""")
+part("mid5", """select *, (sa*ax-sb*bx)/len as mx, (sa*ay-sb*bjy)/len as my, (sa*az-sb*bz)/len as mz, (sa*ad-sb*bd)/len as md
+  from (select *, sqrt(2e0-2e0*sa*sb*(ax*bx+ay*bjy+az*bz)) as len from mid0) t""")
 part("middles", """select scan_id, first_plane, second_plane, case when md<0e0 then -mx else mx end as hx, case when md<0e0 then -my else my end as hy,
   case when md<0e0 then -mz else mz end as hz, abs(md) as hd, gx, gy, gz, hx0, hy0, hz0 from mid5""")
 part("middle_sides", "select *, hx*gx+hy*gy+hz*gz-hd as s1, hx*hx0+hy*hy0+hz*hz0-hd as s2 from middles")
@@ -408,7 +426,40 @@ def cylinder_claims(spark, sf):
     return d.select("scan_id", "ix", "iy", "iz")
 
 
-@query("ransac_cylinder")
+# consensus cylinder: radius normals, different pairs in draw order, weighted error of every point
+part("tube_points", "select scan_id, pid, x, y, z from scene_points where surf = 3")
+part("tube_near", """select a.scan_id, a.pid, b.x, b.y, b.z from tube_points a join tube_points b on a.scan_id=b.scan_id
+  and b.z between a.z-0.25e0 and a.z+0.25e0 and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) <= 0.0625e0""")
+part("tube_moments", moments_sql("scan_id, pid", "tube_near"))
+eigen_parts("tube_eig", "tube_moments")
+part("tube_normals", """select * from (select p.*, case when e.ex*p.x+e.ey*p.y+e.ez*p.z > 0e0 then -e.ex else e.ex end as nx,
+  case when e.ex*p.x+e.ey*p.y+e.ez*p.z > 0e0 then -e.ey else e.ey end as ny, case when e.ex*p.x+e.ey*p.y+e.ez*p.z > 0e0 then -e.ez else e.ez end as nz
+  from tube_points p join tube_eig e using (scan_id, pid) where e.n >= 3) t where nx is not null""")
+part("tube_pool", f"""select * from (select *, row_number() over (partition by scan_id order by {DRAW}, pid) - 1 as place,
+  least(count(*) over (partition by scan_id), 20000) as ps from tube_normals) t where place < 20000""")
+part("tube_pairs", f"""select scan_id, k, r-k2*(k2-1)//2 as ra, k2 as rb from (select *, list_max(list_filter(range(1, ps), lambda t: t*(t-1)//2 <= r)) as k2 from (
+  select scan_id, ps, k, (k*({fit.STRIDE} % c)) % c as r from (select scan_id, ps, c, unnest(range(0, least(10000, c))) as k from (
+    select distinct scan_id, ps, ps*(ps-1)//2 as c from tube_pool) g where c > 0) t) u) w""")
+part("tube_axes", """select *, sqrt(rx*rx+ry*ry+rz*rz) as r from (select p.scan_id, p.k, f.x as fx, f.y as fy, f.z as fz, f.nx as fnx, f.ny as fny, f.nz as fnz,
+  g.x as gx, g.y as gy, g.z as gz, g.nx as gnx, g.ny as gny, g.nz as gnz, f.ny*g.nz-f.nz*g.ny as rx, f.nz*g.nx-f.nx*g.nz as ry, f.nx*g.ny-f.ny*g.nx as rz
+  from tube_pairs p join tube_pool f on f.scan_id=p.scan_id and f.place=p.ra join tube_pool g on g.scan_id=p.scan_id and g.place=p.rb) t""")
+part("tube_units", """select *, s*rx/r as ux, s*ry/r as uy, s*rz/r as uz from (select *,
+  case when rz < 0e0 or (rz = 0e0 and (ry < 0e0 or (ry = 0e0 and rx < 0e0))) then -1e0 else 1e0 end as s from tube_axes where r > 1e-3) t""")
+# the normal lines seen along the axis meet at f + t*fn
+part("tube_meets", """select *, fx+t*fnx as px, fy+t*fny as py, fz+t*fnz as pz from (select *,
+  ((gx-fx)*(gny*uz-gnz*uy)+(gy-fy)*(gnz*ux-gnx*uz)+(gz-fz)*(gnx*uy-gny*ux))/nullif(fnx*(gny*uz-gnz*uy)+fny*(gnz*ux-gnx*uz)+fnz*(gnx*uy-gny*ux),0e0) as t from tube_units) a""")
+part("tube_hyps", """select * from (select *, (abs(t)+sqrt(pow(gx-px-h*ux,2)+pow(gy-py-h*uy,2)+pow(gz-pz-h*uz,2)))/2e0 as radius from (
+  select *, (gx-px)*ux+(gy-py)*uy+(gz-pz)*uz as h from tube_meets) a) b where radius >= 0.001e0 and radius <= 10e0""")
+part("tube_seen", """select scan_id, k, px, py, ux, uy, uz, radius, nx, ny, nz, qx-h*ux as ox, qy-h*uy as oy, qz-h*uz as oz from (
+  select c.*, p.nx, p.ny, p.nz, p.x-c.px as qx, p.y-c.py as qy, p.z-c.pz as qz, (p.x-c.px)*c.ux+(p.y-c.py)*c.uy+(p.z-c.pz)*c.uz as h
+  from (select scan_id, k, px, py, pz, ux, uy, uz, radius from tube_hyps) c join tube_normals p using (scan_id)) a""")
+part("tube_scores", f"""select scan_id, k, px, py, ux, uy, uz, radius, count(*) filter ({1 - P.normal_distance_weight!r}e0*abs(dist-radius)
+  +{P.normal_distance_weight!r}e0*least(acos(c), pi()-acos(c)) < 0.05e0) as inliers from (
+  select *, least(1e0, greatest(-1e0, coalesce((ox*nx+oy*ny+oz*nz)/nullif(dist,0e0),0e0))) as c from (select *, sqrt(ox*ox+oy*oy+oz*oz) as dist from tube_seen) a) b group by all""")
+
+
+@query("ransac_cylinder", f"""select scan_id, inliers, {rs('px py ax ay az radius', 2)} from (select scan_id, inliers, px, py, ux as ax, uy as ay, uz as az, radius,
+  row_number() over (partition by scan_id order by inliers desc, k) as rn from tube_scores) t where rn = 1""")
 def ransac_cylinder(spark, sf):
     pts = load(spark, sf, "scene_points").filter("surf = 3").select("scan_id", "pid", "x", "y", "z")
     oriented = stage(spatial.radius_normals(pts, pts, 0.25))
@@ -417,13 +468,12 @@ def ransac_cylinder(spark, sf):
     return best.drop("inliers").join(got, "scan_id").select("scan_id", "inliers", *(r(c, 2).alias(c) for c in ("px", "py", "ax", "ay", "az", "radius")))
 
 
-@query("ransac_peel_cylinders")
+@query("ransac_peel_cylinders", TRUE_SURFACES.format("= 3"))
 def ransac_peel_cylinders(spark, sf):
-    p = P.but(sac_iterations=100, min_sac_distance=0.05, max_cylinder_radius=0.5, occupied_ratio=0.1)
-    book = cyl_plan.peel_cylinders(load(spark, sf, "scene_points"), p, max_rounds=1)
-    if book.structures is None:
-        return spark.createDataFrame([], "scan_id bigint, cylinder_id bigint, members bigint, radius double")
-    return book.structures.select("scan_id", "cylinder_id", "members", r("radius", 2).alias("radius"))
+    pts = load(spark, sf, "scene_points")
+    p = P.but(min_sac_distance=0.05, max_cylinder_radius=0.5, occupied_ratio=0.1)
+    book = cyl_plan.peel_cylinders(pts, p)
+    return found_surfaces(pts, stack(book.assignment), "cylinder_id", "surf = 3", 0.6)
 
 
 @query("cylinder_pose", """select scan_id, 0.6e0 as diameter, round(max(z)-min(z),6)+0.0e0 as height, 0e0 as qx, 0e0 as qy, 0e0 as qz, 1e0 as qw, 0.3e0 as mid_x, -0.2e0 as mid_y,

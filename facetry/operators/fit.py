@@ -1,11 +1,13 @@
 """Least-squares and robust fits of planes and cylinders, many groups per job.
 
-Robust fits draw a bounded pool of points per group by a fixed hash order, build the
+Robust fits draw a pool of points per group in a seeded hash order, build different
 hypotheses from it, and score every hypothesis against every point of the group.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,7 @@ from ..functions.geometry import (box_vertices, frame_columns, frame_from, from_
                                   to_frame, to_plane)
 from ..functions.moments import SUMS, moment_aggs, with_eigen
 from ..functions.vec import V, settle, v
-
-POOL_LIMIT = 999  # below the optimizer's limit for pre-shuffle top-k windows
-HASH = "((pid % 2147483647L)*48271L) % 2147483647L"
+from ..session import stage
 
 
 # --- least squares ---------------------------------------------------------
@@ -97,26 +97,58 @@ def axis_points(d: DataFrame, keys) -> DataFrame:
 
 # --- robust fits -----------------------------------------------------------
 
-def sample_pools(points: DataFrame, keys, size: int, extra=()) -> DataFrame:
-    """Per group: up to ``size`` points in hash order, as one bounded array column.
+# Primes of the draw order. No pool size or number of combinations shares a factor with the first.
+STRIDE, SHIFT = 2305843009213693951, 2971215073
+POOL_SALTS = 32  # parts of a group that are ranked apart first
+BLOCK_POINTS = 20_000  # points of a group that are scored together
+
+
+def draw_order(seed: int) -> str:
+    """Hash of ``pid`` that orders the points of a group; each seed gives another order."""
+    return f"((((pid % 2147483647L)*48271L) % 2147483647L + {seed * 40503 % 2147483647}L)*69621L) % 2147483629L"
+
 
-    The ranked filter keeps the top rows of every partition before the shuffle.
+def sample_pools(points: DataFrame, keys, size: int, extra=(), seed: int = 0) -> DataFrame:
+    """Per group: its first ``size`` points in draw order, as rows with their ``rank`` from 0.
+
+    Parts of a group are ranked first, so that no task sorts a whole group.
     """
-    size = min(size, POOL_LIMIT)
-    w = Window.partitionBy(*keys).orderBy(F.expr(HASH), "pid")
-    top = (points.select(*keys, "pid", "x", "y", "z", *extra).withColumn("rank", F.row_number().over(w))
-           .filter(F.col("rank") <= size))
-    item = F.struct("rank", "x", "y", "z", *extra)
-    return (top.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("pool"))
-            .withColumn("pool_size", F.size("pool")))
+    keys = list(keys)
+    order = [F.col("_o"), F.col("pid")]
+    rows = points.select(*keys, "pid", "x", "y", "z", *extra, F.expr(draw_order(seed)).alias("_o"))
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64("pid"), F.lit(POOL_SALTS)))
+    part = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order))).filter(F.col("rank") <= size)
+    top = part.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= size)
+    return stage(top.select(*keys, (F.col("rank") - 1).cast("bigint").alias("rank"), "x", "y", "z", *extra))
 
 
-def plane_hypotheses(pools: DataFrame, keys, count: int) -> DataFrame:
+def drawn(pool: DataFrame, keys, count: int, width: int, seed: int) -> DataFrame:
+    """``count`` different combinations of ``width`` (2 or 3) pool points, or all there are: columns k, a, b[, c].
+
+    Combinations are numbered; hypothesis k takes number (k * stride + shift) modulo their count, and the number
+    is turned back into positions (combinatorial number system).
+    """
+    keys = list(keys)
+    total = "_n*(_n-1) div 2" if width == 2 else "_n*(_n-1) div 2*(_n-2) div 3"
+    d = pool.groupBy(*keys).agg(F.count("*").alias("_n")).filter(f"_n >= {width}").selectExpr(*keys, f"{total} as _c")
+    d = d.selectExpr("*", f"explode(sequence(0L, least({count}L, _c) - 1)) as k")
+    d = d.selectExpr(*keys, "k", f"(k*({STRIDE}L % _c) + ({seed}L*{SHIFT}L) % _c) % _c as _r")
+    if width == 3:
+        d = d.selectExpr("*", "cast(floor(cbrt(6D*_r)) as bigint) as _f")
+        d = d.selectExpr(*keys, "k", "_r", """case when (_f+2)*(_f+1)*_f <= 6*_r then _f+2
+            when (_f+1)*_f*(_f-1) <= 6*_r then _f+1 else _f end as _c""")
+        d = d.selectExpr(*keys, "k", "_c", "_r - _c*(_c-1)*(_c-2) div 6 as _r")
+    d = d.selectExpr("*", "cast(floor(sqrt(2D*_r)) as bigint) as _g")
+    d = d.selectExpr("*", "if((_g+1)*_g <= 2*_r, _g+1, _g) as _b").selectExpr("*", "_r - _b*(_b-1) div 2 as _a")
+    for name in "abc"[:width]:
+        member = pool.select(*keys, F.col("rank").alias(f"_{name}"), F.struct(*(c for c in pool.columns if c not in (*keys, "rank"))).alias(name))
+        d = d.join(member, [*keys, f"_{name}"])
+    return d.select(*keys, "k", *"abc"[:width])
+
+
+def plane_hypotheses(pool: DataFrame, keys, count: int, seed: int = 0) -> DataFrame:
     """Planes through point triples of the pool, turned to d >= 0; collinear triples are skipped."""
-    d = pools.filter("pool_size >= 3").selectExpr(*keys, "pool", "pool_size", f"explode(sequence(0, {count - 1})) as k")
-    d = d.selectExpr(*keys, "k", "pool[cast((k*7919L) % pool_size as int)] as a",
-                     "pool[cast((k*104729L + pool_size div 3) % pool_size as int)] as b",
-                     "pool[cast((k*611953L + 2*pool_size div 3) % pool_size as int)] as c")
+    d = drawn(pool, keys, count, 3, seed)
     d = d.selectExpr(*keys, "k", "a", "b.x-a.x as x1", "b.y-a.y as y1", "b.z-a.z as z1",
                      "c.x-a.x as x2", "c.y-a.y as y2", "c.z-a.z as z2")
     d = d.selectExpr(*keys, "k", "a", "y1*z2-z1*y2 as rx", "z1*x2-x1*z2 as ry", "x1*y2-y1*x2 as rz")
@@ -127,24 +159,53 @@ def plane_hypotheses(pools: DataFrame, keys, count: int) -> DataFrame:
     return d.selectExpr(*keys, "k", f"{s}*nx as nx", f"{s}*ny as ny", f"{s}*nz as nz", "abs(d) as d")
 
 
-def packed(hypotheses: DataFrame, keys, cols) -> DataFrame:
-    """Hypotheses of a group as one array (their number is fixed), so points join one row."""
-    return hypotheses.groupBy(*keys).agg(F.collect_list(F.struct("k", *cols)).alias("hyps"))
+def scored(points: DataFrame, hypotheses: DataFrame, keys, cols, needs, limit: str, kernel) -> DataFrame:
+    """(keys, k, cost): ``kernel(points, hypotheses, limits)`` summed over all points of each group.
+
+    Points are scored in blocks of about BLOCK_POINTS, so that a group of any size spreads over tasks; each block
+    gets the group's hypotheses, whose number is a parameter, and returns one partial sum for each.
+    """
+    keys = list(keys)
+    blocks = points.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_POINTS).cast("int").alias("_nb"))
+    rows = points.join(blocks, keys).select(*keys, *needs, F.expr(limit).alias("_t"), F.pmod(F.xxhash64("pid"), F.col("_nb")).cast("int").alias("_b"))
+    packs = hypotheses.groupBy(*keys).agg(F.collect_list(F.struct("k", *cols)).alias("hyps")).join(blocks, keys)
+    packs = packs.select(*keys, "hyps", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_b"))
+    kinds = dict(points.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", k bigint, cost double"
+
+    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({c: [] for c in [*keys, "k", "cost"]})
+        hyps = right["hyps"].iloc[0]
+        table = np.array([[h[c] for c in cols] for h in hyps], float)
+        xyz, t = left[list(needs)].to_numpy(float), left["_t"].to_numpy(float)
+        cost = np.concatenate([kernel(xyz, table[i:i + 64], t) for i in range(0, len(table), 64)])
+        out = pd.DataFrame({"k": [h["k"] for h in hyps], "cost": cost})
+        for name, value in zip(keys, key):
+            out.insert(0, name, [value] * len(out))
+        return out[[*keys, "k", "cost"]]
+
+    parts = rows.groupBy(*keys, "_b").cogroup(packs.groupBy(*keys, "_b")).applyInPandas(score, schema)
+    return parts.groupBy(*keys, "k").agg(F.round(F.sum("cost"), 9).alias("cost"))
+
+
+def plane_cost(mode: str):
+    """Truncated squares (``msac``) or the negative number of inliers (``count``)."""
+    def kernel(xyz, planes, t):
+        off = np.abs(xyz @ planes[:, :3].T - planes[:, 3])
+        if mode == "msac":
+            return np.minimum(off * off, (t * t)[:, None]).sum(axis=0)
+        return -(off < t[:, None]).sum(axis=0).astype(float)
+
+    return kernel
 
 
 def score_planes(points: DataFrame, hypotheses: DataFrame, keys, limit: str, mode: str) -> DataFrame:
     """Best hypothesis per group: ``msac`` = least truncated squares, ``count`` = most inliers."""
     keys = list(keys)
-    rows = points.join(packed(hypotheses, keys, ["nx", "ny", "nz", "d"]), keys)
-    rows = rows.selectExpr(*keys, "x", "y", "z", f"{limit} as _t", "inline(hyps)")
-    rows = rows.selectExpr(*keys, "k", "nx", "ny", "nz", "d", "_t", "abs(nx*x + ny*y + nz*z - d) as _r")
-    if mode == "msac":
-        cost = "sum(least(_r*_r, _t*_t))"
-    else:
-        cost = "-sum(cast(_r < _t as int))"
-    got = rows.groupBy(*keys, "k", "nx", "ny", "nz", "d").agg(F.expr(f"round(cast({cost} as double), 9)").alias("cost"))
-    best = F.min_by(F.struct("k", "nx", "ny", "nz", "d", "cost"), F.struct("cost", "k")).alias("h")
-    return got.groupBy(*keys).agg(best).select(*keys, "h.*")
+    costs = scored(points, hypotheses, keys, ["nx", "ny", "nz", "d"], ["x", "y", "z"], limit, plane_cost(mode))
+    best = costs.groupBy(*keys).agg(F.min_by("k", F.struct("cost", "k")).alias("k"), F.min("cost").alias("cost"))
+    return hypotheses.join(best, [*keys, "k"]).select(*keys, "k", "nx", "ny", "nz", "d", "cost")
 
 
 def plane_inliers(points: DataFrame, planes: DataFrame, keys, limit: str, strict: bool = True) -> DataFrame:
@@ -154,21 +215,20 @@ def plane_inliers(points: DataFrame, planes: DataFrame, keys, limit: str, strict
     return d.filter(f"abs(_nx*x + _ny*y + _nz*z - _d) {sign} {limit}").drop("_nx", "_ny", "_nz", "_d")
 
 
-def msac_planes(points: DataFrame, keys, limit: str, count: int = 100, mode: str = "msac"):
+def msac_planes(points: DataFrame, keys, limit: str, count: int = 100, mode: str = "msac", seed: int = 0):
     """Robust planes: (planes, inliers).  The best hypothesis is refined by a least-squares
     fit to its inliers, and the inliers are taken again around the refined plane."""
     keys = list(keys)
-    pools = sample_pools(points, keys, 3 * count)
-    best = score_planes(points, plane_hypotheses(pools, keys, count), keys, limit, mode)
+    pools = sample_pools(points, keys, 3 * count, seed=seed)
+    hyps = stage(plane_hypotheses(pools, keys, count, seed))
+    best = stage(score_planes(points, hyps, keys, limit, mode))
     refined = pca_planes(plane_inliers(points, best, keys, limit), keys)
     return refined, plane_inliers(points, refined, keys, limit)
 
 
-def cylinder_hypotheses(pools: DataFrame, keys, count: int, r_min: float, r_max: float) -> DataFrame:
+def cylinder_hypotheses(pool: DataFrame, keys, count: int, r_min: float, r_max: float, seed: int = 0) -> DataFrame:
     """Cylinders through oriented point pairs: axis f_n x g_n, circle in the plane across it."""
-    d = pools.filter("pool_size >= 2").selectExpr(*keys, "pool", "pool_size", f"explode(sequence(0, {count - 1})) as k")
-    d = d.selectExpr(*keys, "k", "pool[cast((k*7919L) % pool_size as int)] as f",
-                     "pool[cast((k*104729L + pool_size div 2) % pool_size as int)] as g")
+    d = drawn(pool, keys, count, 2, seed).withColumnsRenamed({"a": "f", "b": "g"})
     d = d.selectExpr(*keys, "k", *(f"{s}.{c} as {s}{c}" for s in "fg" for c in ("x", "y", "z", "nx", "ny", "nz")))
     d = d.selectExpr("*", "fny*gnz - fnz*gny as rx", "fnz*gnx - fnx*gnz as ry", "fnx*gny - fny*gnx as rz")
     d = d.selectExpr("*", "sqrt(rx*rx + ry*ry + rz*rz) as r")
@@ -202,17 +262,31 @@ def _cylinder_error(rows: DataFrame, keys, weight: float, extra=()) -> DataFrame
     return settle(d, ["err"], keep)
 
 
+def cylinder_cost(weight: float):
+    """The negative number of inliers by surface distance and normal deviation."""
+    def kernel(rows, shapes, t):
+        xyz, normal = rows[:, :3], rows[:, 3:]
+        out = np.empty(len(shapes))
+        for i, s in enumerate(shapes):
+            q = xyz - s[:3]
+            o = q - np.outer(q @ s[3:6], s[3:6])
+            dist = np.sqrt((o * o).sum(axis=1))
+            cos = np.divide((o * normal).sum(axis=1), dist, out=np.zeros(len(dist)), where=dist != 0)
+            turn = np.arccos(np.clip(cos, -1, 1))
+            err = (1 - weight) * np.abs(dist - s[6]) + weight * np.minimum(turn, np.pi - turn)
+            out[i] = -np.count_nonzero(err < t)
+        return out
+
+    return kernel
+
+
 def score_cylinders(points: DataFrame, hypotheses: DataFrame, keys, limit: str, weight: float) -> DataFrame:
     """Hypothesis with the most inliers per group."""
     keys = list(keys)
     cols = ["px", "py", "pz", "ax", "ay", "az", "radius"]
-    rows = points.join(packed(hypotheses, keys, cols), keys).selectExpr(
-        *keys, "x", "y", "z", "nx", "ny", "nz", f"{limit} as _t", "inline(hyps)")
-    err = _cylinder_error(rows, keys, weight, ["k", "_t"])
-    got = err.groupBy(*keys, "k", *cols[:6], "_radius").agg(F.expr("sum(cast(err < _t as int))").alias("inliers"))
-    best = F.max_by(F.struct("k", *cols[:6], F.col("_radius").alias("radius"), "inliers"),
-                    F.struct("inliers", -F.col("k"))).alias("h")
-    return got.groupBy(*keys).agg(best).select(*keys, "h.*")
+    costs = scored(points, hypotheses, keys, cols, ["x", "y", "z", "nx", "ny", "nz"], limit, cylinder_cost(weight))
+    best = costs.groupBy(*keys).agg(F.min_by("k", F.struct("cost", "k")).alias("k"), (-F.min("cost")).cast("bigint").alias("inliers"))
+    return hypotheses.join(best, [*keys, "k"]).select(*keys, "k", *cols, "inliers")
 
 
 def cylinder_inliers(points: DataFrame, cylinders: DataFrame, keys, limit: str, weight: float) -> DataFrame:
@@ -225,11 +299,11 @@ def cylinder_inliers(points: DataFrame, cylinders: DataFrame, keys, limit: str,
 
 
 def ransac_cylinders(points: DataFrame, keys, limit: str, weight: float, r_min: float, r_max: float,
-                     count: int = 300):
+                     count: int = 10_000, seed: int = 0):
     """Robust cylinders from oriented points (pid, x, y, z, nx, ny, nz): (cylinders, inliers)."""
     keys = list(keys)
     usable = points.filter("nx is not null")
-    pools = sample_pools(usable, keys, 2 * count, extra=("nx", "ny", "nz"))
-    hyps = cylinder_hypotheses(pools, keys, count, r_min, r_max)
-    best = score_cylinders(usable, hyps, keys, limit, weight)
+    pools = sample_pools(usable, keys, 2 * count, extra=("nx", "ny", "nz"), seed=seed)
+    hyps = stage(cylinder_hypotheses(pools, keys, count, r_min, r_max, seed))
+    best = stage(score_cylinders(usable, hyps, keys, limit, weight))
     return best, cylinder_inliers(usable, best, keys, limit, weight)

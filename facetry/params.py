@@ -112,12 +112,12 @@ class SegParams:
     cylinder_height_dev: float = 0.2
     only_depth: int = 0
     no_ransac_step: bool = False
-    textures: bool = True
+    textures: bool = False
     cylinders: bool = False
     consensus_only: bool = False
     plane_hypotheses: int = 100
-    cylinder_hypotheses: int = 300
-    sac_iterations: int = 300
+    cylinder_hypotheses: int = 10_000
+    sac_iterations: int = 10_000
     include_self_pairs: bool = False
 
     def __post_init__(self):

@@ -177,7 +177,7 @@ def detect_round(votes: DataFrame, book: Book, keyed: DataFrame, p: SegParams, l
         fits, members = threshold_fit(pts, hyp, keys, limit)
     else:
         limit = p.sac_distance(layer)
-        fits, members = fit.msac_planes(pts, keys, f"{limit!r}D", p.plane_hypotheses)
+        fits, members = fit.msac_planes(pts, keys, f"{limit!r}D", p.plane_hypotheses, seed=round_no)
     fits = stage(fits.select(*keys, "nx", "ny", "nz", "d"))
     members = stage(members.select(*keys, "pid", "x", "y", "z", "total"))
     counts = members.groupBy(*keys).agg(F.count("*").alias("members"), F.max("total").alias("total"))
@@ -237,7 +237,7 @@ def peel_planes(points: DataFrame, p: SegParams, max_rounds: int | None = None):
     for round_no in itertools.count() if max_rounds is None else range(max_rounds):
         crowd = left.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") > p.min_points_in_cc)
         live = left.join(crowd.join(fails, "scan_id").select("scan_id"), "scan_id", "left_semi")
-        fits, members = fit.msac_planes(live, ["scan_id"], f"{limit!r}D", p.sac_iterations, "count")
+        fits, members = fit.msac_planes(live, ["scan_id"], f"{limit!r}D", p.sac_iterations, "count", seed=round_no)
         fits, members = stage(fits.select("scan_id", "nx", "ny", "nz", "d")), stage(members)
         fit_size = members.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") >= p.min_points_in_cc)
         fits = stage(fits.join(fit_size.select("scan_id"), "scan_id", "left_semi"))

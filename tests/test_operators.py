@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from facetry.functions import geometry as G
 from facetry.functions.moments import moment_aggs, with_eigen
 from facetry.functions.vec import v
-from facetry.operators import assign, claims, evaluate, grid, octree, spatial, sphere
+from facetry.operators import assign, claims, evaluate, fit, grid, octree, spatial, sphere
 from facetry.operators.components import cell_components, connected_components
 from facetry.params import SegParams
 
@@ -216,3 +216,22 @@ def test_update_lists_only_changes(spark):
     new = spark.createDataFrame([(0, 2, 5), (0, 3, 7)], "scan_id int, pid int, structure_id int")
     merged, changed = assign.update(old, new)
     assert merged.count() == 3 and [(r.pid, r.old_id, r.new_id) for r in changed.collect()] == [(3, None, 7)]
+
+
+def test_draws_are_different_combinations(spark):
+    """As many hypotheses as asked for, or all there are; a new seed draws anew."""
+    rows = [(g, i, float(i), float(i * i), float(g)) for g, n in ((0, 20), (1, 60), (2, 2)) for i in range(n)]
+    pool = fit.sample_pools(spark.createDataFrame(rows, "scan_id long, pid long, x double, y double, z double"), ["scan_id"], 50)
+    assert {r.scan_id: r["count"] for r in pool.groupBy("scan_id").count().collect()} == {0: 20, 1: 50, 2: 2}
+
+    def combinations(width, seed):
+        got = {}
+        for r in fit.drawn(pool, ["scan_id"], 2000, width, seed).collect():
+            got.setdefault(r.scan_id, set()).add(frozenset(r[c].x for c in "abc"[:width]))
+            assert len({r[c].x for c in "abc"[:width]}) == width
+        return got
+
+    first = combinations(3, 0)
+    assert {g: len(c) for g, c in first.items()} == {0: 20 * 19 * 18 // 6, 1: 2000}
+    assert len(first[1] & combinations(3, 1)[1]) < 1000
+    assert {g: len(c) for g, c in combinations(2, 5).items()} == {0: 190, 1: 1225, 2: 1}
