@@ -27,13 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wordarrays as W
 from .frames import by_batch
 
 # Fixed value: the published pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{l}{n}]+|\s+(?!\S)|\s+"
 LONG_WORD = 64
-MEMO = 300_000
+MEMO = 100_000
 NONE = np.int64(1) << 40  # rank of a pair that is not in the vocabulary
 
 
@@ -199,8 +198,7 @@ def vocabulary(path: str) -> Vocabulary:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the tokens of each text, little-endian unsigned 32-bit integers."""
     def kernel(batch):
-        texts, voc = batch.column("text").to_pylist(), vocabulary(path)
-        ids = [x for lo, hi in W.chunks(texts) for x in voc.encode(texts[lo:hi])]
+        ids = vocabulary(path).encode(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -214,7 +212,7 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
         text = pa.array([voc.decode(x or b"") for x in batch.column("ids").to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), text], ["doc_id", "ids", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(by_batch(kernel), "doc_id bigint, ids binary, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(by_batch(kernel, "ids"), "doc_id bigint, ids binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

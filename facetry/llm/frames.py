@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +59,24 @@ def _last_start(table: pa.Table, keys: list[str]) -> int:
     return int(group_starts(table, keys)[-1])
 
 
-def by_batch(kernel: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
-    """mapInArrow function from a function of one batch."""
+def slices(batch: pa.RecordBatch, sized: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes in column ``sized``, or one row, so that a worker's memory
+    does not depend on how many rows Spark sends at once."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(sized)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    first = 0
+    while first < batch.num_rows:
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def by_batch(kernel: Callable[[pa.RecordBatch], pa.RecordBatch], sized: str = "text") -> Callable:
+    """mapInArrow function from a function of a small batch."""
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield kernel(batch)
+            for part in slices(batch, sized):
+                yield kernel(part)
     return run
 
 

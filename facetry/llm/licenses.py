@@ -184,12 +184,11 @@ FOUND = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64()), ("end"
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, p: LicenseParams = LicenseParams()) -> DataFrame:
     """(doc_id, n_words, found) with the occurrences of each text: name, first word, end, percent of shingles."""
+    sets = template_sets(templates, p)
+
     def kernel(batch):
-        texts, sets = batch.column("text").to_pylist(), template_sets(templates, p)
-        parts = [find(texts[lo:hi], sets, p) for lo, hi in W.chunks(texts)]
-        words = np.concatenate([n for n, _ in parts])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array([x for _, f in parts for x in f], FOUND)],
-                                          ["doc_id", "n_words", "found"])
+        words, found = find(batch.column("text").to_pylist(), sets, p)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(found, FOUND)], ["doc_id", "n_words", "found"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(by_batch(kernel), "doc_id bigint, n_words bigint, found array<struct<name:string,start:bigint,end:bigint,percent:bigint>>")

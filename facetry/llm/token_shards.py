@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import wordarrays as W
+from .frames import slices
 from .permutation import permuted
 
 
@@ -63,13 +63,10 @@ def _cut(encoder: Callable[[], Encoder], p: ShardParams):
     def run(batches):
         encode, current, place = encoder(), None, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            names, rows, begins = (batch.column(c).to_pylist() for c in ("file", "row", "begin"))
-            for lo, hi in W.chunks(texts):
+            for piece in slices(batch, "text"):
+                names, rows, begins, ids = (piece.column(c).to_pylist() for c in ("file", "row", "begin", "doc_id"))
                 out: list[list] = [[] for _ in range(7)]
-                for k, coded in zip(range(lo, hi), encode(texts[lo:hi])):
+                for k, coded in enumerate(encode(piece.column("text").to_pylist())):
                     here = (names[k], begins[k])
                     if here != current:  # a split's rows come together and in order
                         current, place, first = here, 0, rows[k]

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_CHARS = 1 << 20  # code points handled at once, unless one text alone is longer
+CHUNK_CHARS = 1 << 19  # code points handled at once, unless one text alone is longer
 
 
 def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
