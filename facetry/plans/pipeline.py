@@ -17,6 +17,7 @@ class Segmentation:
     structures: DataFrame | None
     assignment: DataFrame | None  # scan_id, pid, structure_id
     cells: DataFrame | None = None
+    textures: tuple | None = None  # sizes, colour, height and normal rasters, where the parameters ask for them
 
 
 def _result(book: Book, key: str) -> Segmentation:
@@ -48,7 +49,12 @@ def segment(points: DataFrame, p: SegParams) -> Segmentation:
         if p.cylinders:
             return _result(cylinders.peel_cylinders(points, p), "cylinder_id")
         return _result(planes.peel_planes(points, p), "plane_id")
-    return segment_cylinders(points, p) if p.cylinders else segment_planes(points, p)
+    if p.cylinders:
+        return segment_cylinders(points, p)
+    seg = segment_planes(points, p)
+    if p.textures and seg.structures is not None:
+        seg.textures = textures(points, seg, p)
+    return seg
 
 
 def textures(points: DataFrame, seg: Segmentation, p: SegParams):
