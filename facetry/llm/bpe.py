@@ -169,18 +169,24 @@ class Vocabulary:
 
     def encode(self, texts: list) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
-        found: list[list[tuple[list[str], int | None]]] = []
+        rows, new = [], set()
         for text in texts:
-            parts = self.split.split(text) if text and self.split and self.split.search(text) else [text or ""]
-            found.append([(self.pieces(x), None) if k % 2 == 0 else ([], self.special[x]) for k, x in enumerate(parts)])
-        new = set().union(*(words for row in found for words, _ in row))
-        new.difference_update(self.memo)
+            row = []
+            for k, part in enumerate(self.split.split(text) if text and self.split and self.split.search(text) else [text or ""]):
+                if k % 2:
+                    row.append(([], [self.special[part].to_bytes(4, "little")]))
+                    continue
+                words = self.pieces(part)
+                coded = list(map(self.memo.get, words))
+                if None in coded:
+                    new.update(w for w, c in zip(words, coded) if c is None)
+                row.append((words, coded))
+            rows.append(row)
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-            new = set().union(*(words for row in found for words, _ in row))
         self.learn(new)
-        code = self.memo.__getitem__
-        return [b"".join(b"".join(map(code, words)) if mark is None else mark.to_bytes(4, "little") for words, mark in row) for row in found]
+        return [b"".join([c if c is not None else self.memo[words[i]] for words, coded in row for i, c in enumerate(coded)])
+                if new else b"".join([c for _, coded in row for c in coded]) for row in rows]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
