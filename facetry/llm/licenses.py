@@ -8,7 +8,12 @@ similarity is at least (c - 1/16) / (2 - c + 1/16) = 0.52 and, with 16 bands of
 probability 1 - 0.48 ** 16 > 0.99999.  A candidate is confirmed on the shingles themselves, word by word, in the
 window widened by one step on both sides: the share of the template's shingles found there.
 
-A map over the texts, no shuffle.  Templates are a parameter (a few thousand words), sent with the function.
+Windows of all lengths share their MinHash values: the smallest of 2, 4, 8, ... neighbouring shingles are made once
+for each hash, and a window is covered by two of these runs.  Templates with whole licence texts (some 43,000 words)
+so cost one doubling more each time the longest one doubles, not one scan for each.
+
+A map over the texts, no shuffle.  Templates are a parameter, sent with the function and prepared once in each worker.
+The given ones are the whole texts and notices in ``license_texts`` and some short sentences.
 
 Defined cases: null text, no words: no match.  Overlapping windows with one template are one occurrence with the
 largest share.  Rows that repeat a ``doc_id`` are scanned each.  Other columns are not read.
@@ -17,6 +22,8 @@ largest share.  Rows that repeat a ``doc_id`` are scanned each.  Other columns a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 from . import wordarrays as W
 from .frames import by_batch
 
-# Notices as their publishers word them.
-TEMPLATES = {
+# Sentences by which texts name a licence, and beginnings of notices.
+SHORT_NOTICES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
@@ -47,6 +54,9 @@ TEMPLATES = {
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, '
         "merge, publish, distribute, sublicense, and/or sell copies of the Software"),
 }
+# whole licence texts (-text) and the notices they ask for (-notice), as their publishers word them
+LICENSE_TEXTS = {x.name.removesuffix(".txt"): x.read_text("utf-8") for x in files(__package__).joinpath("license_texts").iterdir() if x.name.endswith(".txt")}
+TEMPLATES = SHORT_NOTICES | dict(sorted(LICENSE_TEXTS.items()))
 
 
 @dataclass(frozen=True)
@@ -79,14 +89,25 @@ def _shingles(words: np.ndarray, width: int) -> np.ndarray:
     return W.spread(total)
 
 
-def _sliding_min(x: np.ndarray, span: int) -> np.ndarray:
-    """Smallest of ``span`` neighbours from each place on, by doubling."""
-    have = 1
-    while have < span:
-        step = min(have, span - have)
-        x = np.minimum(x[:-step], x[step:])
-        have += step
-    return x
+def _minima(x: np.ndarray, asked: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """For each (begin, span), the smallest of ``span`` neighbours from each place of ``begin`` on, by doubling."""
+    out, have = [x[:0]] * len(asked), 1
+    for j in sorted((j for j, (begin, _) in enumerate(asked) if len(begin)), key=lambda j: asked[j][1]):
+        begin, span = asked[j]
+        while 2 * have <= span:
+            x = np.minimum(x[:-have], x[have:])
+            have *= 2
+        out[j] = np.minimum(x[begin], x[begin + (span - have)])
+    return out
+
+
+def _band_values(shingle: np.ndarray, asked: list[tuple[np.ndarray, int]], band: int, p: LicenseParams) -> list[np.ndarray]:
+    """For each (begin, span), the band value of the windows of ``span`` shingles that begin there."""
+    factor, values = W.odd_numbers(p.bands * p.rows, p.seed), None
+    for k in range(band * p.rows, (band + 1) * p.rows):
+        least = _minima(shingle * factor[k], asked)
+        values = least if values is None else [W.spread(v) + x for v, x in zip(values, least)]
+    return values
 
 
 class _Templates:
@@ -95,41 +116,39 @@ class _Templates:
     def __init__(self, length: int, named: dict[str, list[str]], p: LicenseParams):
         self.length, self.width, self.step = length, min(p.width, length), max(1, length // p.steps)
         self.span = length - self.width + 1
-        self.factor = W.odd_numbers(p.bands * p.rows, p.seed)
         self.names = sorted(named)
         self.sets = [{tuple(named[n][i:i + self.width]) for i in range(self.span)} for n in self.names]
-        self.p = p
-        self.marks = []  # by band, a value for each template
         hashed = []
         for name in self.names:
             points, first = W.code_points([" ".join(named[name])])
             hashed.append(_shingles(W.word_hashes(points, *W.word_spans(W.is_space(points))), self.width))
+        self.hashes = [np.unique(h) for h in hashed]
+        whole = [(np.zeros(1, np.int64), self.span)]
+        # by band, a value for each template
+        self.marks = [np.array([_band_values(h, whole, band, p)[0][0] for h in hashed]) for band in range(p.bands)]
+
+    def windows(self, offset: np.ndarray) -> np.ndarray:
+        """First words of the windows: every step of each text, and at its last place."""
+        size = np.diff(offset)
+        held = np.flatnonzero(size >= self.length)
+        count = (size[held] - self.length) // self.step + 1
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.unique(np.concatenate((np.repeat(offset[held], count) + self.step * nth, offset[held + 1] - self.length)))
+
+
+def candidates(sets: list[_Templates], words: np.ndarray, offset: np.ndarray, p: LicenseParams) -> list[set[tuple[int, int]]]:
+    """For each length, (first word, template) of windows that share a band with a template."""
+    found: list[set[tuple[int, int]]] = [set() for _ in sets]
+    for width in sorted({g.width for g in sets}):
+        groups = [k for k, g in enumerate(sets) if g.width == width]
+        asked = [(sets[k].windows(offset), sets[k].span) for k in groups]
+        shingle = _shingles(words, width)
         for band in range(p.bands):
-            self.marks.append(np.array([self._band(h, band)[0] for h in hashed]))
-
-    def _band(self, shingle: np.ndarray, band: int) -> np.ndarray:
-        """Band value of the window that begins at each shingle."""
-        value = None
-        for k in range(band * self.p.rows, (band + 1) * self.p.rows):
-            least = _sliding_min(shingle * self.factor[k], self.span)
-            value = least if value is None else W.spread(value) + least
-        return value
-
-    def candidates(self, words: np.ndarray, row: np.ndarray, offset: np.ndarray) -> list[tuple[int, int]]:
-        """(first word, template) of windows that share a band with a template."""
-        if len(words) < self.length:
-            return []
-        shingle = _shingles(words, self.width)
-        begin = np.arange(0, len(words) - self.length + 1)
-        # windows begin every step of their own text, and at the last place of a text
-        first, last = offset[row[begin]], offset[row[begin] + 1] - self.length
-        begin = begin[((begin - first) % self.step == 0) & (begin <= last) | (begin == last)]
-        found = set()
-        for band in range(self.p.bands):
-            value = self._band(shingle, band)[begin]
-            for at in np.flatnonzero(np.isin(value, self.marks[band])):
-                found.update((int(begin[at]), int(t)) for t in np.flatnonzero(self.marks[band] == value[at]))
-        return sorted(found)
+            for k, (begin, _), value in zip(groups, asked, _band_values(shingle, asked, band, p)):
+                marks = sets[k].marks[band]
+                for at in np.flatnonzero(np.isin(value, marks)):
+                    found[k].update((int(begin[at]), int(t)) for t in np.flatnonzero(marks == value[at]))
+    return found
 
 
 def template_sets(templates: dict[str, str], p: LicenseParams) -> list[_Templates]:
@@ -141,6 +160,11 @@ def template_sets(templates: dict[str, str], p: LicenseParams) -> list[_Template
     return [_Templates(length, named, p) for length, named in sorted(by_length.items())]
 
 
+@lru_cache(maxsize=4)
+def _prepared(templates: tuple[tuple[str, str], ...], p: LicenseParams) -> list[_Templates]:
+    return template_sets(dict(templates), p)
+
+
 def find(texts: list, sets: list[_Templates], p: LicenseParams) -> tuple[np.ndarray, list[list[dict]]]:
     """(words, occurrences) of each text."""
     points, first = W.code_points(texts)
@@ -150,11 +174,16 @@ def find(texts: list, sets: list[_Templates], p: LicenseParams) -> tuple[np.ndar
     hashed = W.word_hashes(points, start, end)
     offset = np.searchsorted(row, np.arange(len(texts) + 1))
     out: list[list[dict]] = [[] for _ in texts]
-    for group in sets:
+    shingles = {width: _shingles(hashed, width) for width in {g.width for g in sets}}
+    for group, near in zip(sets, candidates(sets, hashed, offset, p)):
         held: dict[tuple[int, int], list[list[int]]] = {}
-        for at, t in group.candidates(hashed, row, offset):
+        shingle_hashes = shingles[group.width]
+        for at, t in sorted(near):
             doc = int(row[at])
             lo, hi = max(offset[doc], at - group.step), min(offset[doc + 1], at + group.length + group.step)
+            # equal shingles have equal hashes: too few equal hashes need no look at the words
+            if 100 * np.isin(group.hashes[t], shingle_hashes[lo:max(lo, hi - group.width + 1)]).sum() < p.percent * len(group.sets[t]):
+                continue
             words = [points[a:b].tobytes().decode("utf-32-le") for a, b in zip(start[lo:hi], end[lo:hi])]
             where = {}
             for i in range(len(words) - group.width + 1):
@@ -184,10 +213,10 @@ FOUND = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64()), ("end"
 
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, p: LicenseParams = LicenseParams()) -> DataFrame:
     """(doc_id, n_words, found) with the occurrences of each text: name, first word, end, percent of shingles."""
-    sets = template_sets(templates, p)
+    named = tuple(templates.items())
 
     def kernel(batch):
-        words, found = find(batch.column("text").to_pylist(), sets, p)
+        words, found = find(batch.column("text").to_pylist(), _prepared(named, p), p)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(found, FOUND)], ["doc_id", "n_words", "found"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

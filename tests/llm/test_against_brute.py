@@ -128,6 +128,18 @@ def test_licenses(docs_of):
     assert licenses.matches(docs_of([])).count() == 0
 
 
+def test_whole_license_texts(docs_of):
+    """Each whole text is found by name inside another text, with a word changed here and there."""
+    names = ["apache-2.0-text", "bsd-2-clause-text", "bsd-3-clause-text", "cc-by-sa-4.0-text", "cc0-1.0-text", "gpl-2.0-text", "gpl-3.0-text", "isc-text",
+             "lgpl-2.1-text", "lgpl-3.0-text", "mit-text", "mpl-2.0-text", "agpl-3.0-notice", "apache-2.0-notice", "gpl-3.0-notice", "mpl-2.0-notice"]
+    rows = []
+    for k, name in enumerate(names):
+        w = licenses.plain_words(licenses.TEMPLATES[name])
+        rows.append((k, " ".join([*texts.words(77, k), *texts.edited(w, range(30, len(w), 60)), *texts.words(30, k + 50)])))
+    got = {r.doc_id: {x.name: x.percent for x in r.found} for r in licenses.matches(docs_of(rows)).collect()}
+    assert [name for k, name in enumerate(names) if got[k].get(name, 0) < 80] == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1000])
 def test_permutation(spark, n):
     rows = permuted(spark.range(n), "id", "place", n, 5).collect()
