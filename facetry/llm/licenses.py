@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment confirms them.
 
 Words are compared lower-cased and without punctuation.  For each template length m, windows of m words begin every
-``max(1, m // 8)`` words of the whole text.  Windows and templates are sets of five-word shingles (a shorter
+``max(1, m // 8)`` words of the whole text; a text of fewer words is one window.  Windows and templates are sets of five-word shingles (a shorter
 template is one shingle of all its words).  A window and a template of its length meet in one of ``bands`` bands of
 ``rows`` MinHash values.  An occurrence with containment c >= 0.75 has a window at most half a step off, so their
 similarity is at least (c - 1/16) / (2 - c + 1/16) = 0.52 and, with 16 bands of one row, they meet with
@@ -15,6 +15,9 @@ so cost one doubling more each time the longest one doubles, not one scan for ea
 A map over the texts, no shuffle.  Templates are a parameter, sent with the function and prepared once in each worker.
 The given ones are the whole texts and notices in ``license_texts`` and some short sentences.
 
+A cut notice that is a whole text of n < m words and holds the share c of the template's shingles has similarity
+c / (2 - c) = 0.6 at least.
+
 Defined cases: null text, no words: no match.  Overlapping windows with one template are one occurrence with the
 largest share.  Rows that repeat a ``doc_id`` are scanned each.  Other columns are not read.
 """
@@ -101,11 +104,20 @@ def _minima(x: np.ndarray, asked: list[tuple[np.ndarray, int]]) -> list[np.ndarr
     return out
 
 
-def _band_values(shingle: np.ndarray, asked: list[tuple[np.ndarray, int]], band: int, p: LicenseParams) -> list[np.ndarray]:
-    """For each (begin, span), the band value of the windows of ``span`` shingles that begin there."""
+def _row_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Smallest value from each ``begin`` to its ``end`` (exclusive, beyond it)."""
+    if not len(begin):
+        return x[:0]
+    beyond = np.append(x, x[-1])  # an end may be the end of all
+    return np.minimum.reduceat(beyond, np.column_stack((begin, end)).ravel())[::2]
+
+
+def _band_values(shingle: np.ndarray, asked: list[tuple[np.ndarray, int]], band: int, p: LicenseParams, rows: tuple | None = None) -> list[np.ndarray]:
+    """For each (begin, span), the band value of the windows of ``span`` shingles that begin there; then of ``rows``, if given."""
     factor, values = W.odd_numbers(p.bands * p.rows, p.seed), None
     for k in range(band * p.rows, (band + 1) * p.rows):
-        least = _minima(shingle * factor[k], asked)
+        hashed = shingle * factor[k]
+        least = _minima(hashed, asked) + ([_row_minima(hashed, *rows)] if rows else [])
         values = least if values is None else [W.spread(v) + x for v, x in zip(values, least)]
     return values
 
@@ -123,6 +135,8 @@ class _Templates:
             points, first = W.code_points([" ".join(named[name])])
             hashed.append(_shingles(W.word_hashes(points, *W.word_spans(W.is_space(points))), self.width))
         self.hashes = [np.unique(h) for h in hashed]
+        # the fewest words that hold the share of some template
+        self.least = min(max(1, -(-p.percent * len(x) // 100)) for x in self.sets) + self.width - 1
         whole = [(np.zeros(1, np.int64), self.span)]
         # by band, a value for each template
         self.marks = [np.array([_band_values(h, whole, band, p)[0][0] for h in hashed]) for band in range(p.bands)]
@@ -135,6 +149,10 @@ class _Templates:
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return np.unique(np.concatenate((np.repeat(offset[held], count) + self.step * nth, offset[held + 1] - self.length)))
 
+    def short(self, size: np.ndarray) -> np.ndarray:
+        """Texts of fewer words, whose only window is the whole text."""
+        return np.flatnonzero((size < self.length) & (size >= self.least))
+
 
 def candidates(sets: list[_Templates], words: np.ndarray, offset: np.ndarray, p: LicenseParams) -> list[set[tuple[int, int]]]:
     """For each length, (first word, template) of windows that share a band with a template."""
@@ -143,11 +161,18 @@ def candidates(sets: list[_Templates], words: np.ndarray, offset: np.ndarray, p:
         groups = [k for k, g in enumerate(sets) if g.width == width]
         asked = [(sets[k].windows(offset), sets[k].span) for k in groups]
         shingle = _shingles(words, width)
+        # whole texts that are a window of some length
+        size = np.diff(offset)
+        texts = np.flatnonzero((size >= min(sets[k].least for k in groups)) & (size < max(sets[k].length for k in groups)))
+        short = [np.searchsorted(texts, sets[k].short(size)) for k in groups]
+        rows = offset[texts], offset[texts + 1] - (width - 1)
         for band in range(p.bands):
-            for k, (begin, _), value in zip(groups, asked, _band_values(shingle, asked, band, p)):
+            *values, whole = _band_values(shingle, asked, band, p, rows)
+            for k, (begin, _), value, few in zip(groups, asked, values, short):
                 marks = sets[k].marks[band]
-                for at in np.flatnonzero(np.isin(value, marks)):
-                    found[k].update((int(begin[at]), int(t)) for t in np.flatnonzero(marks == value[at]))
+                for places, held in ((begin, value), (rows[0][few], whole[few])):
+                    for at in np.flatnonzero(np.isin(held, marks)):
+                        found[k].update((int(places[at]), int(t)) for t in np.flatnonzero(marks == held[at]))
     return found
 
 

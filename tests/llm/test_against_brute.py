@@ -98,7 +98,7 @@ def plain_licenses(text, p=licenses.LicenseParams()):
         m, w, step = len(t), min(5, len(t)), max(1, len(t) // p.steps)
         want = {tuple(t[i:i + w]) for i in range(m - w + 1)}
         spans = []
-        for at in sorted({*range(0, len(words) - m + 1, step), len(words) - m} if len(words) >= m else ()):
+        for at in sorted({*range(0, len(words) - m + 1, step), max(0, len(words) - m)}):
             lo, hi = max(0, at - step), min(len(words), at + m + step)
             spots = [i for i in range(lo, hi - w + 1) if tuple(words[i:i + w]) in want]
             share = len({tuple(words[i:i + w]) for i in spots})
@@ -140,6 +140,20 @@ def test_whole_license_texts(docs_of):
     assert [name for k, name in enumerate(names) if got[k].get(name, 0) < 80] == []
 
 
+def test_cut_notices(docs_of):
+    """A text that is a notice without some first, last or middle words is one window, whatever its length."""
+    rows, want = [(0, "under the Apache License, Version 2.0")], [(0, "apache-2.0", 75)]
+    for k, name in enumerate(["mit-grant", "apache-2.0-header", "isc-text", "gpl-3.0-notice", "apache-2.0-text"]):
+        w = licenses.plain_words(licenses.TEMPLATES[name])
+        cut = len(w) // 8
+        rows += [(10 * k + 1, " ".join(w[cut:])), (10 * k + 2, " ".join(w[:-cut])), (10 * k + 3, " ".join(w[:30] + w[30 + cut // 2:])), (10 * k + 4, " ".join(w[:len(w) // 2]))]
+        want += [(10 * k + i, name, None) for i in (1, 2, 3)]
+    got = licenses.matches(docs_of(rows)).collect()
+    found = {(r.doc_id, x.name): x.percent for r in got for x in r.found}
+    assert [w for w in want if found.get(w[:2]) is None or w[2] not in (None, found[w[:2]])] == []
+    assert sorted((r.doc_id, sorted((x.name, x.start, x.end, x.percent) for x in r.found)) for r in got) == sorted((i, plain_licenses(t)) for i, t in rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1000])
 def test_permutation(spark, n):
     rows = permuted(spark.range(n), "id", "place", n, 5).collect()
