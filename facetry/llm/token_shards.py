@@ -8,8 +8,9 @@ split, only one count for each split is brought together, and the global number
 place in it.  A keyed Feistel permutation with cycle walking turns numbers into slots; slots are dealt by range, so
 a shard is ``shard_rows`` neighbouring slots, sorted.
 
-Records are stored once in the shared folder (before the shuffle) and moved once.  A reader resumes at any slot:
-shard ``slot // shard_rows``, byte ``slot % shard_rows * stride``.
+Records are stored once in the shared folder (before the shuffle), moved once and written to their shard's file; an
+index file beside it holds ``doc_id``, ``seq`` and ``n_tokens`` of each record, also at a fixed stride.  A reader resumes
+at any slot: shard ``slot // shard_rows``, byte ``slot % shard_rows * stride``.
 
 Defined cases: null or empty text is one sequence of ``end_id`` only.  An empty table gives no shards.  Rows that
 repeat a ``doc_id`` are written each.  Other columns are not read.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +102,22 @@ def shards(spark: SparkSession, path: str, encoder: Callable[[], Encoder], p: Sh
             .repartitionByRange("shard").sortWithinPartitions("slot"))
 
 
+# what an index file holds for each slot of its shard
+INDEX = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n_tokens", "<i4"), ("known", "u1")])
+ROWS = "slot bigint, shard bigint, offset bigint, doc_id bigint, seq int, n_tokens int, record binary, record_sha256 string"
+READ_ROWS = 1024
+
+
+def _index(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.zeros(batch.num_rows, INDEX)
+    for name in ("doc_id", "seq", "n_tokens"):
+        out[name] = pc.fill_null(batch.column(name), 0).to_numpy(zero_copy_only=False)
+    out["known"] = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+    return out
+
+
 def write_shards(placed: DataFrame, folder: str, p: ShardParams = ShardParams()) -> DataFrame:
-    """Write each shard as one file of records under ``folder``; returns stored (shard, n_rows, file).
+    """Write each shard as one file of records and one of index rows under ``folder``; returns stored (shard, n_rows, file).
 
     A file is written under its final name only when whole, so a lost task leaves no half shard and is just repeated.
     """
@@ -112,27 +128,66 @@ def write_shards(placed: DataFrame, folder: str, p: ShardParams = ShardParams())
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        open_shard, sink, temporary, count = None, None, "", 0
+        open_shard, sinks, count = None, {}, 0
 
         def close():
-            sink.close()
-            name = f"{root}/shard-{open_shard:08d}.bin"
-            store.move(temporary, name)
-            return pa.RecordBatch.from_arrays([pa.array([open_shard]), pa.array([count]), pa.array([name])], ["shard", "n_rows", "file"])
+            name = f"{root}/shard-{open_shard:08d}"
+            for ending in (".idx", ".bin"):
+                temporary, sink = sinks[ending]
+                sink.close()
+                store.move(temporary, name + ending)
+            return pa.RecordBatch.from_arrays([pa.array([open_shard]), pa.array([count]), pa.array([f"{name}.bin"])], ["shard", "n_rows", "file"])
 
         for batch in batches:
-            for shard, record in zip(batch.column("shard").to_pylist(), batch.column("record").to_pylist()):
-                if shard != open_shard:
-                    if sink:
+            shard = batch.column("shard").to_numpy()
+            index, records = _index(batch), batch.column("record").to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]) if len(shard) else ():
+                if shard[lo] != open_shard:
+                    if sinks:
                         yield close()
-                    open_shard, count, temporary = shard, 0, f"{root}/part-{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(temporary)
-                sink.write(record)
-                count += 1
-        if sink:
+                    open_shard, count = int(shard[lo]), 0
+                    sinks = {ending: (name, store.open_output_stream(name)) for ending in (".idx", ".bin") for name in [f"{root}/part-{uuid.uuid4().hex}"]}
+                sinks[".idx"][1].write(index[lo:hi].tobytes())
+                sinks[".bin"][1].write(b"".join(records[lo:hi]))
+                count += hi - lo
+        if sinks:
             yield close()
 
-    return stage(placed.select("shard", "record").mapInArrow(run, "shard bigint, n_rows bigint, file string"))
+    return stage(placed.select("shard", "doc_id", "seq", "n_tokens", "record").mapInArrow(run, "shard bigint, n_rows bigint, file string"))
+
+
+def read_shards(written: DataFrame, folder: str, p: ShardParams = ShardParams()) -> DataFrame:
+    """(slot, shard, offset, doc_id, seq, n_tokens, record, record_sha256) read from the files of ``written`` shards.
+
+    Each part of ``READ_ROWS`` slots is read by its place in the file, as a reader does that resumes there.
+    """
+    def run(batches):
+        import hashlib
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for shard, n_rows in zip(batch.column("shard").to_pylist(), batch.column("n_rows").to_pylist()):
+                name = f"{root}/shard-{shard:08d}"
+                with store.open_input_file(f"{name}.bin") as records, store.open_input_file(f"{name}.idx") as index:
+                    if (records.size(), index.size()) != (n_rows * p.stride, n_rows * INDEX.itemsize):
+                        raise ValueError(f"shard {shard} has not the size of {n_rows} records")
+                    for first in range(0, n_rows, READ_ROWS):
+                        n = min(READ_ROWS, n_rows - first)
+                        raw = records.read_at(n * p.stride, first * p.stride)
+                        side = np.frombuffer(index.read_at(n * INDEX.itemsize, first * INDEX.itemsize), INDEX)
+                        held = [raw[i * p.stride:(i + 1) * p.stride] for i in range(n)]
+                        place = np.arange(first, first + n)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(shard * p.shard_rows + place), pa.array(np.full(n, shard)), pa.array(place * p.stride), pa.array(side["doc_id"], mask=side["known"] == 0),
+                             pa.array(side["seq"]), pa.array(side["n_tokens"]), pa.array(held, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in held])],
+                            ["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "record", "record_sha256"])
+
+    # a task for each shard, up to some thousands
+    tasks = max(1, min(5000, written.count()))
+    return written.select("shard", "n_rows").repartition(tasks, "shard").mapInArrow(run, ROWS)
 
 
 def read_from(folder: str, slot: int, p: ShardParams = ShardParams()):

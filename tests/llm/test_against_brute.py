@@ -218,6 +218,36 @@ def test_token_shards(spark, stored_docs, tmp_path):
     assert token_shards.shards(spark, stored_docs([], 9), encoder, p).count() == 0
 
 
+def test_token_shards_query_reads_its_files(spark, sf):
+    """The registered query writes its shards and returns what the files hold."""
+    from pathlib import Path
+
+    from facetry.llm import queries
+    from facetry.session import shared_folder
+
+    p, held = token_shards.ShardParams(), Path(shared_folder(spark).removeprefix("file:"))
+    before = set(held.glob("token-shards-*"))
+    got = sorted(queries.op8(spark, sf).collect(), key=lambda r: r.slot)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted((r.doc_id, r.seq, r.n_tokens, bytes(r.record)) for r in got) == sorted(plain_records(rows, p))
+    assert [(r.slot, r.shard, r.offset) for r in got] == [(i, i // p.shard_rows, i % p.shard_rows * p.stride) for i in range(len(got))]
+    assert all(r.record_sha256 == hashlib.sha256(r.record).hexdigest() for r in got)
+    [folder] = set(held.glob("token-shards-*")) - before
+    assert sum(x.stat().st_size for x in folder.glob("shard-*.bin")) == len(got) * p.stride
+    assert [x.tobytes() for x in token_shards.read_from(f"file://{folder}", 5, p)] == [bytes(r.record) for r in got[5:]]
+
+
+def test_shards_of_rows_without_ids(spark, tmp_path):
+    """Many small shards are read back whole, null ids too."""
+    p = token_shards.ShardParams(length=2, shard_rows=3)
+    rows = [(i, i // 3, i % 3 * 4, None if i % 4 == 0 else i - 5, i, 1 + i % 2, bytes([i, 0, 7, 0])) for i in range(20)]
+    placed = spark.createDataFrame(rows, "slot bigint, shard bigint, offset bigint, doc_id bigint, seq int, n_tokens int, record binary")
+    placed = placed.repartitionByRange("shard").sortWithinPartitions("slot")
+    folder = f"file://{tmp_path}/shards"
+    got = token_shards.read_shards(token_shards.write_shards(placed, folder, p), folder, p).drop("record_sha256").collect()
+    assert sorted(((*r[:6], bytes(r[6])) for r in got), key=lambda r: r[0]) == rows
+
+
 def test_near_rows_without_ids(docs_of):
     """Null ids are linked but never the smallest; repeated ids each have a row; large buckets and families are cut into blocks."""
     near = [" ".join(texts.edited(texts.BASE, [k])) for k in range(12)]
