@@ -183,8 +183,8 @@ def thinned(edges: DataFrame) -> DataFrame:
     return near.select(F.inline(star)).distinct()
 
 
-def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """(doc_id, k1, k2, n_shingles, component_id, kept) for each row of ``docs``."""
+def _rooted(docs: DataFrame, p: NearParams) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, root) for each row of ``docs``; a text without shingles has no root."""
     signed = stage(signatures(docs, p).withColumn("rid", F.monotonically_increasing_id()))
     sets = stage(signed.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles", "signature").agg(F.min("rid").alias("node")))
 
@@ -206,6 +206,12 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
 
     classes = sets.join(roots, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("root", "node").alias("root"))
     rows = signed.select("doc_id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
+    return rows.select("doc_id", "k1", "k2", "n_shingles", "root")
+
+
+def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, component_id, kept) for each row of ``docs``."""
+    rows = _rooted(docs, p)
     least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
     component = F.coalesce("least_id", "doc_id")
     return (rows.join(least, "root", "left")
@@ -216,9 +222,13 @@ def components(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
 def without_near_copies(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """Rows of ``docs`` that stay, with its columns: one of each component.
 
-    Rows repeating both ``doc_id`` and text are one document; one of them stays.
+    It is the row of the smallest id (null last), then digest.  Rows repeating both ``doc_id`` and text are one
+    document; one of them stays.
     """
-    kept = stage(components(docs, p).filter("kept").select("doc_id", "k1", "k2").distinct())
+    rows = _rooted(docs, p)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2")).alias("first")
+    chosen = rows.filter("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.k1", "first.k2")
+    kept = stage(chosen.unionByName(rows.filter("root is null").select("doc_id", "k1", "k2").distinct()))
     k1, k2 = text_digest("text")
     rows = packed(docs, id=F.col("doc_id").cast("bigint"), t_k1=k1, t_k2=k2)
     left = rows.join(kept, F.expr("k1 = t_k1 and k2 = t_k2 and doc_id <=> id"), "left_semi")

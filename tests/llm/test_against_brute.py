@@ -262,6 +262,16 @@ def test_near_rows_without_ids(docs_of):
     assert sorted((r.doc_id or -1, r.text[:5]) for r in left.collect()) == [(-1, "alone"), (8, "other"), (8, near[1][:5])]
 
 
+def test_one_row_of_each_component_stays(docs_of):
+    """Also where the least id has several near texts, where no row has an id, and for texts without words."""
+    near = [[" ".join(texts.edited(texts.words(200, seed), [k])) for k in range(4)] for seed in (31, 32)]
+    rows = [*((8, t) for t in near[0][:3]), (9, near[0][3]), *((None, t) for t in near[1]), (None, near[1][0]), (3, ""), (4, " "), (None, None)]
+    left = near_dedup.without_near_copies(docs_of(rows)).collect()
+    kept = [[r for r in left if r.text in family] for family in near]
+    assert [[r.doc_id for r in family] for family in kept] == [[8], [None]]
+    assert sorted((r.doc_id or 0) for r in left if not (r.text or "").strip()) == [0, 3, 4]
+
+
 def test_decontamination_modes(spark, docs_of):
     benchmark = spark.createDataFrame([(1, texts.ITEM)], "item_id bigint, text string")
     rows = [(1, f"Keep this. {texts.ITEM}! And this."), (2, "clean"), (3, None), (1, f"Keep this. {texts.ITEM}! And this.")]
