@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, permutation, quality, quotes, secrets, sharding
+from . import decontaminate, hard_negatives, infilling, near_dedup, permutation, quality, quotes, repeats, secrets, sharding
 
 
 def quoted(text: str) -> str:
@@ -174,3 +174,51 @@ select m.conv_id, m.turn, m.role, row_number() over (partition by m.conv_id orde
 from m join walk using (mid) left join parents p using (mid) left join m up on up.mid = p.parent left join own using (mid)
 left join (select mid, count(*) as n from passages where level > 0 group by 1) q using (mid)
 """
+
+
+def repeats_sql(p: repeats.RepeatParams = repeats.RepeatParams()) -> str:
+    k = p.window
+    return f"""
+with d as materialized (select rid, doc_id, {WORDS.format('t')} as w from ({ROWS})),
+wins as (select rid, doc_id, i, array_to_string(w[i:i + {k - 1}], ' ') as win from (select *, unnest(range(1, len(w) - {k - 2})) as i from d where len(w) >= {k})),
+again as (select rid, i from (select rid, i, row_number() over (partition by win order by doc_id nulls first, rid, i) as place from wins) where place > 1),
+gone as (select rid, list(distinct spot) as spots from (select rid, unnest(range(i, i + {k})) as spot from again) group by 1),
+kept as (select rid, string_agg(word, ' ' order by spot) as text from (select rid, unnest(w) as word, generate_subscripts(w, 1) as spot from d) words
+  anti join (select rid, unnest(spots) as spot from gone) cut using (rid, spot) group by 1)
+select doc_id, len(w) as n_words, coalesce(len(spots), 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join gone using (rid) left join kept using (rid)
+"""
+
+
+def negatives_sql(p: hard_negatives.MiningParams = hard_negatives.MiningParams()) -> str:
+    return f"""
+with v as materialized (select row_number() over () as rid, vec_id, case when vec_id % {p.moved_step} = 0 then (label + 1) % {p.labels} else label end as label,
+    list_transform(embedding, lambda x: floor(x::double * {p.scale})::hugeint) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+wide as (select greatest(max(len(e)), 1) as n from v),
+a as materialized (select * from v where vec_id % {p.anchor_step} = 0),
+s as materialized (select a.rid as arid, a.vec_id as anchor_id, v.rid, v.vec_id, a.label = v.label as same,
+    coalesce(list_sum(list_transform(range(1, least(len(a.e), len(v.e)) + 1), lambda i: a.e[i] * v.e[i])), 0)::bigint as score from a, v where a.rid <> v.rid),
+pos as (select arid, anchor_id, vec_id as positive_id, score as positive_score, place from
+  (select *, row_number() over (partition by arid order by score desc, vec_id, rid) as place from s where same) where place <= {p.positives}),
+neg as (select pos.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by pos.arid, place order by s.score desc, s.vec_id) as rank
+  from pos join s on s.arid = pos.arid and not s.same and {p.low_percent} * positive_score <= 100 * s.score and 100 * s.score <= {p.high_percent} * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from neg where rank <= {p.negatives}
+"""
+
+
+def infilling_sql(p: infilling.FillParams = infilling.FillParams()) -> str:
+    marks = infilling.PREFIX, infilling.SUFFIX, infilling.MIDDLE
+    held = " or ".join(f"contains(t, '{m}')" for m in marks)
+    h = [f"('0x' || substr(h, {8 * k + 1}, 8))::bigint" for k in range(4)]
+    join = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    return f"""
+with d as (select doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as u,
+  sha256('{p.seed}:' || coalesce(doc_id::varchar, '')) as h from ({ROWS})),
+c as (select *, len(u) as n, least({h[0]} % (len(u) + 1), {h[1]} % (len(u) + 1)) as a, greatest({h[0]} % (len(u) + 1), {h[1]} % (len(u) + 1)) as b,
+  case when t = '' or {held} or {h[2]} % 100 >= {p.percent} then 'plain' when {h[3]} % 100 < {p.spm_percent} then 'spm' else 'psm' end as form from d),
+parts as (select *, {join('1', 'a')} as pre, {join('a + 1', 'b')} as mid, {join('b + 1', 'n')} as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '{marks[0]}' || pre || '{marks[1]}' || suf || '{marks[2]}' || mid
+    else '{marks[1]}' || suf || '{marks[0]}' || pre || '{marks[2]}' || mid end) as output_sha256, sha256(t) as restored_sha256 from parts
+"""

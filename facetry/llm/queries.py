@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import bpe, decontaminate, licenses, near_dedup, oracles, quality, quotes, secrets, sharding, token_counts, token_shards
+from . import (bpe, decontaminate, hard_negatives, infilling, licenses, near_dedup, oracles, quality, quotes, repeats, secrets, sharding,
+               token_counts, token_shards)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +89,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination", oracles.contamination_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_repeated_passages", oracles.repeats_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_hard_negatives", oracles.negatives_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_fill_in_middle", oracles.infilling_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infilling.restored(infilling.infilled(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
