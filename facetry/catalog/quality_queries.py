@@ -1,7 +1,9 @@
 """Evaluation, assignment tables, label images, whole extractions and the stream query."""
 
+import math
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assign, evaluate, octree
@@ -12,6 +14,7 @@ from ..sinks import tables
 from ..streaming import streams
 from .common import P, r, rounded, rs
 from .registry import part, query
+from .structure_queries import FOUND_PLANES, found_planes
 from .views import STREAM, load
 
 T = 0.8
@@ -259,10 +262,33 @@ def stream_moments(spark, sf):
 EXTRACT = P.but(only_depth=P.depth, tries_on_each_depth=0, min_octree_nodes=8, min_nodes_in_cc=3)
 
 
-@query("extract_planes")
+# all layers, published number of tries, merge, spread and merge again
+WHOLE = P.but(tries_on_each_depth=SegParams().tries_on_each_depth, post_processing=7)
+
+
+def whole_planes(spark, sf, p: SegParams, share: float = 0.9) -> DataFrame:
+    pts = load(spark, sf, "scene_points")
+    seg = pipeline.segment_planes(pts, p)
+    owned_by = None if seg.assignment is None else seg.assignment.withColumnRenamed("structure_id", "plane_id")
+    return found_planes(pts, owned_by, seg.structures, share)
+
+
+@query("extract_planes", FOUND_PLANES)
 def extract_planes(spark, sf):
-    seg = pipeline.segment_planes(load(spark, sf, "scene_points"), EXTRACT)
-    return rounded(seg.structures.select("scan_id", "plane_id", "members", "nx", "ny", "nz", "d"), ["nx", "ny", "nz", "d"], 3)
+    return whole_planes(spark, sf, WHOLE)
+
+
+@query("extract_planes_threshold_fit", """select s.scan_id, cast(t.plane_id as bigint) as surface, count(*) as points, true as found, true as agrees
+  from scene_points s join true_planes t on s.surf = t.plane_id group by all""")
+def extract_planes_threshold_fit(spark, sf):
+    """Without the consensus step a hypothesis keeps its direction bin and its points within the vote distance.
+
+    So a found plane is only near the true one: within the limits by which a fit is accepted.
+    """
+    got = whole_planes(spark, sf, WHOLE.but(no_ransac_step=True, post_processing=0), 0.6)
+    true = load(spark, sf, "true_planes").selectExpr("cast(plane_id as bigint) as surface", "nx as tx", "ny as ty", "nz as tz", "d as td")
+    agrees = (F.expr("abs(nx*tx + ny*ty + nz*tz)") > math.cos(2 * P.angle_eps)) & (F.expr("abs(d - td)") < 2 * P.max_ht_distance)
+    return got.join(true, "surface").select("scan_id", "surface", "points", "found", F.coalesce(agrees, F.lit(False)).alias("agrees"))
 
 
 @query("extract_cylinders")

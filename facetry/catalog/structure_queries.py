@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assign, claims, fit, grid, octree, raster, spatial
 from ..operators.components import cell_components, decode
+from ..params import SegParams
 from ..plans import cylinders as cyl_plan
 from ..plans import planes as plane_plan
 from ..plans import post
@@ -244,11 +245,29 @@ def found_surfaces(points: DataFrame, assignment: DataFrame, label: str, surface
 TRUE_SURFACES = "select scan_id, cast(surf as bigint) as surface, count(*) as points, true as found from scene_points where surf {} group by 1, 2"
 
 
-@query("ransac_peel_planes", TRUE_SURFACES.format("< 3"))
+def found_planes(points: DataFrame, assignment: DataFrame | None, structures: DataFrame | None, share: float) -> DataFrame:
+    """Scan and true plane: its points, the found plane that holds most of them, and whether that is ``share`` of them."""
+    if structures is None:
+        structures = points.limit(0).selectExpr("scan_id", "pid as plane_id", "x as nx", "y as ny", "z as nz", "x as d")
+        assignment = points.limit(0).selectExpr("scan_id", "pid", "pid as plane_id")
+    rows = points.filter("surf < 3").select("scan_id", "pid", "surf").join(assignment.select("scan_id", "pid", "plane_id"), ["scan_id", "pid"], "left")
+    held = rows.groupBy("scan_id", "surf", "plane_id").agg(F.count("*").alias("n"))
+    own = F.when(F.col("plane_id").isNotNull(), F.col("n"))
+    most = held.groupBy("scan_id", "surf").agg(F.sum("n").alias("points"), F.max_by("plane_id", own).alias("plane_id"), F.max(own).alias("most"))
+    named = most.join(structures.select("scan_id", "plane_id", "nx", "ny", "nz", "d"), ["scan_id", "plane_id"], "left")
+    named = named.selectExpr("scan_id", "cast(surf as bigint) as surface", "points", f"coalesce(most >= {share!r}D*points, false) as found", "nx", "ny", "nz", "d")
+    return rounded(named, ["nx", "ny", "nz", "d"], 1)
+
+
+FOUND_PLANES = """select s.scan_id, cast(t.plane_id as bigint) as surface, count(*) as points, true as found, t.nx, t.ny, t.nz, t.d
+  from scene_points s join true_planes t on s.surf = t.plane_id group by all"""
+
+
+@query("ransac_peel_planes", FOUND_PLANES)
 def ransac_peel_planes(spark, sf):
     pts = load(spark, sf, "scene_points")
-    book = plane_plan.peel_planes(pts, P.but(min_sac_distance=0.05, min_points_in_cc=300))
-    return found_surfaces(pts, stack(book.assignment), "plane_id", "surf < 3", 0.6)
+    book = plane_plan.peel_planes(pts, P.but(min_sac_distance=0.05, min_points_in_cc=SegParams().min_points_in_cc))
+    return found_planes(pts, stack(book.assignment), book.structures, 0.95)
 
 
 # neighbourhoods

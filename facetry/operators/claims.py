@@ -17,7 +17,8 @@ from ..functions.geometry import (axis_distance, box_distance, cylinder_normal_o
                                   signed_distance, to_frame, to_plane)
 from ..functions.vec import V, v
 from ..params import SegParams
-from .grid import touching
+from ..session import is_empty, stage
+from .grid import attached, touching
 
 BLOCK = ["bx", "by", "bz"]
 
@@ -93,6 +94,35 @@ def first_match(candidates: DataFrame, node_key, rank: str) -> DataFrame:
     return candidates.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def claim_waves(candidates: DataFrame, old_cells: DataFrame, node_key, min_nodes: int) -> DataFrame:
+    """Claims in rank order: each plane takes the candidates connected to its grid that no earlier plane has taken.
+
+    Planes that share no candidate do not influence each other, so they go together: a wave holds every plane without
+    an earlier, still waiting plane that wants one of its nodes.  The result is that of one plane after the other; the
+    number of waves is the longest chain of such conflicts.  ``candidates`` have plane_id, rank, cx and cy, one row for
+    each node and plane, and are stored; ``old_cells`` are the grids on the candidates' cell size.
+    """
+    plane = ["scan_id", "plane_id"]
+    wanted = candidates.select(*node_key, "plane_id", "rank")
+    # an earlier claimant for each later one that shares a node; few planes meet in a node
+    earlier = wanted.join(wanted.select(*node_key, F.col("plane_id").alias("first_id"), F.col("rank").alias("first_rank")), list(node_key))
+    waits = stage(earlier.filter("first_rank < rank").select(*plane, "first_id").distinct())
+    waiting = stage(candidates.select(*plane).distinct())
+    won: list[DataFrame] = []
+    while not is_empty(waiting):
+        blocked = waits.join(waiting.withColumnRenamed("plane_id", "first_id"), ["scan_id", "first_id"], "left_semi")
+        ready = stage(waiting.join(blocked.select(*plane).distinct(), plane, "left_anti"))
+        rows = candidates.join(ready, plane, "left_semi")
+        for taken in won:
+            rows = rows.join(taken.select(*node_key), list(node_key), "left_anti")
+        won.append(stage(attached(old_cells, rows, plane, min_nodes)))
+        waiting = stage(waiting.join(ready, plane, "left_anti"))
+    out = won[0] if won else candidates.limit(0)
+    for more in won[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def coverage(points: DataFrame, node_key, hit, ratio: float) -> DataFrame:
     """Nodes whose share of points fulfilling ``hit`` is at least ``ratio``."""
     share = points.groupBy(*node_key).agg(F.avg(hit.cast("double")).alias("share"), F.count("*").alias("points"))

@@ -103,12 +103,17 @@ POOL_SALTS = 32  # parts of a group that are ranked apart first
 BLOCK_POINTS = 20_000  # points of a group that are scored together
 
 
-def draw_order(seed: int) -> str:
-    """Hash of ``pid`` that orders the points of a group; each seed gives another order."""
-    return f"((((pid % 2147483647L)*48271L) % 2147483647L + {seed * 40503 % 2147483647}L)*69621L) % 2147483629L"
+def seed_text(seed: int | str) -> str:
+    return f"{seed}L" if isinstance(seed, int) else seed
 
 
-def sample_pools(points: DataFrame, keys, size: int, extra=(), seed: int = 0) -> DataFrame:
+def draw_order(seed: int | str) -> str:
+    """Hash of ``pid`` that orders the points of a group; each seed, a number or a key column, gives another order."""
+    shift = f"{seed * 40503 % 2147483647}L" if isinstance(seed, int) else f"({seed}*40503L) % 2147483647L"
+    return f"((((pid % 2147483647L)*48271L) % 2147483647L + {shift})*69621L) % 2147483629L"
+
+
+def sample_pools(points: DataFrame, keys, size: int, extra=(), seed: int | str = 0) -> DataFrame:
     """Per group: its first ``size`` points in draw order, as rows with their ``rank`` from 0.
 
     Parts of a group are ranked first, so that no task sorts a whole group.
@@ -122,7 +127,7 @@ def sample_pools(points: DataFrame, keys, size: int, extra=(), seed: int = 0) ->
     return stage(top.select(*keys, (F.col("rank") - 1).cast("bigint").alias("rank"), "x", "y", "z", *extra))
 
 
-def drawn(pool: DataFrame, keys, count: int, width: int, seed: int) -> DataFrame:
+def drawn(pool: DataFrame, keys, count: int, width: int, seed: int | str) -> DataFrame:
     """``count`` different combinations of ``width`` (2 or 3) pool points, or all there are: columns k, a, b[, c].
 
     Combinations are numbered; hypothesis k takes number (k * stride + shift) modulo their count, and the number
@@ -132,21 +137,24 @@ def drawn(pool: DataFrame, keys, count: int, width: int, seed: int) -> DataFrame
     total = "_n*(_n-1) div 2" if width == 2 else "_n*(_n-1) div 2*(_n-2) div 3"
     d = pool.groupBy(*keys).agg(F.count("*").alias("_n")).filter(f"_n >= {width}").selectExpr(*keys, f"{total} as _c")
     d = d.selectExpr("*", f"explode(sequence(0L, least({count}L, _c) - 1)) as k")
-    d = d.selectExpr(*keys, "k", f"(k*({STRIDE}L % _c) + ({seed}L*{SHIFT}L) % _c) % _c as _r")
+    # every step that uses a number several times starts from a settled one, so that the code stays small
+    d = settle(d.selectExpr(*keys, "k", f"(k*({STRIDE}L % _c) + ({seed_text(seed)}*{SHIFT}L) % _c) % _c as _r"), ["_r"], [*keys, "k"])
     if width == 3:
-        d = d.selectExpr("*", "cast(floor(cbrt(6D*_r)) as bigint) as _f")
+        d = settle(d.selectExpr(*keys, "k", "_r", "cast(floor(cbrt(6D*_r)) as bigint) as _f"), ["_f"], [*keys, "k", "_r"])
         d = d.selectExpr(*keys, "k", "_r", """case when (_f+2)*(_f+1)*_f <= 6*_r then _f+2
             when (_f+1)*_f*(_f-1) <= 6*_r then _f+1 else _f end as _c""")
-        d = d.selectExpr(*keys, "k", "_c", "_r - _c*(_c-1)*(_c-2) div 6 as _r")
+        d = settle(d, ["_c"], [*keys, "k", "_r"])
+        d = settle(d.selectExpr(*keys, "k", "_c", "_r - _c*(_c-1)*(_c-2) div 6 as _r"), ["_r"], [*keys, "k", "_c"])
     d = d.selectExpr("*", "cast(floor(sqrt(2D*_r)) as bigint) as _g")
-    d = d.selectExpr("*", "if((_g+1)*_g <= 2*_r, _g+1, _g) as _b").selectExpr("*", "_r - _b*(_b-1) div 2 as _a")
+    d = settle(d.selectExpr("*", "if((_g+1)*_g <= 2*_r, _g+1, _g) as _b").drop("_g"), ["_b"], [c for c in d.columns if c != "_g"])
+    d = d.selectExpr("*", "_r - _b*(_b-1) div 2 as _a")
     for name in "abc"[:width]:
         member = pool.select(*keys, F.col("rank").alias(f"_{name}"), F.struct(*(c for c in pool.columns if c not in (*keys, "rank"))).alias(name))
         d = d.join(member, [*keys, f"_{name}"])
     return d.select(*keys, "k", *"abc"[:width])
 
 
-def plane_hypotheses(pool: DataFrame, keys, count: int, seed: int = 0) -> DataFrame:
+def plane_hypotheses(pool: DataFrame, keys, count: int, seed: int | str = 0) -> DataFrame:
     """Planes through point triples of the pool, turned to d >= 0; collinear triples are skipped."""
     d = drawn(pool, keys, count, 3, seed)
     d = d.selectExpr(*keys, "k", "a", "b.x-a.x as x1", "b.y-a.y as y1", "b.z-a.z as z1",
@@ -215,18 +223,20 @@ def plane_inliers(points: DataFrame, planes: DataFrame, keys, limit: str, strict
     return d.filter(f"abs(_nx*x + _ny*y + _nz*z - _d) {sign} {limit}").drop("_nx", "_ny", "_nz", "_d")
 
 
-def msac_planes(points: DataFrame, keys, limit: str, count: int = 100, mode: str = "msac", seed: int = 0):
+def msac_planes(points: DataFrame, keys, limit: str, count: int = 100, mode: str = "msac", seed: int | str = 0):
     """Robust planes: (planes, inliers).  The best hypothesis is refined by a least-squares
-    fit to its inliers, and the inliers are taken again around the refined plane."""
+    fit to its inliers, and the inliers are taken again around the refined plane.
+
+    ``seed`` may name a whole-number key column: then every group draws by its own seed."""
     keys = list(keys)
     pools = sample_pools(points, keys, 3 * count, seed=seed)
     hyps = stage(plane_hypotheses(pools, keys, count, seed))
     best = stage(score_planes(points, hyps, keys, limit, mode))
-    refined = pca_planes(plane_inliers(points, best, keys, limit), keys)
+    refined = stage(pca_planes(plane_inliers(points, best, keys, limit), keys))
     return refined, plane_inliers(points, refined, keys, limit)
 
 
-def cylinder_hypotheses(pool: DataFrame, keys, count: int, r_min: float, r_max: float, seed: int = 0) -> DataFrame:
+def cylinder_hypotheses(pool: DataFrame, keys, count: int, r_min: float, r_max: float, seed: int | str = 0) -> DataFrame:
     """Cylinders through oriented point pairs: axis f_n x g_n, circle in the plane across it."""
     d = drawn(pool, keys, count, 2, seed).withColumnsRenamed({"a": "f", "b": "g"})
     d = d.selectExpr(*keys, "k", *(f"{s}.{c} as {s}{c}" for s in "fg" for c in ("x", "y", "z", "nx", "ny", "nz")))
@@ -299,7 +309,7 @@ def cylinder_inliers(points: DataFrame, cylinders: DataFrame, keys, limit: str,
 
 
 def ransac_cylinders(points: DataFrame, keys, limit: str, weight: float, r_min: float, r_max: float,
-                     count: int = 10_000, seed: int = 0):
+                     count: int = 10_000, seed: int | str = 0):
     """Robust cylinders from oriented points (pid, x, y, z, nx, ny, nz): (cylinders, inliers)."""
     keys = list(keys)
     usable = points.filter("nx is not null")

@@ -1,20 +1,22 @@
 """Plane extraction: vote rounds, coarse-to-fine extraction, consensus-only peeling.
 
-All scans advance together: a round handles the best orientation of every active scan.
+All scans advance together.  Votes are settled first: the rounds of a layer do not depend on fits, so all of them
+are fitted in one pass.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import v
 from ..operators import assign, claims, fit, grid, hist, octree, sphere
 from ..params import SegParams
-from .book import Book, first_state, is_empty, next_state, stack, stage
+from .book import Book, is_empty, stack, stage
 
 NODE_COLS = ["scan_id", "layer", "depth", "ix", "iy", "iz", "n", "mx", "my", "mz", "nx", "ny", "nz", "curv"]
 NODE_KEY = ["scan_id", "layer", "depth", "ix", "iy", "iz"]
@@ -48,15 +50,15 @@ def hough_round(votes: DataFrame, p: SegParams, layer: int):
 
 def threshold_fit(points: DataFrame, hyp: DataFrame, keys, limit: float):
     """Fit without consensus: the hypothesis itself and its points within ``limit``."""
-    side = hyp.select("scan_id", "nx", "ny", "nz", "d")
-    planes = points.select(*keys).distinct().join(side, "scan_id")
+    planes = points.select(*keys).distinct().join(hyp, [c for c in hyp.columns if c in keys])
     return planes, fit.plane_inliers(points, planes, keys, repr(limit) + "D", strict=False)
 
 
 def accepted(fits: DataFrame, hyp: DataFrame, counts: DataFrame, p: SegParams, layer: int, keys) -> DataFrame:
     """Fits that agree with their hypothesis and keep enough of their points (members / total)."""
-    h = hyp.selectExpr("scan_id", "nx as hx", "ny as hy", "nz as hz", "d as hd")
-    d = fits.join(counts, list(keys)).join(h, "scan_id")
+    of = [c for c in hyp.columns if c in keys]
+    h = hyp.selectExpr(*of, "nx as hx", "ny as hy", "nz as hz", "d as hd")
+    d = fits.join(counts, list(keys)).join(h, of)
     return d.filter(
         (F.abs(F.expr("nx*hx + ny*hy + nz*hz")) > math.cos(2 * p.angle_at(layer)))
         & (F.abs(F.col("hd") - F.col("d")) < 2 * p.ht_distance(layer))
@@ -82,8 +84,8 @@ def describe(planes: DataFrame, members: DataFrame, cell: float):
 def claim_nodes(book: Book, open_nodes: DataFrame, keyed: DataFrame, p: SegParams, layer: int) -> DataFrame | None:
     """Give open nodes to known planes they are connected to; returns the claimed node keys.
 
-    Candidates are tested against the grids of the previous round; a node goes to the
-    largest plane that accepts it.
+    Planes claim in the order of their area, each with its own grid as it was before the layer; what an earlier plane
+    has taken is no candidate of a later one.
     """
     cell = p.cell_size(layer)
     planes = assign.by_area(book.structures)
@@ -101,8 +103,7 @@ def claim_nodes(book: Book, open_nodes: DataFrame, keyed: DataFrame, p: SegParam
     touched = cand.select(*PLANE).distinct()
     scale = planes.select(*PLANE, F.greatest(F.lit(1), F.round(F.col("cell") / cell)).cast("int").alias("scale"))
     old = grid.refine(book.cells.join(touched, PLANE, "left_semi").join(scale, PLANE), "scale").select(*PLANE, "cx", "cy")
-    joined = grid.attached(old, cand, PLANE, min(p.min_octree_nodes, p.min_nodes_in_cc))
-    won = stage(claims.first_match(joined, NODE_KEY, "rank").select(*NODE_COLS, "plane_id"))
+    won = stage(claims.claim_waves(cand, stage(old), NODE_KEY, min(p.min_octree_nodes, p.min_nodes_in_cc)).select(*NODE_COLS, "plane_id"))
     if is_empty(won):
         return None
     side = book.structures.select(*PLANE, "nx", "ny", "nz", "d", "thr")
@@ -135,67 +136,161 @@ def claim_nodes(book: Book, open_nodes: DataFrame, keyed: DataFrame, p: SegParam
     return won.select(*NODE_KEY)
 
 
-def plane_ids(parts: DataFrame, layer: int, round_no: int) -> DataFrame:
-    """Reproducible id from layer, round and the order of parts in the round (few per scan)."""
-    w = Window.partitionBy("scan_id").orderBy("comp")
-    base = (layer << 56) + (round_no << 24)
-    return parts.withColumn("plane_id", (F.row_number().over(w) + base).cast("bigint"))
+def plane_ids(parts: DataFrame, layer: int, turn: str = "round") -> DataFrame:
+    """Reproducible id from layer, round or attempt, and the order of its parts (few per scan)."""
+    w = Window.partitionBy("scan_id", turn).orderBy("comp")
+    return parts.withColumn("plane_id", F.expr(f"{layer << 56}L + shiftleft({turn}, 24)") + F.row_number().over(w))
 
 
-def detect_round(votes: DataFrame, book: Book, keyed: DataFrame, p: SegParams, layer: int, round_no: int):
-    """One round for all active scans: (inlier nodes, outcome rows scan_id, voters, gained)."""
-    hyp, inliers = hough_round(votes, p, layer)
-    inliers = stage(inliers.join(hyp.selectExpr("scan_id", "nx as hx", "ny as hy", "nz as hz", "d as hd"), "scan_id"))
-    size = inliers.groupBy("scan_id").agg(F.count("*").alias("voters"))
-    hyp = inliers.selectExpr("scan_id", "hx as nx", "hy as ny", "hz as nz", "hd as d").distinct()
+ROUND = ["scan_id", "round"]
+VOTES_IN_TASK = 1_000_000  # votes of a scan whose rounds one task settles
+HYP = "hx double, hy double, hz double, hd double"
+
+
+def _settled_rounds(p: SegParams, layer: int):
+    """All vote rounds of one scan: the heaviest orientation, its heaviest distance, whose voters leave."""
+    ht, low, dev = p.ht_distance(layer), -p.rho_max, p.ht_deviation_factor * p.ht_distance(layer)
+    bins = int(2 * p.rho_max / ht)
+
+    def kernel(votes: pd.DataFrame) -> pd.DataFrame:
+        column = {c: votes[c].to_numpy() for c in votes.columns}
+        _, first, place = np.unique(column["bi"] << 32 | column["bj"], return_index=True, return_inverse=True)
+        key = [column[c] for c in ("layer", "depth", "ix", "iy", "iz")]
+        _, node = np.unique(np.stack(key), axis=1, return_inverse=True)
+        node, alive, out, failed = node.ravel(), np.ones(node.max() + 1, bool), [], 0
+        while failed <= p.tries_on_each_depth:
+            live = alive[node]
+            heavy = np.where(np.bincount(place, live) > 0, np.round(np.bincount(place, column["w"] * live), 9), -np.inf)
+            rows = np.flatnonzero(live & (place == heavy.argmax()))
+            weight = column["w"][rows].sum() if len(rows) else 0.0
+            if weight <= 0:
+                break
+            mean = [(column["n" + a][rows] * column["w"][rows]).sum() / weight for a in "xyz"]
+            rho = sum(column["m" + a][rows] * mean[i] for i, a in enumerate("xyz"))
+            rows, rho = rows[np.abs(rho) < p.rho_max], rho[np.abs(rho) < p.rho_max]
+            b0 = np.maximum(0, np.floor((rho - dev - low) / ht)).astype(np.int64)
+            b1 = np.minimum(bins, np.ceil((rho + dev - low) / ht)).astype(np.int64)
+            size = np.maximum(b1 - b0, 0)
+            voter = np.repeat(np.arange(len(rows)), size)
+            bin_ = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + b0[voter]
+            part = (dev - np.abs(bin_ * ht + low - rho[voter])) / dev
+            voter, bin_, part = voter[part > 0], bin_[part > 0], part[part > 0]
+            if not len(bin_):
+                break
+            top = int(np.round(np.bincount(bin_, part), 9).argmax())
+            rows = rows[voter[bin_ == top]]
+            alive[node[rows]] = False
+            d, at = top * ht + low, first[heavy.argmax()]
+            sign = -1.0 if d < 0 else 1.0
+            found = votes.iloc[rows][NODE_COLS].assign(round=len(out), hd=abs(d), **{"h" + a: sign * column["b" + a][at] for a in "xyz"})
+            out.append(found)
+            failed += len(rows) < p.min_octree_nodes
+        return pd.concat(out) if out else votes.iloc[:0][NODE_COLS].assign(round=0, hd=0.0, hx=0.0, hy=0.0, hz=0.0)
+
+    return kernel
+
+
+def vote_rounds(votes: DataFrame, p: SegParams, layer: int, in_task: int = VOTES_IN_TASK) -> DataFrame:
+    """All vote rounds of a layer: inlier nodes with their ``round`` and hypothesis (hx, hy, hz, hd).
+
+    A round takes its voters out of the votes whether or not a plane comes of it, so the rounds do not depend on fits;
+    they end when no vote is left, or when so many rounds had too few voters that the scan must stop.  Scans of up to
+    ``in_task`` votes are settled by one task each; the rounds of larger scans are jobs over all their votes.
+    """
+    columns = [*NODE_COLS, "round", "hx", "hy", "hz", "hd"]
+    kinds = dict(votes.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in NODE_COLS) + f", round bigint, {HYP}"
+    size = votes.groupBy("scan_id").agg(F.count("*").alias("_n"))
+    small = votes.join(size.filter(F.col("_n") <= in_task).select("scan_id"), "scan_id", "left_semi")
+    out = [stage(small.groupBy("scan_id").applyInPandas(_settled_rounds(p, layer), schema).select(*columns))]
+    live = size.filter(F.col("_n") > in_task).selectExpr("scan_id", "0 as failed")
+    live, removed, round_no = stage(live), [], 0
+    while not is_empty(live):
+        rows = votes.join(live, "scan_id", "left_semi")
+        if removed:
+            rows = sphere.remove_members(rows, stack(removed), NODE_KEY)
+        hyp, inliers = hough_round(rows, p, layer)
+        named = inliers.join(hyp.selectExpr("scan_id", "nx as hx", "ny as hy", "nz as hz", "d as hd"), "scan_id")
+        out.append(stage(named.withColumn("round", F.lit(round_no).cast("bigint")).select(*columns)))
+        removed.append(out[-1].select(*NODE_KEY))
+        voters = out[-1].groupBy("scan_id").agg(F.count("*").alias("v"))
+        live = stage(live.join(voters, "scan_id").selectExpr("scan_id", f"failed + cast(v < {p.min_octree_nodes} as int) as failed")
+                     .filter(f"failed <= {p.tries_on_each_depth}"))
+        round_no += 1
+    return stack(out)
+
+
+def rounds_made(rounds: DataFrame, p: SegParams) -> DataFrame:
+    """The rounds (scan_id, round, voters, gained) that a scan makes before it stops.
+
+    It goes on while its round had enough voters and there are enough points so far, or while failures are left;
+    failures count only when the first part is false.  A scan has one row for each round.
+    """
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("round")
+        points = failed = made = 0
+        for voters, gained in zip(pdf["voters"], pdf["gained"]):
+            made, points = made + 1, points + gained
+            good = voters >= p.min_octree_nodes and points > p.min_points_in_cc
+            if not good and failed >= p.tries_on_each_depth:
+                break
+            failed += not good
+        return pdf.iloc[:made][ROUND]
+
+    return rounds.groupBy("scan_id").applyInPandas(kernel, "scan_id bigint, round bigint")
+
+
+def detect_planes(rounds: DataFrame, book: Book, keyed: DataFrame, p: SegParams, layer: int) -> None:
+    """Fit all rounds of a layer in one pass and enter the accepted planes in the book.
+
+    Nodes belong to one round, so the points of different rounds are disjoint and their fits independent.
+    """
+    size = rounds.groupBy(*ROUND).agg(F.count("*").alias("voters"))
+    hyp = rounds.selectExpr(*ROUND, "hx as nx", "hy as ny", "hz as nz", "hd as d").distinct()
     enough = size.filter(F.col("voters") >= p.min_octree_nodes)
-    none = size.withColumn("gained", F.lit(0).cast("bigint"))
-    free = book.free(octree.points_under(
-        inliers.join(enough.select("scan_id"), "scan_id", "left_semi").select(*NODE_KEY), keyed, layer, keep=["layer"]))
-    rich = free.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") >= max(3, p.min_points_in_cc))
-    rich = stage(rich.select("scan_id"))
+    nodes = rounds.join(enough.select(*ROUND), ROUND, "left_semi")
+    free = book.free(octree.points_under(nodes.select(*NODE_KEY, "round"), keyed, layer, keep=["layer", "round"]))
+    rich = free.groupBy(*ROUND).agg(F.count("*").alias("c")).filter(F.col("c") >= max(3, p.min_points_in_cc))
+    rich = stage(rich.select(*ROUND))
     if is_empty(rich):
-        return inliers, none
+        return
     # connected parts of the inlier nodes in the hypothesis plane
     cell = p.cell_size(layer)
-    framed = fit.with_frames(hyp.join(rich, "scan_id"))
-    pos = inliers.select(*NODE_KEY, F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
-    local = fit.in_plane(pos, framed, ["scan_id"])
-    parts, _ = grid.connected_parts(local, ["scan_id"], cell, p.min_octree_nodes, p.min_nodes_in_cc)
-    parts = stage(parts.select(*NODE_KEY, "comp"))
-    keys = ["scan_id", "comp"]
-    under = octree.points_under(parts, keyed, layer, keep=["layer", "comp"]).select(
-        *NODE_KEY, "comp", "pid", "x", "y", "z")
-    under = stage(under)
+    framed = fit.with_frames(hyp.join(rich, ROUND))
+    pos = nodes.select(*NODE_KEY, "round", F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
+    parts, _ = grid.connected_parts(fit.in_plane(pos, framed, ROUND), ROUND, cell, p.min_octree_nodes, p.min_nodes_in_cc)
+    parts = stage(parts.select(*NODE_KEY, "round", "comp"))
+    keys = [*ROUND, "comp"]
+    under = octree.points_under(parts, keyed, layer, keep=["layer", "round", "comp"])
+    under = stage(under.select(*NODE_KEY, "round", "comp", "pid", "x", "y", "z"))
     pts = book.free(under)
     total = pts.groupBy(*keys).agg(F.count("*").alias("total")).filter(F.col("total") >= p.min_points_in_cc)
     pts = stage(pts.join(total, keys))
     if is_empty(pts):
-        return inliers, none
+        return
     if p.no_ransac_step:
         limit = p.ht_distance(layer)
         fits, members = threshold_fit(pts, hyp, keys, limit)
     else:
         limit = p.sac_distance(layer)
-        fits, members = fit.msac_planes(pts, keys, f"{limit!r}D", p.plane_hypotheses, seed=round_no)
-    fits = stage(fits.select(*keys, "nx", "ny", "nz", "d"))
+        fits, members = fit.msac_planes(pts, keys, f"{limit!r}D", p.plane_hypotheses, seed="round")
     members = stage(members.select(*keys, "pid", "x", "y", "z", "total"))
     counts = members.groupBy(*keys).agg(F.count("*").alias("members"), F.max("total").alias("total"))
-    good = accepted(fits, hyp, counts, p, layer, keys)
-    good = stage(plane_ids(good, layer, round_no).select(*PLANE, "comp", "nx", "ny", "nz", "d", F.lit(limit).alias("thr")))
+    good = accepted(fits.select(*keys, "nx", "ny", "nz", "d"), hyp, counts, p, layer, keys)
+    good = stage(good.select(*keys, "members", "nx", "ny", "nz", "d", F.lit(limit).alias("thr")))
+    gained = good.groupBy(*ROUND).agg(F.sum("members").alias("gained"))
+    made = rounds_made(size.join(gained, ROUND, "left").fillna(0, ["gained"]), p)
+    good = stage(plane_ids(good.join(made, ROUND, "left_semi"), layer).select(*PLANE, "round", "comp", "nx", "ny", "nz", "d", "thr"))
     if is_empty(good):
-        return inliers, none
-    mine = members.join(good.select(*PLANE, "comp"), keys)
-    table, cells = describe(good.drop("comp"), mine.select(*PLANE, "pid", "x", "y", "z"), cell)
+        return
+    taken = stage(members.join(good.select(*PLANE, "round", "comp"), keys).select(*PLANE, "pid", "x", "y", "z"))
+    table, cells = describe(good.drop("round", "comp"), taken, cell)
     book.add_structures(table.withColumn("layer", F.lit(layer)), cells)
-    taken = stage(mine.select("scan_id", "pid", "plane_id"))
-    book.assignment.append(taken)
+    book.assignment.append(taken.select("scan_id", "pid", "plane_id"))
     side = good.select(*keys, "nx", "ny", "nz", "d")
-    all_pts = under.join(side, keys).withColumn("hit", F.expr("abs(nx*x + ny*y + nz*z - d)") <= p.sac_distance(layer))
-    full = claims.coverage(all_pts, NODE_KEY, F.col("hit"), p.node_segmented_ratio)
+    hit = under.join(side, keys).withColumn("hit", F.expr("abs(nx*x + ny*y + nz*z - d)") <= p.sac_distance(layer))
+    full = claims.coverage(hit, NODE_KEY, F.col("hit"), p.node_segmented_ratio)
     book.segmented.append(stage(full.select("scan_id", "depth", "ix", "iy", "iz")))
-    gained = taken.groupBy("scan_id").agg(F.count("*").alias("gained"))
-    return inliers, size.join(gained, "scan_id", "left").fillna(0, ["gained"])
 
 
 def extract_planes(points: DataFrame, p: SegParams):
@@ -210,53 +305,54 @@ def extract_planes(points: DataFrame, p: SegParams):
             if claimed is not None:
                 open_nodes = stage(open_nodes.join(claimed, NODE_KEY, "left_anti"))
         busy = open_nodes.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") > p.min_nodes_in_cc)
-        state = first_state(busy)
-        if is_empty(state):
-            continue
-        votes = stage(sphere.votes(open_nodes.join(state.select("scan_id"), "scan_id", "left_semi"), p.phi_resolution,
+        votes = stage(sphere.votes(open_nodes.join(busy.select("scan_id"), "scan_id", "left_semi"), p.phi_resolution,
                                    p.angle_eps, p.curv_threshold, True))
-        removed: list[DataFrame] = []
-        round_no = 0
-        while not is_empty(state):
-            live = votes.join(state.select("scan_id"), "scan_id", "left_semi")
-            if removed:
-                live = sphere.remove_members(live, stack(removed), NODE_KEY)
-            inliers, outcome = detect_round(live, book, keyed, p, layer, round_no)
-            removed.append(inliers.select(*NODE_KEY))
-            state = next_state(state, outcome, p.min_octree_nodes, p.min_points_in_cc, p.tries_on_each_depth, True)
-            round_no += 1
+        if is_empty(votes):
+            continue
+        detect_planes(vote_rounds(votes, p, layer), book, keyed, p, layer)
     return book, keyed, nodes
 
 
-def peel_planes(points: DataFrame, p: SegParams, max_rounds: int | None = None):
-    """Consensus-only planes: fit all remaining points, split into parts, claim, repeat: Book."""
+def peel_planes(points: DataFrame, p: SegParams, most_tries: int = 100, failures: int = 100):
+    """Consensus-only planes: fit all remaining points, split into parts, claim, repeat: Book.
+
+    A scan ends when a fit gets too few points, or after ``failures`` fits without a large enough part.  A failed fit
+    leaves the points as they were, so the fits after it are independent of each other: they are made in one pass, keyed
+    by (scan, attempt), ten times as many as in the pass before and at most ``most_tries``, and the first one that claims
+    or ends counts.  The result is that of one fit after the other; a pass is one chain of jobs however many fits it makes.
+    """
     book = Book()
     left = stage(points.select("scan_id", "pid", "x", "y", "z"))
-    limit = p.min_sac_distance
-    fails: DataFrame = stage(left.select("scan_id").distinct().selectExpr("scan_id", "0 as fails"))
-    for round_no in itertools.count() if max_rounds is None else range(max_rounds):
+    limit, keys = p.min_sac_distance, ["scan_id", "attempt"]
+    # the next attempt, failures so far, and how many attempts the next pass makes
+    state = stage(left.select("scan_id").distinct().selectExpr("scan_id", "0L as next", "0L as fails", "1L as width"))
+    while not is_empty(state):
         crowd = left.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") > p.min_points_in_cc)
-        live = left.join(crowd.join(fails, "scan_id").select("scan_id"), "scan_id", "left_semi")
-        fits, members = fit.msac_planes(live, ["scan_id"], f"{limit!r}D", p.sac_iterations, "count", seed=round_no)
-        fits, members = stage(fits.select("scan_id", "nx", "ny", "nz", "d")), stage(members)
-        fit_size = members.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") >= p.min_points_in_cc)
-        fits = stage(fits.join(fit_size.select("scan_id"), "scan_id", "left_semi"))
-        if is_empty(fits):
-            break
-        local = fit.in_plane(members, fits, ["scan_id"])
-        parts, _ = grid.connected_parts(local, ["scan_id"], limit, p.min_octree_nodes, p.min_nodes_in_cc)
-        sizes = parts.groupBy("scan_id", "comp").agg(F.count("*").alias("c")).filter(F.col("c") >= p.min_points_in_cc)
-        good = stage(plane_ids(sizes.select("scan_id", "comp").join(fits, "scan_id"), 0, round_no))
-        claimed = stage(parts.join(good.select(*PLANE, "comp"), ["scan_id", "comp"]).select(*PLANE, "pid", "x", "y", "z"))
-        if not is_empty(claimed):
-            table, cells = describe(good.drop("comp").withColumn("thr", F.lit(limit)), claimed, limit)
+        tries = state.join(crowd, "scan_id", "left_semi").selectExpr("scan_id", "explode(sequence(next, next + width - 1)) as attempt")
+        fits, members = fit.msac_planes(left.join(tries, "scan_id"), keys, f"{limit!r}D", p.sac_iterations, "count", seed="attempt")
+        members = stage(members.select(*keys, "pid", "x", "y", "z"))
+        fit_size = members.groupBy(*keys).agg(F.count("*").alias("c")).filter(F.col("c") >= p.min_points_in_cc)
+        fits = stage(fits.select(*keys, "nx", "ny", "nz", "d").join(fit_size, keys, "left_semi"))
+        local = fit.in_plane(members, fits, keys)
+        parts, _ = grid.connected_parts(local, keys, limit, p.min_octree_nodes, p.min_nodes_in_cc)
+        parts = stage(parts.select(*keys, "comp", "pid", "x", "y", "z"))
+        sizes = parts.groupBy(*keys, "comp").agg(F.count("*").alias("c")).filter(F.col("c") >= p.min_points_in_cc)
+        sizes = stage(sizes.select(*keys, "comp"))
+        # the first attempt that ends the scan (no large fit) or claims (a large part)
+        wins = sizes.select(*keys).distinct().withColumn("won", F.lit(True))
+        ends = tries.join(fits, keys, "left_anti").withColumn("won", F.lit(False))
+        event = wins.unionByName(ends).groupBy("scan_id").agg(F.min_by("won", "attempt").alias("won"), F.min("attempt").alias("attempt"))
+        told = stage(state.join(crowd, "scan_id", "left_semi").join(event, "scan_id", "left").selectExpr(
+            "scan_id", "attempt", "won", "next", "width", "fails + coalesce(attempt - next, width) as fails"))
+        first = told.filter(f"won and fails < {failures}").select(*keys)
+        good = sizes.join(first, keys, "left_semi").join(fits, keys)
+        good = stage(plane_ids(good, 0, "attempt").select(*PLANE, *keys[1:], "comp", "nx", "ny", "nz", "d"))
+        if not is_empty(good):
+            claimed = stage(parts.join(good.select(*PLANE, "attempt", "comp"), [*keys, "comp"]).select(*PLANE, "pid", "x", "y", "z"))
+            table, cells = describe(good.drop("attempt", "comp").withColumn("thr", F.lit(limit)), claimed, limit)
             book.add_structures(table.withColumn("layer", F.lit(0)), cells)
             book.assignment.append(claimed.select("scan_id", "pid", "plane_id"))
             left = stage(left.join(claimed.select("scan_id", "pid"), ["scan_id", "pid"], "left_anti"))
-        # a scan stops without a large enough fit, or after 100 fits without a large enough part
-        won = good.select("scan_id").distinct().withColumn("_w", F.lit(1))
-        fails = fails.join(fits.select("scan_id"), "scan_id", "left_semi").join(won, "scan_id", "left")
-        fails = stage(fails.selectExpr("scan_id", "if(_w = 1, fails, fails + 1) as fails").filter("fails < 100"))
-        if is_empty(fails):
-            break
+        state = stage(told.filter(f"fails < {failures} and coalesce(won, true)").selectExpr(
+            "scan_id", "coalesce(attempt + 1, next + width) as next", "fails", f"if(won, 1L, least({most_tries}L, 10*width, {failures} - fails)) as width"))
     return book
