@@ -255,7 +255,7 @@ part("depth_values", "select * from (values " + ", ".join(
 def depth_thresholds(spark, sf):
     from ..operators import octree
     from ..params import depth_table
-    nodes = octree.roll_up(octree.leaf_moments(octree.with_keys(load(spark, sf, "scene_points"), P)), P.layers())
+    nodes = octree.roll_up(octree.leaf_moments(octree.with_keys(load(spark, sf, "scene_points"), P)), P.layers(), P)
     d = nodes.groupBy("scan_id", F.col("layer").alias("depth")).agg(F.count("*").alias("nodes")).join(depth_table(spark, P), "depth")
     d = d.withColumn("depth", F.col("depth").cast("bigint"))
     return rounded(d, ["size", "sac", "ht", "r_min", "r_max", "angle"], 6)

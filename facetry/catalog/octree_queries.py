@@ -32,7 +32,7 @@ part("layer_moments", moments_sql("scan_id, lay, ix, iy, iz", "layer_cells"))
 @query("octree_rollup", f"select scan_id, lay as layer, ix, iy, iz, n, {rs(SUMS, 3)} from layer_moments")
 def octree_rollup(spark, sf):
     leaves = octree.leaf_moments(octree.with_keys(load(spark, sf, "scene_points"), P))
-    df = octree.roll_up(leaves, P.layers()).withColumn("layer", F.col("layer").cast("bigint"))
+    df = octree.roll_up(leaves, P.layers(), P).withColumn("layer", F.col("layer").cast("bigint"))
     return rounded(df.select("scan_id", "layer", "ix", "iy", "iz", "n", *SUMS.split()), SUMS.split(), 3)
 
 
@@ -88,7 +88,7 @@ def stable_by_depth(spark, sf):
   where rn = 1""")
 def finest_normal(spark, sf):
     keyed = octree.with_keys(load(spark, sf, "scene_points"), P)
-    nodes = octree.surfels(octree.roll_up(octree.leaf_moments(keyed), P.layers()), P)
+    nodes = octree.surfels(octree.roll_up(octree.leaf_moments(keyed), P.layers(), P), P)
     df = octree.finest_normals(keyed, nodes).filter("nx is not null")
     df = df.select("pid", "scan_id", F.col("normal_depth").cast("bigint").alias("normal_depth"), "nx", "ny", "nz")
     return rounded(df, ["nx", "ny", "nz"])
@@ -128,7 +128,7 @@ surfel_parts("loose_surfels", "layer_moments", SegParams(curv_threshold=1e9, cur
   round(l.mx,4)+0.0e0 as mx, round(l.my,4)+0.0e0 as my, round(l.mz,4)+0.0e0 as mz, s.stable
   from loose_surfels l join layer_surfels s on l.scan_id=s.scan_id and l.lay=s.lay and l.ix=s.ix and l.iy=s.iy and l.iz=s.iz""")
 def surfel_geometry(spark, sf):
-    nodes = octree.roll_up(octree.leaf_moments(octree.with_keys(load(spark, sf, "scene_points"), P)), P.layers())
+    nodes = octree.roll_up(octree.leaf_moments(octree.with_keys(load(spark, sf, "scene_points"), P)), P.layers(), P)
     df = octree.surfel_geometry(nodes, P).drop("tx", "ty", "tz")
     return rounded(df.withColumn("depth", F.col("depth").cast("bigint")), ["mx", "my", "mz"])
 

@@ -254,7 +254,7 @@ S = "sx sy sz sxx sxy sxz syy syz szz"
 def stream_moments(spark, sf):
     arriving = streams.point_stream(spark, sf, spark.read.parquet(f"{sf}/events.parquet").schema, name="events.parquet")
     points = spark.sql(STREAM.replace("from events", "from {events}"), events=arriving)
-    d = streams.drained(streams.cell_moments(points, STREAM_P), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    d = streams.drained(points, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", STREAM_P)
     d = d.selectExpr("date_format(w.start, 'yyyy-MM-dd') as day", "scan_id", "lx as ix", "ly as iy", "lz as iz", "n", *S.split())
     return rounded(d, S.split(), 9)
 

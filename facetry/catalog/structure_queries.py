@@ -436,6 +436,26 @@ def merged_planes(spark, sf):
     return rounded(d, ["nx", "ny", "nz", "d"])
 
 
+@query("merged_planes_fixpoint", """select scan_id, cast(plane_id as bigint) as surface, n as members, round(case when s < 0e0 then -ex else ex end,4)+0.0e0 as nx,
+  round(case when s < 0e0 then -ey else ey end,4)+0.0e0 as ny, round(case when s < 0e0 then -ez else ez end,4)+0.0e0 as nz, round(abs(s),4)+0.0e0 as d
+  from (select *, ex*mx+ey*my+ez*mz as s from plane_eig) t""")
+def merged_planes_fixpoint(spark, sf):
+    """Every plane cut into five strips, of which only neighbours touch; merging goes on until the plane is whole."""
+    along = "if(plane_id = 0, x, if(plane_id = 1, y, x))"
+    pts = load(spark, sf, "plane_points").selectExpr(
+        "scan_id", f"cast(plane_id*8 + least(4, floor(({along} + 1)*2.5D)) as bigint) as plane_id", "pid", "x", "y", "z")
+    pts = stage(pts)
+    fitted = fit.pca_planes(pts, KEY).select(*KEY, "nx", "ny", "nz", "d").withColumn("thr", F.lit(0.05))
+    table, cells = plane_plan.describe(fitted, pts, SIZE)
+    book = plane_plan.Book()
+    # equal areas would leave the order open; the id decides
+    book.add_structures(table.withColumns({"layer": F.lit(LAYER), "area": -F.col("plane_id").cast("double")}), cells)
+    book.assignment.append(pts.select("scan_id", "pid", "plane_id"))
+    merged = post.merge_to_fixpoint(book, pts, P).structures
+    merged = merged.selectExpr("scan_id", "plane_id div 8 as surface", "members", "nx", "ny", "nz", "d")
+    return rounded(merged, ["nx", "ny", "nz", "d"])
+
+
 @query("cylinder_claims", f"""select scan_id, ix, iy, iz from scene_surfels where nx is not null and abs(sqrt((mx-0.3e0)*(mx-0.3e0)+(my+0.2e0)*(my+0.2e0))-0.3e0) < 0.05e0
   and abs(((mx-0.3e0)*nx+(my+0.2e0)*ny)/sqrt((mx-0.3e0)*(mx-0.3e0)+(my+0.2e0)*(my+0.2e0))) >= {math.cos(P.angle_eps)!r}e0 and mz < 1.4e0 and mz > -1.4e0""")
 def cylinder_claims(spark, sf):

@@ -7,14 +7,18 @@ Layer d holds the cells at depth d and the leaves above d.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import with_pair_axis
-from ..functions.moments import merge_aggs, moment_aggs, with_surfel
+from ..functions.moments import SUMS, merge_aggs, moment_aggs, with_surfel
 from ..functions.vec import constant_rows, v
 from ..params import SegParams
+from ..session import stage
 
 CELL = ["ix", "iy", "iz"]
 LEAF = ["scan_id", "leaf_depth", "lx", "ly", "lz"]
@@ -55,15 +59,72 @@ def leaf_moments(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy(*LEAF).agg(*aggs)
 
 
-def roll_up(leaves: DataFrame, layers) -> DataFrame:
-    """All requested layers from the leaf moments, one more shuffle of leaf rows."""
+MORTON_BITS = 20  # bits of a coordinate in the curve code
+
+
+def curve_code(p: SegParams) -> str:
+    """Place of a leaf's lowest corner on the Morton curve: cells under one node follow each other."""
+    spread = []
+    for k, a in enumerate("xyz"):
+        c = f"shiftleft(l{a}, {p.depth} - leaf_depth)"
+        spread += [f"shiftleft(shiftright({c}, {bit}) & 1L, {3 * bit + 2 - k})" for bit in range(p.depth)]
+    return " | ".join(spread) if spread else "0L"
+
+
+def _rolled(layers: list[int], names: list[str]):
+    """Nodes of all layers from leaves in curve order; nodes at the ends of a batch are marked as cut."""
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for leaves in batches:
+            if not len(leaves):
+                continue
+            scan, leaf_depth = leaves["scan_id"].to_numpy(), leaves["leaf_depth"].to_numpy()
+            sums = leaves[names].to_numpy()
+            low = leaves["node_min"].to_numpy() if "node_min" in leaves else None
+            for layer in layers:
+                depth = np.minimum(leaf_depth, layer)
+                cell = [leaves["l" + a].to_numpy() >> (leaf_depth - depth) for a in "xyz"]
+                new = np.ones(len(scan), bool)
+                new[1:] = np.any([c[1:] != c[:-1] for c in (scan, depth, *cell)], axis=0)
+                first = np.flatnonzero(new)
+                out = {"scan_id": scan[first], "layer": layer, "depth": depth[first], **{"i" + a: c[first] for a, c in zip("xyz", cell)}}
+                out |= dict(zip(names, np.add.reduceat(sums, first).T))
+                if low is not None:
+                    out["node_min"] = np.minimum.reduceat(low, first)
+                rows = pd.DataFrame(out)
+                rows["cut"] = False
+                rows.loc[[0, len(rows) - 1], "cut"] = True
+                yield rows
+
+    return kernel
+
+
+def roll_up(leaves: DataFrame, layers, p: SegParams | None = None) -> DataFrame:
+    """All requested layers from the leaf moments, moving each leaf row once.
+
+    Leaves are dealt by ranges of scan and Morton curve, so the leaves of a node stand together and a task sums whole
+    layers in one go.  Only nodes at the ends of its batches may go on elsewhere; these few are merged afterwards.
+    Without parameters, or for trees too deep for the code, the layers are formed by one grouping of all pairs of leaf
+    and layer.
+    """
     layers = list(layers)
-    layer = F.explode(F.array(*(F.lit(d) for d in layers))).alias("layer")
-    df = leaves.select("*", layer).withColumn("depth", F.least("leaf_depth", "layer"))
-    for a in "xyz":
-        df = df.withColumn("i" + a, F.expr(f"shiftright(l{a}, leaf_depth - depth)"))
-    keep = [F.min("node_min").alias("node_min")] if "node_min" in leaves.columns else []
-    return df.groupBy(*NODE).agg(*merge_aggs(), *keep)
+    if p is None or p.depth > MORTON_BITS:
+        layer = F.explode(F.array(*(F.lit(d) for d in layers))).alias("layer")
+        df = leaves.select("*", layer).withColumn("depth", F.least("leaf_depth", "layer"))
+        for a in "xyz":
+            df = df.withColumn("i" + a, F.expr(f"shiftright(l{a}, leaf_depth - depth)"))
+        keep = [F.min("node_min").alias("node_min")] if "node_min" in leaves.columns else []
+        return df.groupBy(*NODE).agg(*merge_aggs(), *keep)
+    low = ["node_min"] if "node_min" in leaves.columns else []
+    names = ["n", *SUMS]
+    dealt = leaves.select(*LEAF, *names, *low, F.expr(curve_code(p)).alias("_at"))
+    dealt = dealt.repartitionByRange("scan_id", "_at", "leaf_depth").sortWithinPartitions("scan_id", "_at", "leaf_depth")
+    kinds = dict(leaves.dtypes)
+    schema = ("scan_id bigint, layer int, depth int, ix bigint, iy bigint, iz bigint, "
+              + ", ".join(f"{c} {'double' if c in SUMS else kinds[c]}" for c in (*names, *low)) + ", cut boolean")
+    nodes = stage(dealt.drop("_at").mapInPandas(_rolled(layers, names), schema))
+    lows = [F.min(c).alias(c) for c in low]
+    cut = nodes.filter("cut").groupBy(*NODE).agg(*merge_aggs(), *lows)
+    return nodes.filter("not cut").drop("cut").unionByName(cut.select(*NODE, *names, *low))
 
 
 def surfels(nodes: DataFrame, p: SegParams) -> DataFrame:
@@ -83,15 +144,15 @@ def layer_moments(keyed: DataFrame, layer: int) -> DataFrame:
     return cells_of(keyed, layer).withColumn("layer", F.lit(layer)).groupBy(*NODE).agg(*aggs)
 
 
-def node_moments(keyed: DataFrame, layers) -> DataFrame:
+def node_moments(keyed: DataFrame, layers, p: SegParams | None = None) -> DataFrame:
     """Moments of the given layers: directly for one layer, by roll-up for several."""
     layers = list(layers)
-    return layer_moments(keyed, layers[0]) if len(layers) == 1 else roll_up(leaf_moments(keyed), layers)
+    return layer_moments(keyed, layers[0]) if len(layers) == 1 else roll_up(leaf_moments(keyed), layers, p)
 
 
 def build(points: DataFrame, p: SegParams, layers=None) -> DataFrame:
     """points -> surfels of the requested layers (all of them by default)."""
-    return surfels(node_moments(with_keys(points, p), layers or p.layers()), p)
+    return surfels(node_moments(with_keys(points, p), layers or p.layers(), p), p)
 
 
 def max_leaf_depth(keyed: DataFrame) -> DataFrame:

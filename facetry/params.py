@@ -119,6 +119,7 @@ class SegParams:
     cylinder_hypotheses: int = 10_000
     sac_iterations: int = 10_000
     include_self_pairs: bool = False
+    merge_to_fixpoint: bool = False
 
     def __post_init__(self):
         if not 2 <= self.phi_resolution <= 500:

@@ -30,12 +30,13 @@ def _result(book: Book, key: str) -> Segmentation:
 def segment_planes(points: DataFrame, p: SegParams) -> Segmentation:
     """Extraction, then merge (bit 1), spread (bit 2) and merge again (bit 4)."""
     book, keyed, nodes = planes.extract_planes(points, p)
+    merge = post.merge_to_fixpoint if p.merge_to_fixpoint else post.merge_planes
     if p.post_processing & 1:
-        book = post.merge_planes(book, keyed, p)
+        book = merge(book, keyed, p)
     if p.post_processing & 2:
         book = post.spread_nodes(book, nodes, keyed, p)
     if p.post_processing & 4:
-        book = post.merge_planes(book, keyed, p)
+        book = merge(book, keyed, p)
     return _result(book, "plane_id")
 
 

@@ -49,8 +49,14 @@ def hough_round(votes: DataFrame, p: SegParams, layer: int):
 
 
 def threshold_fit(points: DataFrame, hyp: DataFrame, keys, limit: float):
-    """Fit without consensus: the hypothesis itself and its points within ``limit``."""
-    planes = points.select(*keys).distinct().join(hyp, [c for c in hyp.columns if c in keys])
+    """Fit without consensus: the hypothesis itself and its points within ``limit``.
+
+    Votes are folded, so a hypothesis' direction may be opposite to its voters' normals; it is turned to its points.
+    """
+    mean = points.groupBy(*keys).agg(*(F.avg(a).alias("_" + a) for a in "xyz"))
+    planes = mean.join(hyp, [c for c in hyp.columns if c in keys])
+    side = "if(nx*_x + ny*_y + nz*_z < 0, -1D, 1D)"
+    planes = planes.selectExpr(*keys, *(f"{side}*n{a} as n{a}" for a in "xyz"), "d")
     return planes, fit.plane_inliers(points, planes, keys, repr(limit) + "D", strict=False)
 
 
@@ -296,7 +302,7 @@ def detect_planes(rounds: DataFrame, book: Book, keyed: DataFrame, p: SegParams,
 def extract_planes(points: DataFrame, p: SegParams):
     """Coarse-to-fine extraction: (book, keyed points, nodes of all layers)."""
     keyed = stage(octree.with_keys(points.select("scan_id", "pid", "x", "y", "z"), p))
-    nodes = stage(octree.surfels(octree.node_moments(keyed, p.layers()), p))
+    nodes = stage(octree.surfels(octree.node_moments(keyed, p.layers(), p), p))
     book = Book()
     for layer in p.layers():
         open_nodes = stage(book.open_nodes(octree.on_layer(nodes, layer).filter("stable").select(*NODE_COLS)))

@@ -58,6 +58,19 @@ def merge_planes(book: Book, keyed: DataFrame, p: SegParams) -> Book:
     return rebuilt(book, refit, moved, belong)
 
 
+def merge_to_fixpoint(book: Book, keyed: DataFrame, p: SegParams) -> Book:
+    """Merge until no two planes may be merged; a merged plane is compared with its own fit, extent and threshold.
+
+    Every pass merges whole stars, so a chain of n planes is one plane after about log2(n) passes; each pass reads the
+    points of planes that it compares only.
+    """
+    while True:
+        merged = merge_planes(book, keyed, p)
+        if merged is book:
+            return book
+        book = merged
+
+
 def rebuilt(book: Book, refit: DataFrame, moved: DataFrame, belong: DataFrame) -> Book:
     """Book with refitted planes in place of the ones listed in ``belong``."""
     out = Book(segmented=book.segmented)

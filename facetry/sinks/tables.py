@@ -11,9 +11,9 @@ from ..functions.vec import v
 from ..operators import fit
 from ..operators.assign import dense_labels
 from ..operators.raster import to_byte
+from ..session import stage
 
 CHUNK = 100
-RANGE_BITS = 16  # points of one id range are numbered together, at most 65,536
 
 
 def label_image(pixels: DataFrame, assignment: DataFrame, structures: DataFrame, id_col: str = "structure_id") -> DataFrame:
@@ -54,15 +54,19 @@ def unsegmented(points: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def numbered(points: DataFrame) -> DataFrame:
-    """Consecutive number ``num`` per scan in pid order, without ordering a scan in one task.
+    """Consecutive number ``num`` per scan in pid order, whatever the ids are, without ordering a scan in one task.
 
-    Points are numbered inside fixed id ranges; a running sum over the ranges adds the offsets.
+    Points are dealt by ranges of (scan, pid) and stored in that order; a range counts its own points, and one count for
+    each range and scan is brought together.  Equal ids in a scan are numbered in any order.
     """
-    d = points.withColumn("_g", F.expr(f"pid div {1 << RANGE_BITS}"))
+    dealt = points.repartitionByRange("scan_id", "pid").sortWithinPartitions("scan_id", "pid")
+    dealt = stage(dealt.withColumn("_m", F.monotonically_increasing_id()))
+    # the id holds the number of the range and the place in it
+    d = dealt.withColumns({"_g": F.expr("shiftright(_m, 33)"), "_k": F.expr("_m & 8589934591L")})
     w = Window.partitionBy("scan_id").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offset = d.groupBy("scan_id", "_g").agg(F.count("*").alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    local = d.withColumn("_k", F.row_number().over(Window.partitionBy("scan_id", "_g").orderBy("pid")))
-    return local.join(offset.drop("_c"), ["scan_id", "_g"]).withColumn("num", F.col("_o") + F.col("_k") - 1).drop("_g", "_o", "_k")
+    ranges = d.groupBy("scan_id", "_g").agg(F.count("*").alias("_c"), F.min("_k").alias("_first"))
+    ranges = ranges.withColumn("_o", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    return d.join(ranges, ["scan_id", "_g"]).withColumn("num", F.expr("_o + _k - _first")).drop("_g", "_o", "_k", "_first", "_m")
 
 
 def chunks(points: DataFrame, size: int = CHUNK) -> DataFrame:
