@@ -10,7 +10,8 @@ part, and weak secrets inside an id or endpoint, are that part already and are n
 
 All of this happens inside the row: no shuffle, nothing but the row's own parts in memory.  Weak parts are looked
 for only in texts with an identifier.  Positions come from the lengths of what stands between matches, in code
-points, end exclusive.  The join inside a text compares its weak parts with the parts of the other role.
+points, end exclusive.  Parts of one kind do not overlap, so begins and ends ascend together, and the interval join
+looks each weak part's neighbour of each kind up by bisection: n parts cost n log n steps, not n squared.
 
 Defined cases: null text counts as empty and stays null when redacted.  Other columns pass through ``redacted``.
 """
@@ -18,6 +19,7 @@ Defined cases: null text counts as empty and stays null when redacted.  Other co
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 ADDRESS = r"""[A-Za-z][A-Za-z0-9+.-]+://[^\x20\x09-\x0D"'<>]+"""
 BLANK_LINE = r"\n[\x20\x09\x0B-\x0D]*\n"
 LEAST_VALUE = 6
-BLOCK = 256  # lengths added up at a time when positions are made
+BLOCK = 256  # lengths that are added up together when places are made
 
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
@@ -48,73 +50,102 @@ def _none() -> Column:
     return F.array().cast(SPAN)
 
 
-def _before(sizes: Column) -> Column:
-    """Sum of all earlier elements for each element, in blocks so that long arrays stay cheap."""
-    add = lambda a, b: a + b
-    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
-    sums = F.transform(blocks, lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, BLOCK), F.lit(0), add))
-    base = F.transform(blocks, lambda b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), add))
-    return F.transform(F.sequence(F.lit(0), F.size(sizes) - 1), lambda i: F.get(base, F.floor(i / BLOCK).cast("int")) + F.aggregate(
-        F.slice(sizes, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.lit(0), add))
+def _fixed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once for each row, however often a lambda after them looks into them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _found(df: DataFrame, name: str, pattern: str, order: int, when: Column, check=None) -> DataFrame:
-    """Column ``name``: spans of the matches of ``pattern`` that satisfy ``check`` (of match number), leftmost first."""
-    text = F.col("whole")
-    df = df.withColumn("_m", F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
-    df = df.withColumn("_l", F.zip_with(F.slice("_p", 1, F.size("_m")), F.col("_m"), lambda p, m: F.char_length(p) + F.char_length(m)))
-    df = df.withColumn("_b", F.when(F.size("_m") > 0, _before(F.col("_l"))))
-    span = lambda b, i: F.struct((b + F.char_length(F.get("_p", i))).alias("start"), F.lit(order).alias("ord"),
-                                 (b + F.get("_l", i)).alias("end"))
-    spans = F.transform("_b", span)
-    if check is not None:
-        spans = F.filter(spans, lambda s, i: check(i))
-    return df.withColumn(name, F.coalesce(spans, _none())).drop("_m", "_p", "_l", "_b")
+def _found(df: DataFrame, kinds: dict[str, tuple]) -> DataFrame:
+    """Columns named by ``kinds``: spans of the matches of (pattern, order, when, check or None), leftmost first.
 
+    ``check`` takes a match and says whether its span stays.  A span's place is the sum of the lengths before it, added
+    up in blocks: a block's own place first, then the lengths inside the block.
+    """
+    text, add = F.col("whole"), lambda a, b: a + b
+    of = lambda prefix: {k: F.col(f"{prefix}_{k}") for k in kinds}
+    df = _fixed(df, {f"_m_{k}": F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))) for k, (pattern, _, when, _) in kinds.items()})
+    df = _fixed(df, {f"_p_{k}": F.when(F.size(m) > 0, F.transform(F.split(text, kinds[k][0], -1), lambda x: F.char_length(x))) for k, m in of("_m").items()})
+    df = _fixed(df, {f"_l_{k}": F.zip_with(F.slice(F.col(f"_p_{k}"), 1, F.size(m)), m, lambda x, y: x + F.char_length(y)) for k, m in of("_m").items()})
+    blocks = lambda x: F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))
+    df = _fixed(df, {f"_s_{k}": F.transform(blocks(x), lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, BLOCK), F.lit(0), add)) for k, x in of("_l").items()})
+    df = _fixed(df, {f"_o_{k}": F.transform(x, lambda _, b: F.aggregate(F.slice(x, F.lit(1), b), F.lit(0), add)) for k, x in of("_s").items()})
 
-def _meets(spans: Column, s: Column, widened: Column) -> Column:
-    return F.exists(spans, lambda o: (o["start"] < s["end"] + widened) & (s["start"] < o["end"] + widened))
+    def spans(k: str) -> Column:
+        gap, size, block = F.col(f"_p_{k}"), F.col(f"_l_{k}"), F.col(f"_o_{k}")
+        order, check = kinds[k][1], kinds[k][3]
 
+        def span(_, i: Column) -> Column:
+            b = F.floor(i / BLOCK).cast("int")
+            before = F.get(block, b) + F.aggregate(F.slice(size, b * BLOCK + 1, i % BLOCK), F.lit(0), add)
+            return F.struct((before + F.get(gap, i)).alias("start"), F.lit(order).alias("ord"), (before + F.get(size, i)).alias("end"))
 
-def _near(parts: Column, s: Column, reach: int) -> Column:
-    return F.exists(parts, lambda o: (o["scope"] == s["scope"]) & (o["start"] <= s["end"] + reach) & (s["start"] <= o["end"] + reach))
+        found = F.transform(size, span)
+        if check is not None:
+            found = F.filter(found, lambda _, i: check(F.get(F.col(f"_m_{k}"), i)))
+        return F.coalesce(found, _none())
+
+    df = _fixed(df, {k: spans(k) for k in kinds})
+    return df.drop(*(f"_{c}_{k}" for c in "mplso" for k in kinds))
+
+
+def _count_while(spans: Column, holds) -> Column:
+    """How many spans, from the first on, satisfy ``holds``, which is true up to some span and false after it."""
+    begin = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        more = F.coalesce(holds(F.get(spans, mid)), F.lit(False))
+        return F.struct(F.when((at["lo"] < at["hi"]) & more, mid + 1).otherwise(at["lo"]).alias("lo"),
+                        F.when((at["lo"] < at["hi"]) & ~more, mid).otherwise(at["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int") + 1)
+    return F.aggregate(steps, begin, halve, lambda at: at["lo"])
+
+
+def _meets(kinds: list[str], s: Column) -> Column:
+    """Whether a span overlaps ``s``; spans of one kind do not overlap, so the last that begins before its end decides."""
+    last = lambda k: F.get(F.col(k), _count_while(F.col(k), lambda o: o["start"] < s["end"]) - 1)
+    return reduce(lambda a, b: a | b, [F.coalesce(last(k)["end"] > s["start"], F.lit(False)) for k in kinds])
+
+
+def _near(kinds: list[str], s: Column, reach: int) -> Column:
+    """Whether a part of the same scope stands within ``reach``; again the last of each kind that begins early enough decides."""
+    def last(k: str) -> Column:
+        early = lambda o: (o["scope"] < s["scope"]) | ((o["scope"] == s["scope"]) & (o["start"] <= s["end"] + reach))
+        return F.get(F.col(k), _count_while(F.col(k), early) - 1)
+
+    close = lambda o: (o["scope"] == s["scope"]) & (s["start"] <= o["end"] + reach)
+    return reduce(lambda a, b: a | b, [F.coalesce(close(last(k)), F.lit(False)) for k in kinds])
 
 
 def with_spans(df: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     """Columns ``assign``, ``access``, ``hex`` and ``linked`` (weak parts that are reported) from column ``whole``."""
-    df = _found(df, "access", ACCESS, 1, F.col("whole").contains("AKIA"))
-    df = _found(df, "hex", HEX, 2, F.col("whole").rlike(HEX))
-    df = df.withColumn("_v", F.when(F.col("whole").rlike(ASSIGN), F.regexp_extract_all("whole", F.lit(ASSIGN), F.lit(2))))
-    df = _found(df, "assign", ASSIGN, 0, F.col("_v").isNotNull(), lambda i: F.char_length(F.get("_v", i)) >= LEAST_VALUE).drop("_v")
-    df = df.withColumn("base", F.concat("assign", "access", "hex"))
-
-    df = _found(df, "_id", WEAK_ID, 3, F.col("whole").rlike(WEAK_ID))
-    df = df.withColumn("_id", F.filter("_id", lambda s: ~_meets(F.col("base"), s, F.lit(0))))
+    text, base = F.col("whole"), ["assign", "access", "hex"]
+    long_value = lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= LEAST_VALUE
+    df = _found(df, {"access": (ACCESS, 1, text.contains("AKIA"), None), "hex": (HEX, 2, text.rlike(HEX), None),
+                     "assign": (ASSIGN, 0, text.rlike(ASSIGN), long_value), "_i": (WEAK_ID, 3, text.rlike(WEAK_ID), None)})
+    df = _fixed(df, {"_id": F.filter("_i", lambda s: ~_meets(base, s)), "base": F.concat(*base)})
     named = (F.size("access") > 0) | (F.size("_id") > 0)
-    df = _found(df, "_url", ADDRESS, 5, named & F.col("whole").contains("://"))
-    df = df.withColumn("_url", F.filter("_url", lambda s: ~_meets(F.col("base"), s, F.lit(0))))
-    df = df.withColumn("_r", F.when(named, F.regexp_extract_all("whole", F.lit(RUN), F.lit(0))))
-    df = _found(df, "_run", RUN, 4, named, lambda i: F.get("_r", i).rlike("[0-9]") & F.get("_r", i).rlike("[A-Za-z]")).drop("_r")
-    taken = F.concat("base", "_id", "_url")
-    df = df.withColumn("_taken", taken)
-    df = df.withColumn("_run", F.filter("_run", lambda s: ~_meets(F.col("_taken"), s, F.lit(0))))
+    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
+    df = _found(df, {"_u": (ADDRESS, 5, named & text.contains("://"), None), "_r": (RUN, 4, named, mixed)})
+    df = _fixed(df, {"_url": F.filter("_u", lambda s: ~_meets(base, s))})
+    df = _fixed(df, {"_run": F.filter("_r", lambda s: ~_meets([*base, "_id", "_url"], s))})
     weak = F.size("_id") + F.size("_url") + F.size("_run") > 0
-    df = _found(df, "_blank", BLANK_LINE, 9, weak)
-
-    def scoped(spans: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), F.size(
-            F.filter("_blank", lambda b: b["start"] < s["start"])).alias("scope")))
-
-    df = df.withColumn("_ids", F.when(weak, scoped(F.concat("access", "_id"))))
-    df = df.withColumn("_secrets", F.when(weak, scoped(F.concat("assign", "hex", "_run"))))
-    df = df.withColumn("_ends", F.when(weak, scoped(F.col("_url"))))
-    ids = F.filter("_ids", lambda s: (s["ord"] == 3) & _near(F.col("_secrets"), s, p.reach))
-    secrets = F.filter("_secrets", lambda s: (s["ord"] == 4) & _near(F.col("_ids"), s, p.reach))
-    ends = F.filter("_ends", lambda s: _near(F.col("_ids"), s, p.reach) & _near(F.col("_secrets"), s, p.reach))
-    plain = F.transform(F.concat(ids, secrets, ends), lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
-    df = df.withColumn("linked", F.when(weak, plain).otherwise(_none()))
-    return df.drop("_id", "_url", "_run", "_taken", "_blank", "_ids", "_secrets", "_ends")
+    df = _found(df, {"_blank": (BLANK_LINE, 9, weak, None)})
+
+    def scoped(spans: str) -> Column:
+        scope = lambda s: _count_while(F.col("_blank"), lambda b: b["start"] < s["start"])
+        return F.when(weak, F.transform(spans, lambda s: F.struct(
+            s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), scope(s).alias("scope"))))
+
+    parts = ["access", "_id", "assign", "hex", "_run", "_url"]
+    df = _fixed(df, {f"_in{k}": scoped(k) for k in parts})
+    ids, secrets = ["_inaccess", "_in_id"], ["_inassign", "_inhex", "_in_run"]
+    linked = [F.filter("_in_id", lambda s: _near(secrets, s, p.reach)), F.filter("_in_run", lambda s: _near(ids, s, p.reach)),
+              F.filter("_in_url", lambda s: _near(ids, s, p.reach) & _near(secrets, s, p.reach))]
+    plain = F.transform(F.concat(*linked), lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end")))
+    df = _fixed(df, {"linked": F.when(weak, plain).otherwise(_none())})
+    return df.drop("_i", "_id", "_u", "_url", "_r", "_run", "_blank", *(f"_in{k}" for k in parts))
 
 
 def _listed(spans: Column) -> Column:
