@@ -72,8 +72,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_token_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    placed = token_shards.shards(spark, f"{sf_dir}/documents.parquet", lambda: bpe.vocabulary(path).encode)
+    p = token_counts.CountParams(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    placed = token_shards.shards(spark, f"{sf_dir}/documents.parquet", lambda: token_counts.encoder(p))
     # files of its own for each call; the rows are what these files hold
     folder = f"{shared_folder(spark)}/token-shards-{uuid.uuid4().hex}"
     return token_shards.read_shards(token_shards.write_shards(placed, folder), folder)

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,28 +47,46 @@ def version(p: CountParams) -> str:
 
 
 @lru_cache(2)
-def counter(p: CountParams) -> Callable[[str], int]:
+def _libraries(p: CountParams) -> tuple[Callable[[str], list[int]], Callable | None]:
+    """(ids of a text by the vocabulary's own library, the same ids as an array by tiktoken, where ``ranks`` are given)."""
     if p.tokenizer.endswith(".model"):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=p.tokenizer)
-        return lambda text: len(model.encode(text))
+        return sentencepiece.SentencePieceProcessor(model_file=p.tokenizer).encode, None
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(p.tokenizer)
     library.no_truncation()
     library.no_padding()
-    slow = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    slow = lambda text: library.encode(text, add_special_tokens=False).ids
     if not p.ranks:
-        return slow
+        return slow, None
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(p.ranks).read_bytes().splitlines())}
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: slow(text) if NEWER.search(text) else len(fast.encode(text, allowed_special="all"))
+    return slow, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def counter(p: CountParams) -> Callable[[str], int]:
+    slow, fast = _libraries(p)
+    if fast is None:
+        return lambda text: len(slow(text))
+    return lambda text: len(slow(text)) if NEWER.search(text) else len(fast.encode(text, allowed_special="all"))
+
+
+def encoder(p: CountParams) -> Callable[[list], list[bytes]]:
+    """Encoder of texts (null is empty): ids as little-endian unsigned 32-bit integers."""
+    slow, fast = _libraries(p)
+
+    def ids(text: str) -> bytes:
+        if fast is None or NEWER.search(text):
+            return np.array(slow(text), "<u4").tobytes()
+        return fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+
+    return lambda texts: [ids(t or "") for t in texts]
 
 
 def _counted(p: CountParams, name: str):

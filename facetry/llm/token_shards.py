@@ -8,9 +8,10 @@ split, only one count for each split is brought together, and the global number
 place in it.  A keyed Feistel permutation with cycle walking turns numbers into slots; slots are dealt by range, so
 a shard is ``shard_rows`` neighbouring slots, sorted.
 
-Records are stored once in the shared folder (before the shuffle), moved once and written to their shard's file; an
-index file beside it holds ``doc_id``, ``seq`` and ``n_tokens`` of each record, also at a fixed stride.  A reader resumes
-at any slot: shard ``slot // shard_rows``, byte ``slot % shard_rows * stride``.
+Each text's tokens are stored once in the shared folder, without filling; its records are cut on the way into the one
+shuffle, filled up behind it and written to their shard's file; an index file beside it holds ``doc_id``, ``seq`` and
+``n_tokens`` of each record, also at a fixed stride.  A reader resumes at any slot: shard ``slot // shard_rows``, byte
+``slot % shard_rows * stride``.
 
 Defined cases: null or empty text is one sequence of ``end_id`` only.  An empty table gives no shards.  Rows that
 repeat a ``doc_id`` are written each.  Other columns are not read.
@@ -18,6 +19,7 @@ repeat a ``doc_id`` are written each.  Other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import shared_folder, stage
 from .frames import slices
 from .permutation import permuted
 
@@ -46,40 +48,35 @@ class ShardParams:
 
 # encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers
 Encoder = Callable[[list], list[bytes]]
-RECORDS = "file string, split bigint, place bigint, doc_id bigint, seq int, n_tokens int, record binary"
+CODED = "file string, split bigint, place bigint, doc_id bigint, n_records int, tokens binary"
 
 
-def records_of(ids: bytes, p: ShardParams) -> tuple[list[bytes], int]:
-    """(records, tokens in the last one)."""
+def closed(ids: bytes, p: ShardParams) -> tuple[bytes, int]:
+    """(tokens with the closing one as unsigned 16-bit integers, number of records they fill)."""
     tokens = np.append(np.frombuffer(ids, "<u4"), np.uint32(p.end_id))
     if tokens.max() > 0xFFFF:
         raise ValueError("token id beyond 16 bits")
-    n = -(-len(tokens) // p.length)
-    filled = np.full(n * p.length, p.end_id, "<u2")
-    filled[:len(tokens)] = tokens
-    raw = filled.tobytes()
-    return [raw[i * p.stride:(i + 1) * p.stride] for i in range(n)], len(tokens) - (n - 1) * p.length
+    return tokens.astype("<u2").tobytes(), -(-len(tokens) // p.length)
 
 
-def _cut(encoder: Callable[[], Encoder], p: ShardParams):
+def _coded(encoder: Callable[[], Encoder], p: ShardParams):
     def run(batches):
         encode, current, place = encoder(), None, 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 names, rows, begins, ids = (piece.column(c).to_pylist() for c in ("file", "row", "begin", "doc_id"))
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(6)]
                 for k, coded in enumerate(encode(piece.column("text").to_pylist())):
                     here = (names[k], begins[k])
                     if here != current:  # a split's rows come together and in order
                         current, place, first = here, 0, rows[k]
-                    parts, last = records_of(coded, p)
-                    for seq, record in enumerate(parts):
-                        for column, value in zip(out, (names[k], first, place, ids[k], seq, last if seq == len(parts) - 1 else p.length, record)):
-                            column.append(value)
-                        place += 1
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    tokens, count = closed(coded, p)
+                    for column, value in zip(out, (names[k], first, place, ids[k], count, tokens)):
+                        column.append(value)
+                    place += count
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)],
-                                                 ["file", "split", "place", "doc_id", "seq", "n_tokens", "record"])
+                                                 ["file", "split", "place", "doc_id", "n_records", "tokens"])
 
     return run
 
@@ -89,17 +86,26 @@ def shards(spark: SparkSession, path: str, encoder: Callable[[], Encoder], p: Sh
     rows = spark.read.parquet(path).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_block_start").alias("begin"))
-    held = stage(rows.mapInArrow(_cut(encoder, p), RECORDS))
-    sizes = held.groupBy("file", "split").agg(F.count("*").alias("n"))
+    coded = f"{shared_folder(spark)}/coded-{uuid.uuid4().hex}"
+    rows.mapInArrow(_coded(encoder, p), CODED).write.option("compression", "zstd").parquet(coded)
+    held = spark.read.schema(CODED).parquet(coded)
+    sizes = held.groupBy("file", "split").agg(F.sum("n_records").alias("n"))
     # one row for each split that was read
     before = F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
     offsets = stage(sizes.select("file", "split", "n", F.coalesce(before, F.lit(0)).alias("before")))
     total = offsets.agg(F.sum("n")).first()[0] or 0
-    numbers = held.join(F.broadcast(offsets.drop("n")), ["file", "split"]).withColumn("number", F.col("before") + F.col("place"))
+    numbers = held.join(offsets.drop("n"), ["file", "split"])
+    numbers = numbers.select("doc_id", "before", "place", "tokens", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1)).alias("seq"))
+    numbers = numbers.select("doc_id", "seq", (F.col("before") + F.col("place") + F.col("seq")).alias("number"),
+                             F.expr(f"substring(tokens, seq*{p.stride} + 1, {p.stride})").alias("record"))
     placed = permuted(numbers, "number", "slot", total, p.seed)
-    return (placed.select("slot", F.floor(F.col("slot") / p.shard_rows).cast("bigint").alias("shard"),
-                          (F.col("slot") % p.shard_rows * p.stride).alias("offset"), "doc_id", "seq", "n_tokens", "record")
-            .repartitionByRange("shard").sortWithinPartitions("slot"))
+    dealt = (placed.select("slot", F.floor(F.col("slot") / p.shard_rows).cast("bigint").alias("shard"),
+                           (F.col("slot") % p.shard_rows * p.stride).alias("offset"), "doc_id", "seq",
+                           (F.octet_length("record") / 2).cast("int").alias("n_tokens"), "record")
+             .repartitionByRange("shard").sortWithinPartitions("slot"))
+    # records travel as they are and are filled up where they arrive
+    filling = F.lit(p.end_id.to_bytes(2, "little"))
+    return dealt.withColumn("record", F.rpad("record", p.stride, filling))
 
 
 # what an index file holds for each slot of its shard
