@@ -3,9 +3,10 @@
 The cache is a Parquet table (version, digest, n_tokens): the digest names a normalised text (null is empty), the
 version names the tokenizer file and how it is used.  Texts are reduced to digests, the digests that the cache does
 not hold are found by an anti-join, one text of each is encoded, and the counts are appended.  All counts then
-come from the cache by a join.  A text is moved only if its digest is missing; copies are dropped before the move,
-so one text that fills a third of the table is encoded once and overloads no task.  A run over a full cache moves
-digests only.  If two runs append at once, a digest may be held twice; it is read once.
+come from the cache by a join.  Copies are dropped before a text is moved, so one text that fills a third of the table
+is encoded once and overloads no task.  Where the missing digests are counted few, they are sent to the texts and only
+missing texts move; a run over a full cache moves digests only.  Where most texts are new, distinct texts move once and
+meet their digests there.  If two runs append at once, a digest may be held twice; it is read once.
 
 Encoders: ``.json`` files by tokenizers, ``.model`` by sentencepiece.  If ``ranks`` names the same vocabulary as
 tiktoken ranks, texts whose characters both libraries class alike are counted with it, which is four times faster.
@@ -39,6 +40,7 @@ class CountParams:
     tokenizer: str  # path of the vocabulary file, the same on all machines
     ranks: str | None = None  # the same vocabulary for tiktoken
     limit: int = 1024
+    broadcast_rows: int = 200_000  # missing digests that are sent to every task
 
 
 def version(p: CountParams) -> str:
@@ -114,9 +116,16 @@ def counts(docs: DataFrame, cache: str, p: CountParams) -> DataFrame:
     rows = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.octet_length(text).cast("bigint").alias("n_bytes"), digest.alias("digest")))
     known = stored(docs, cache).filter(F.col("version") == name).select("digest")
     missing = stage(rows.select("digest").distinct().join(known, "digest", "left_anti"))
-    if missing.take(1):
-        texts = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-        texts.join(missing, "digest", "left_semi").mapInArrow(
+    n_missing = missing.count()
+    if n_missing:
+        texts = docs.select(digest.alias("digest"), text.alias("text"))
+        few = n_missing <= p.broadcast_rows
+        if few:  # known texts stay where they are
+            texts = texts.join(F.broadcast(missing), "digest", "left_semi")
+        texts = texts.groupBy("digest").agg(F.first("text").alias("text"))
+        if not few:
+            texts = texts.join(missing, "digest", "left_semi")
+        texts.mapInArrow(
             by_batch(_counted(p, name)), "version string, digest binary, n_tokens bigint").write.mode("append").parquet(cache)
     held = spark.read.schema("version string, digest binary, n_tokens bigint").parquet(cache).filter(F.col("version") == name)
     held = held.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))

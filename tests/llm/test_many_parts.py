@@ -22,3 +22,21 @@ def test_twenty_thousand_parts(docs_of):
     assert time.time() - start < 60
     near = [s for s in row.linked if s["end"] + 200 >= len(text) - 10]
     assert len(row.linked) == len(near) and len(near) > 3  # only what stands near the one id
+
+
+def test_warm_cache_encodes_new_texts_only(spark, tmp_path):
+    """With a full cache, only new texts are encoded, once each, whichever side of the join moves."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from facetry.llm import token_counts
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(" words of a text")).alias("text"))
+    more = docs.unionByName(spark.createDataFrame([(999, "new"), (998, "new"), (997, None)], "doc_id bigint, text string"))
+    for rows in (0, 200_000):
+        p = token_counts.CountParams(public_tokenizers.path("byte_bpe_50k.json"), broadcast_rows=rows)
+        cache = str(tmp_path / f"cache{rows}")
+        for table, held in ((docs, 40), (more, 42), (more, 42)):
+            got = token_counts.counts(table, cache, p).collect()
+            assert len(got) == table.count() and spark.read.parquet(cache).count() == held
+        assert {r.n_tokens for r in got if r.doc_id in (998, 999)} == {1} and next(r for r in got if r.doc_id == 997).n_tokens == 0
