@@ -42,7 +42,7 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 class RepeatParams:
     window: int = 20  # words of a window that may stand only once; ``start`` times a power of two
     start: int = 10
-    group_bytes: int = 1 << 24  # of text in a group
+    group_bytes: int = 1 << 22  # of text in a group, on average
     range_bytes: int = 1 << 24  # of text for each range of the hash space
     seed: int = 11
 
@@ -55,6 +55,7 @@ class RepeatParams:
         return out
 
 
+LEAST_RANGES = 128
 MOST_BUCKETS = 100_000  # Spark's own bound
 SENT = "range int, grp int, hashes binary, names binary"
 BITS = "grp int, range int, level int, bits binary"
@@ -67,7 +68,7 @@ def grouped(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, int]:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.monotonically_increasing_id().alias("rid")).withColumns(dict(zip(("k1", "k2"), text_digest("text"))))
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    groups, ranges = 1 + size // p.group_bytes, 1 << (size // p.range_bytes).bit_length()
+    groups, ranges = 1 + size // p.group_bytes, max(LEAST_RANGES, 1 << (size // p.range_bytes).bit_length())
     rows = rows.repartitionByRange(groups, "doc_id", "k1", "k2", "rid").withColumn("grp", F.spark_partition_id())
     name = f"texts_{uuid.uuid4().hex}"
     (rows.write.bucketBy(min(groups, MOST_BUCKETS), "grp").sortBy("grp").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name))
