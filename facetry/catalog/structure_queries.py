@@ -278,13 +278,18 @@ part("near_moments", moments_sql("scan_id, pid", "near_pairs"))
 eigen_parts("near_eig", "near_moments")
 
 
-@query("radius_normals", """select e.scan_id, e.pid, e.n, round(case when e.ex*p.x+e.ey*p.y+e.ez*p.z > 0e0 then -e.ex else e.ex end,3)+0.0e0 as nx,
-  round(case when e.ex*p.x+e.ey*p.y+e.ez*p.z > 0e0 then -e.ey else e.ey end,3)+0.0e0 as ny, round(case when e.ex*p.x+e.ey*p.y+e.ez*p.z > 0e0 then -e.ez else e.ez end,3)+0.0e0 as nz
-  from near_eig e join scene_points p on p.scan_id=e.scan_id and p.pid=e.pid where e.n >= 10""")
+# a direction is told only where the two smaller spreads differ, so that it does not hang on the order of a sum
+FLAT = "n >= 3 and l1 - l0 > 1e-5"
+
+
+@query("radius_normals", f"""select e.scan_id, e.pid, e.n, {', '.join(f"""case when {FLAT.replace('1e-5', '1e-5::double')} then
+  round(case when e.ex*p.x+e.ey*p.y+e.ez*p.z > 0e0 then -e.e{a} else e.e{a} end,3)+0.0e0 end as n{a}""" for a in 'xyz')}
+  from near_eig e join scene_points p on p.scan_id=e.scan_id and p.pid=e.pid""")
 def radius_normals(spark, sf):
     pts = load(spark, sf, "scene_points").select("scan_id", "pid", "x", "y", "z")
-    d = spatial.radius_normals(pts, pts, 0.1).filter("n >= 10")
-    return rounded(d.select("scan_id", "pid", "n", "nx", "ny", "nz"), ["nx", "ny", "nz"], 3)
+    d = spatial.radius_normals(pts, pts, 0.1, keep=["l0", "l1"])
+    d = d.selectExpr("scan_id", "pid", "n", *(f"if({FLAT}, n{a}, cast(null as double)) as n{a}" for a in "xyz"))
+    return rounded(d, ["nx", "ny", "nz"], 3)
 
 
 @query("voxel_downsample", """select scan_id, cast(floor(x/0.2e0) as bigint) as vx, cast(floor(y/0.2e0) as bigint) as vy, cast(floor(z/0.2e0) as bigint) as vz,

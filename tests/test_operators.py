@@ -139,6 +139,48 @@ def test_radius_moments_count_copies(spark):
     assert got == {0: 4, 1: 4, 2: 4, 3: 4, 4: 1}
 
 
+def dense_cloud(n, seed):
+    """A ball, a sheet, a pile of copies and stray points; a third of all rows lies in one cell."""
+    rng = np.random.default_rng(seed)
+    ball = rng.normal(scale=0.02, size=(n // 3, 3)) + [0.05, 0.05, 0.05]
+    sheet = np.column_stack([rng.uniform(-0.3, 0.3, (n // 3, 2)), np.zeros(n // 3)])
+    return np.vstack([ball, sheet, np.full((50, 3), -0.07), [[0.0, 0.0, 0.1], [0.0, 0.0, -0.1], [5.0, 5.0, 5.0]]])
+
+
+def cloud_frame(spark, pts):
+    return spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(pts)], "scan_id int, pid bigint, x double, y double, z double")
+
+
+def test_radius_moments_of_dense_cells_equal_brute_force(spark):
+    pts = dense_cloud(3000, 4)
+    df = cloud_frame(spark, pts)
+    assert len(spatial.radius_hits(df, df, 0.1, ["pid"])) > 2
+    got = {r.pid: r for r in spatial.radius_moments(df, df, 0.1, ["pid"]).collect()}
+    assert len(got) == len(pts)
+    for i, q in enumerate(pts):
+        d = (pts - q) ** 2
+        near = pts[d[:, 0] + d[:, 1] + d[:, 2] <= 0.1 * 0.1]
+        r = got[i]
+        assert r.n == len(near)
+        assert np.allclose([r.sx, r.sy, r.sz], near.sum(axis=0)) and np.allclose([r.sxy, r.szz], [near[:, 0] @ near[:, 1], near[:, 2] @ near[:, 2]])
+
+
+def test_radius_rows_grow_slower_than_pairs(spark):
+    rows, pairs = [], []
+    for n in (1500, 6000):
+        pts = np.random.default_rng(n).uniform(0, 0.2, (n, 3))
+        df = cloud_frame(spark, pts)
+        rows.append(sum(h.count() for h in spatial.radius_hits(df, df, 0.1, ["pid"])))
+        pairs.append(spatial.radius_moments(df, df, 0.1, ["pid"]).agg(F.sum("n")).first()[0])
+    assert pairs[1] > 14 * pairs[0] and rows[1] < 11 * rows[0] and rows[1] < pairs[1] / 2
+
+
+def test_radius_moments_of_nothing(spark):
+    df = cloud_frame(spark, dense_cloud(30, 1))
+    none = df.limit(0)
+    assert spatial.radius_moments(none, df, 0.1, ["pid"]).count() == 0 and spatial.radius_moments(df, none, 0.1, ["pid"]).count() == 0
+
+
 def brute_classes(table, t):
     """The rule order spelled out on one image's overlap counts."""
     gts, mss = sorted({g for _, g in table if g >= 10}), sorted({m for m, _ in table if m >= 10})
