@@ -1,5 +1,6 @@
 """Readers, writers and streams on small written files."""
 
+import io
 import math
 import struct
 
@@ -70,6 +71,53 @@ def test_clouds(spark, tmp_path, mode):
     assert all(r.rgb == 0 and (r.width, r.height) == (4, 1) for r in plain)
 
 
+@pytest.mark.parametrize("mode", ["ascii", "binary", "binary_compressed"])
+@pytest.mark.parametrize("split", [333, 5000])
+def test_split_clouds_equal_whole_ones(spark, tmp_path, mode, split):
+    rng = np.random.default_rng(split)
+    xyz = rng.integers(-500, 500, (400, 3)) / 8
+    rows = [(*map(float, q), int(c)) for q, c in zip(xyz, rng.integers(0, 1 << 23, 400))]
+    (tmp_path / "big.1.pcd").write_bytes(cloud(mode, rows))
+    (tmp_path / "big.2.pcd").write_bytes(cloud(mode, rows[:200]).rstrip(b"\n") if mode == "ascii" else cloud(mode, rows[:200]))
+    (tmp_path / "small.3.pcd").write_bytes(cloud(mode, rows[:2]))
+    whole = sorted(map(tuple, src.read_clouds(spark, str(tmp_path), split_bytes=None).collect()))
+    parts = sorted(map(tuple, src.read_clouds(spark, str(tmp_path), split_bytes=split).collect()))
+    assert len(whole) == 602 and parts == whole
+    plain = src.read_clouds(spark, str(tmp_path), colour=False, split_bytes=split)
+    assert {(r.scan_id, r.width, r.height) for r in plain.collect()} == {(1, 400, 1), (2, 200, 1), (3, 2, 1)}
+
+
+def test_blank_lines_and_comments_in_split_clouds(spark, tmp_path):
+    rows = [(float(i), 0.0, 0.0, 0) for i in range(50)]
+    lines = cloud("ascii", rows).split(b"\n")
+    (tmp_path / "1.pcd").write_bytes(b"# " + b"long " * 3000 + b"\n" + b"\n".join(lines[:10]) + b"\n" + b"\n\n".join(lines[10:]))
+    for split in (31, 100):
+        assert sorted((r.pid, r.x) for r in src.read_clouds(spark, str(tmp_path), split_bytes=split).collect()) == [(i, float(i)) for i in range(50)]
+
+
+def test_every_line_is_read_by_one_range():
+    body = b"head\n" + b"\n".join(b"x" * (k % 7) for k in range(40))
+    for split in range(1, 50):
+        cuts = range(5, len(body), split)
+        assert b"".join(src._lines(io.BytesIO(body), a, min(len(body), a + split), 5) for a in cuts) == body[5:]
+
+
+def test_four_gigabytes_are_planned_from_the_header(spark, tmp_path):
+    n = (4 << 30) // 16
+    head = cloud("binary", []).replace(b"POINTS 0", b"POINTS %d" % n).replace(b"HEIGHT 0", b"HEIGHT %d" % (n // 2))
+    with open(tmp_path / "1.pcd", "wb") as file:
+        file.write(head)
+        file.truncate(len(head) + n * 16)  # a hole in the file, no data on the disk
+    parts = src.cloud_parts(spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "bigint(1) as scan_id", "length")).collect()
+    assert len(parts) == 64 and max(r.end - r.begin for r in parts) <= src.SPLIT_BYTES
+    parts.sort(key=lambda r: r.begin)
+    assert [r.first for r in parts] == [k * (src.SPLIT_BYTES // 16) for k in range(64)] and parts[-1].end == len(head) + n * 16
+    with open(tmp_path / "1.pcd", "r+b") as file:
+        file.truncate(len(head) + 16)
+    with pytest.raises(Exception, match="shorter than its header says"):
+        src.cloud_parts(spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "bigint(1) as scan_id", "length")).collect()
+
+
 def test_range_images(spark, tmp_path):
     img = np.arange(12, dtype=np.uint8).reshape(3, 4)
     (tmp_path / "big.1.ras").write_bytes(out.encode_image(img, "raster"))
