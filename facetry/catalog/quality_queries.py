@@ -67,15 +67,14 @@ def region_classes(spark, sf):
     return rows[0].unionByName(rows[1])
 
 
-@query("comparison_report", """select image_id, class, cast(gt as bigint) as first_gt, cast(case when class = 'correct' then partner when class = 'over' then
-    (select min(ms) from ratios q where q.image_id=g.image_id and q.gt=g.gt and q.mshare >= 0.8e0) end as bigint) as first_ms,
-    case when class = 'over' then (select count(*) from ratios q where q.image_id=g.image_id and q.gt=g.gt and q.mshare >= 0.8e0) when class = 'correct' then 1 else 0 end as ms_count
-  from gt_final g where class <> 'under' union all select image_id, class, cast(case when class = 'under' then (select min(gt) from ratios q where q.image_id=m.image_id and q.ms=m.ms and q.gs >= 0.8e0) end as bigint),
-    cast(ms as bigint), 1 from ms_final m where class in ('under', 'noise')""")
+@query("comparison_report", """select image_id, class, cast(gt as varchar) as gt_labels, coalesce(case when class = 'correct' then cast(partner as varchar) when class = 'over' then
+    (select string_agg(cast(ms as varchar), ',' order by ms) from ratios q where q.image_id=g.image_id and q.gt=g.gt and q.mshare >= 0.8e0) end, '') as ms_labels
+  from gt_final g where class <> 'under' union all select image_id, class, coalesce(case when class = 'under' then (select string_agg(cast(gt as varchar), ',' order by gt)
+    from ratios q where q.image_id=m.image_id and q.ms=m.ms and q.gs >= 0.8e0) end, ''), cast(ms as varchar) from ms_final m where class in ('under', 'noise')""")
 def comparison_report(spark, sf):
     g, m = classes(spark, sf)
     d = evaluate.report(g, m, overlap(spark, sf), T)
-    return d.selectExpr("image_id", "class", "get(gt_labels, 0) as first_gt", "get(ms_labels, 0) as first_ms", "cast(size(ms_labels) as bigint) as ms_count")
+    return d.selectExpr("image_id", "class", *(f"array_join(cast({c} as array<string>), ',') as {c}" for c in ("gt_labels", "ms_labels")))
 
 
 part("angle_rows", """select a.image_id, a.region1, a.region2, abs(case when a.deg > 90e0 then abs(a.deg-180e0) else a.deg end -
@@ -105,10 +104,12 @@ part("per_image", """select g.image_id, gt_regions, correct, over_, missed, coal
 @query("sequence_averages", """select count(*) as images, round(avg(gt_regions),4)+0.0e0 as gt_regions, round(avg(correct),4)+0.0e0 as correct, round(avg(over_),4)+0.0e0 as over,
   round(avg(under_),4)+0.0e0 as under, round(avg(missed),4)+0.0e0 as missed, round(avg(noise),4)+0.0e0 as noise, round(avg(correct_pixels),4)+0.0e0 as correct_pixels,
   round(avg(gt_pixels),4)+0.0e0 as gt_pixels, round(100e0*sum(correct_pixels)/sum(gt_pixels),4)+0.0e0 as percent, round(avg(gt_pixels-correct_pixels),4)+0.0e0 as missed_pixels,
-  round(avg(wrong),4)+0.0e0 as wrong_ms_pixels from per_image""")
+  round(avg(wrong),4)+0.0e0 as wrong_ms_pixels, round(avg(a.mean_error),4)+0.0e0 as mean_error, round(avg(a.std_error),4)+0.0e0 as std_error from per_image p
+  left join (select image_id, avg(err) as mean_error, stddev_pop(err) as std_error from angle_rows group by image_id) a on a.image_id=p.image_id""")
 def sequence_averages(spark, sf):
     g, m = classes(spark, sf)
-    d = evaluate.sequence_averages(evaluate.image_scores(g, m, evaluate.correct_pixels(overlap(spark, sf), T)))
+    angles = evaluate.angle_summary(evaluate.angle_errors(g, load(spark, sf, "gt_angles"), load(spark, sf, "ms_normals")))
+    d = evaluate.sequence_averages(evaluate.image_scores(g, m, evaluate.correct_pixels(overlap(spark, sf), T), angles))
     return rounded(d, [c for c in d.columns if c != "images"])
 
 
@@ -127,14 +128,20 @@ def region_borders(spark, sf):
     return evaluate.borders(d)
 
 
-@query("class_image", """select cast(p.image_id as bigint) as image_id, p.r, p.c, (exists (select 1 from label_pixels q where q.image_id=p.image_id and abs(q.r-p.r)+abs(q.c-p.c) = 1
-  and q.gt <> p.gt)) and p.gt >= 10 as border, case when p.gt < 10 then 'noise pixel' else g.class end as class from label_pixels p left join gt_final g on g.image_id=p.image_id and g.gt=p.gt""")
+part("class_codes", """select cast(p.image_id as bigint) as image_id, p.r, p.c, (exists (select 1 from label_pixels q where q.image_id=p.image_id and abs(q.r-p.r)+abs(q.c-p.c) = 1
+  and q.gt <> p.gt)) and p.gt >= 10 as border, case when p.gt < 10 then 'noise pixel' else g.class end as class,
+  case when p.gt < 10 then 0 when g.class = 'correct' then 1 when g.class = 'over' then 2 when g.class = 'under' then 3 when g.class = 'missed' then 5 end as code
+  from label_pixels p left join gt_final g on g.image_id=p.image_id and g.gt=p.gt""")
+
+
+@query("class_image", """select p.image_id, p.r, p.c, p.border, p.class, count(s.code) as value from class_codes p
+  left join (select distinct image_id, code from class_codes) s on s.image_id=p.image_id and s.code < case when p.border then 6 else p.code end group by all""")
 def class_image(spark, sf):
     px = load(spark, sf, "label_pixels").selectExpr("bigint(image_id) as image_id", "r", "c", "bigint(gt) as gt")
     g, _ = classes(spark, sf)
     g = g.withColumn("gt", F.col("gt").cast("bigint"))
     d = evaluate.class_image(px, g, "gt").join(px, ["image_id", "r", "c"]).join(g.select("image_id", "gt", "class"), ["image_id", "gt"], "left")
-    return d.select("image_id", "r", "c", "border", F.coalesce("class", F.lit("noise pixel")).alias("class"))
+    return d.select("image_id", "r", "c", "border", F.coalesce("class", F.lit("noise pixel")).alias("class"), "value")
 
 
 @query("region_centroids", """select cast(image_id as bigint) as image_id, cast(gt as bigint) as gt, cast(sum(r)//count(*) as bigint) as centre_r, cast(sum(c)//count(*) as bigint) as centre_c,
@@ -217,11 +224,12 @@ def label_image(spark, sf):
 
 
 @query("segmented_cloud", """select scan_id, pid, cast(case surf when 0 then 255 when 1 then 127 when 3 then 127 else 0 end as bigint) as red,
-  surf = 4 as black from scene_points""")
+  cast(case when surf in (1, 2) then 255 else 0 end as bigint) as green, cast(case when surf in (2, 3) then 255 else 0 end as bigint) as blue, round(x,6)+0.0e0 as x, round(y,6)+0.0e0 as y, round(z,6)+0.0e0 as z from scene_points""")
 def segmented_cloud(spark, sf):
     rows = owned(spark, sf)
     d = tables.segmented_cloud(load(spark, sf, "scene_points"), rows, rows.select("scan_id", "structure_id").distinct())
-    return d.selectExpr("scan_id", "pid", "shiftright(rgb, 16) & 255 as red", "rgb = 0 as black")
+    d = d.selectExpr("scan_id", "pid", "shiftright(rgb, 16) & 255 as red", "shiftright(rgb, 8) & 255 as green", "rgb & 255 as blue", "x", "y", "z")
+    return rounded(d, "xyz", 6)
 
 
 @query("unsegmented", "select scan_id, pid from scene_points where surf = 4")

@@ -649,11 +649,14 @@ def quantized_raster(spark, sf):
 
 
 @query("plane_records", """select t.scan_id, t.plane_id, t.ty, count(*) as texels, cast(sum(floor(round(t.red*255e0,6)+0.5e0)) as bigint) as red,
-  cast(sum(cast(floor(round(h.h*255e0,6)+0.5e0) as bigint)) as bigint) as height from tex_rgb t join tex_h h on h.scan_id=t.scan_id and h.plane_id=t.plane_id and h.tx=t.tx and h.ty=t.ty
+  cast(sum(floor(round(t.green*255e0,6)+0.5e0)) as bigint) as green, cast(sum(floor(round(t.blue*255e0,6)+0.5e0)) as bigint) as blue, count(*) as touched,
+  cast(sum(cast(floor(round(h.h*255e0,6)+0.5e0) as bigint)) as bigint) as height, p.nx, p.ny, p.nz, p.d
+  from tex_rgb t join tex_h h on h.scan_id=t.scan_id and h.plane_id=t.plane_id and h.tx=t.tx and h.ty=t.ty join true_planes p on p.plane_id=t.plane_id
   join tex_pot s on s.scan_id=t.scan_id and s.plane_id=t.plane_id where t.tx < s.width and t.ty < s.height group by all""")
 def plane_records(spark, sf):
     size, rows = texels(spark, sf)
     planes, _ = described(spark, sf)
     d = tables.plane_records(planes, size, raster.colours(rows), raster.heights(rows, 0.05))
     total = lambda c: F.expr(f"aggregate(texels, 0L, (a, t) -> a + t.{c})")
-    return d.select(*KEY, "ty", F.size("texels").cast("bigint").alias("texels"), total("red").alias("red"), total("h").alias("height"))
+    return d.select(*KEY, "ty", F.size("texels").cast("bigint").alias("texels"), *(total(c).alias(c) for c in ("red", "green", "blue")),
+                    F.expr("cast(size(filter(texels, t -> t.alpha)) as bigint)").alias("touched"), total("h").alias("height"), "nx", "ny", "nz", "d")

@@ -194,12 +194,21 @@ def check(labels: DataFrame, side: str) -> None:
         raise ValueError(f"invalid {side} labels in images {[b['image_id'] for b in bad]}")
 
 
-def same_sizes(gt: DataFrame, ms: DataFrame) -> DataFrame:
-    """Images whose two label images differ in size."""
+def size_faults(gt: DataFrame, ms: DataFrame) -> DataFrame:
+    """Images whose two label images differ in size, or that have only one."""
     def dims(d, tag):
         return d.groupBy("image_id").agg((F.max("r") + 1).alias(tag + "_rows"), (F.max("c") + 1).alias(tag + "_cols"))
 
-    return dims(gt, "gt").join(dims(ms, "ms"), "image_id").filter("gt_rows <> ms_rows or gt_cols <> ms_cols")
+    both = dims(gt, "gt").join(dims(ms, "ms"), "image_id", "full")
+    return both.filter("not (gt_rows <=> ms_rows and gt_cols <=> ms_cols)")
+
+
+def label_pairs(gt: DataFrame, ms: DataFrame) -> DataFrame:
+    """Pixels ``(image_id, r, c, gt, ms)`` of two sets of label images ``(image_id, r, c, label)``; sizes must be equal."""
+    bad = size_faults(gt, ms).orderBy("image_id").take(5)
+    if bad:
+        raise ValueError(f"label images {[b['image_id'] for b in bad]} differ in size or have no partner")
+    return gt.withColumnRenamed("label", "gt").join(ms.withColumnRenamed("label", "ms"), ["image_id", "r", "c"])
 
 
 def borders(pixels: DataFrame, label: str = "label") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetry.catalog.views import load
-from facetry.operators import fit, raster
+from facetry.operators import evaluate, fit, raster
 from facetry.params import SegParams
 from facetry.sinks import files as out
 from facetry.sinks import tables
@@ -118,6 +118,19 @@ def test_four_gigabytes_are_planned_from_the_header(spark, tmp_path):
         src.cloud_parts(spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "bigint(1) as scan_id", "length")).collect()
 
 
+def test_label_images_of_unequal_size_are_refused(spark, tmp_path):
+    for folder, sizes in (("gt", {1: (3, 4), 2: (2, 2)}), ("ms", {1: (3, 4), 2: (2, 2)}), ("other", {1: (3, 5), 3: (2, 2)})):
+        (tmp_path / folder).mkdir()
+        for k, shape in sizes.items():
+            (tmp_path / folder / f"{k}.ras").write_bytes(out.encode_image(np.arange(shape[0] * shape[1], dtype=np.uint8).reshape(shape), "raster"))
+    gt, ms, other = (src.read_labels(spark, str(tmp_path / f)) for f in ("gt", "ms", "other"))
+    pairs = evaluate.label_pairs(gt, ms)
+    assert pairs.count() == 16 and pairs.filter("gt <> ms").count() == 0
+    assert [r.image_id for r in evaluate.size_faults(gt, other).orderBy("image_id").collect()] == [1, 2, 3]
+    with pytest.raises(ValueError, match=r"\[1, 2, 3\]"):
+        evaluate.label_pairs(gt, other)
+
+
 def test_range_images(spark, tmp_path):
     img = np.arange(12, dtype=np.uint8).reshape(3, 4)
     (tmp_path / "big.1.ras").write_bytes(out.encode_image(img, "raster"))
