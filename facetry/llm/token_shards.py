@@ -6,12 +6,14 @@ integers, so record ``i`` of a shard begins at byte ``i * stride``.  Sequences a
 order of the files by name and of the rows in them, whatever the splits that tasks read.  Tasks count in their
 split, only one count for each split is brought together, and the global number is the split's offset plus the
 place in it.  A keyed Feistel permutation with cycle walking turns numbers into slots; slots are dealt by range, so
-a shard is ``shard_rows`` neighbouring slots, sorted.
+a shard is ``shard_rows`` neighbouring slots, sorted.  Slots are 0 .. n - 1 without gaps, so the ranges follow from
+their number and no sample of the rows is taken.
 
-Each text's tokens are stored once in the shared folder, without filling; its records are cut on the way into the one
-shuffle, filled up behind it and written to their shard's file; an index file beside it holds ``doc_id``, ``seq`` and
-``n_tokens`` of each record, also at a fixed stride.  A reader resumes at any slot: shard ``slot // shard_rows``, byte
-``slot % shard_rows * stride``.
+Texts are encoded twice, first to count their sequences and then on the way into the one shuffle: tokens stored
+between the two would take more disk than the shuffle.  Records travel unfilled, are filled up where they arrive and
+written to their shard's file; an index file beside it holds ``doc_id``, ``seq`` and ``n_tokens`` of each record, also
+at a fixed stride.  A reader resumes at any slot: shard ``slot // shard_rows``, byte ``slot % shard_rows * stride``.
+The rows must be read by the same splits both times; a split that was not counted is an error, never a lost row.
 
 Defined cases: null or empty text is one sequence of ``end_id`` only.  An empty table gives no shards.  Rows that
 repeat a ``doc_id`` are written each.  Other columns are not read.
@@ -19,7 +21,6 @@ repeat a ``doc_id`` are written each.  Other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, stage
+from ..session import stage
 from .frames import slices
 from .permutation import permuted
 
@@ -40,6 +41,8 @@ class ShardParams:
     shard_rows: int = 8192
     end_id: int = 50256
     seed: int = 9176
+    most_tasks: int = 20_000  # of the shuffle; fewer shards have a task each
+    broadcast_splits: int = 500_000  # offsets (24 bytes each) that are sent to every task
 
     @property
     def stride(self) -> int:
@@ -48,64 +51,76 @@ class ShardParams:
 
 # encode(texts) -> for each text its ids as little-endian unsigned 32-bit integers
 Encoder = Callable[[list], list[bytes]]
-CODED = "file string, split bigint, place bigint, doc_id bigint, n_records int, tokens binary"
+SIZES = "file bigint, begin bigint, n bigint"
+CUT = "file bigint, begin bigint, place bigint, doc_id bigint, seq int, record binary"
 
 
-def closed(ids: bytes, p: ShardParams) -> tuple[bytes, int]:
-    """(tokens with the closing one as unsigned 16-bit integers, number of records they fill)."""
-    tokens = np.append(np.frombuffer(ids, "<u4"), np.uint32(p.end_id))
-    if tokens.max() > 0xFFFF:
-        raise ValueError("token id beyond 16 bits")
-    return tokens.astype("<u2").tobytes(), -(-len(tokens) // p.length)
+def _sized(encoder: Callable[[], Encoder], p: ShardParams):
+    """Number of records of each part of a split."""
+    def run(batches):
+        encode = encoder()
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                n = [len(coded) // 4 // p.length + 1 for coded in encode(piece.column("text").to_pylist())]  # with the closing token
+                yield pa.RecordBatch.from_arrays([piece.column("file"), piece.column("begin"), pa.array(n, pa.int64())], ["file", "begin", "n"])
+
+    return run
 
 
-def _coded(encoder: Callable[[], Encoder], p: ShardParams):
+def _cut(encoder: Callable[[], Encoder], p: ShardParams):
+    """The records of each text, unfilled, with their place in the split."""
     def run(batches):
         encode, current, place = encoder(), None, 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                names, rows, begins, ids = (piece.column(c).to_pylist() for c in ("file", "row", "begin", "doc_id"))
+                files, begins, ids = (piece.column(c).to_pylist() for c in ("file", "begin", "doc_id"))
                 out: list[list] = [[] for _ in range(6)]
                 for k, coded in enumerate(encode(piece.column("text").to_pylist())):
-                    here = (names[k], begins[k])
+                    here = (files[k], begins[k])
                     if here != current:  # a split's rows come together and in order
-                        current, place, first = here, 0, rows[k]
-                    tokens, count = closed(coded, p)
-                    for column, value in zip(out, (names[k], first, place, ids[k], count, tokens)):
-                        column.append(value)
-                    place += count
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                        current, place = here, 0
+                    tokens = np.append(np.frombuffer(coded, "<u4"), np.uint32(p.end_id))
+                    if tokens.max() > 0xFFFF:
+                        raise ValueError("token id beyond 16 bits")
+                    raw = tokens.astype("<u2").tobytes()
+                    for seq, at in enumerate(range(0, len(raw), p.stride)):
+                        for column, value in zip(out, (*here, place, ids[k], seq, raw[at:at + p.stride])):
+                            column.append(value)
+                        place += 1
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)],
-                                                 ["file", "split", "place", "doc_id", "n_records", "tokens"])
+                                                 ["file", "begin", "place", "doc_id", "seq", "record"])
 
     return run
 
 
 def shards(spark: SparkSession, path: str, encoder: Callable[[], Encoder], p: ShardParams = ShardParams()) -> DataFrame:
     """(slot, shard, offset, doc_id, seq, n_tokens, record) of the Parquet table at ``path``, dealt and sorted by slot."""
+    file = F.col("_metadata.file_path")
     rows = spark.read.parquet(path).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_block_start").alias("begin"))
-    coded = f"{shared_folder(spark)}/coded-{uuid.uuid4().hex}"
-    rows.mapInArrow(_coded(encoder, p), CODED).write.option("compression", "zstd").parquet(coded)
-    held = spark.read.schema(CODED).parquet(coded)
-    sizes = held.groupBy("file", "split").agg(F.sum("n_records").alias("n"))
-    # one row for each split that was read
-    before = F.sum("n").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = stage(sizes.select("file", "split", "n", F.coalesce(before, F.lit(0)).alias("before")))
-    total = offsets.agg(F.sum("n")).first()[0] or 0
-    numbers = held.join(offsets.drop("n"), ["file", "split"])
-    numbers = numbers.select("doc_id", "before", "place", "tokens", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1)).alias("seq"))
-    numbers = numbers.select("doc_id", "seq", (F.col("before") + F.col("place") + F.col("seq")).alias("number"),
-                             F.expr(f"substring(tokens, seq*{p.stride} + 1, {p.stride})").alias("record"))
-    placed = permuted(numbers, "number", "slot", total, p.seed)
-    dealt = (placed.select("slot", F.floor(F.col("slot") / p.shard_rows).cast("bigint").alias("shard"),
-                           (F.col("slot") % p.shard_rows * p.stride).alias("offset"), "doc_id", "seq",
-                           (F.octet_length("record") / 2).cast("int").alias("n_tokens"), "record")
-             .repartitionByRange("shard").sortWithinPartitions("slot"))
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(file).alias("file"),
+        F.col("_metadata.file_block_start").alias("begin"), file.alias("name"))
+    sizes = rows.select("text", "file", "begin").mapInArrow(_sized(encoder, p), SIZES).groupBy("file", "begin").agg(F.sum("n").alias("n"))
+    # one row for each split that was read; files are numbered by name and named by its hash from here on
+    names = rows.select("file", "name").distinct()
+    before = F.sum("n").over(Window.orderBy("name", "begin").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stage(sizes.join(names, "file").select("file", "begin", "n", F.coalesce(before, F.lit(0)).alias("before")))
+    total, n_splits = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    offsets = offsets.select("file", "begin", "before")
+    if n_splits <= p.broadcast_splits:
+        offsets = F.broadcast(offsets)
+    cut = rows.select("text", "doc_id", "file", "begin").mapInArrow(_cut(encoder, p), CUT).join(offsets, ["file", "begin"], "left")
+    known = F.coalesce("before", F.raise_error(F.lit("a split was not counted: read with the same split sizes")).cast("bigint"))
+    placed = permuted(cut.select("doc_id", "seq", "record", (known + F.col("place")).alias("number")), "number", "slot", total, p.seed)
+    n_shards = max(1, -(-total // p.shard_rows))
+    tasks = min(n_shards, p.most_tasks)
+    shard = F.floor(F.col("slot") / p.shard_rows).cast("bigint")
+    dealt = (placed.select("slot", "doc_id", "seq", "record")
+             .repartitionById(tasks, F.floor(shard * tasks / n_shards).cast("int")).sortWithinPartitions("slot"))
     # records travel as they are and are filled up where they arrive
     filling = F.lit(p.end_id.to_bytes(2, "little"))
-    return dealt.withColumn("record", F.rpad("record", p.stride, filling))
+    return dealt.select("slot", shard.alias("shard"), (F.col("slot") % p.shard_rows * p.stride).alias("offset"), "doc_id", "seq",
+                        (F.octet_length("record") / 2).cast("int").alias("n_tokens"), F.rpad("record", p.stride, filling).alias("record"))
 
 
 # what an index file holds for each slot of its shard
