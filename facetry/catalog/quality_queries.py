@@ -14,7 +14,7 @@ from ..sinks import tables
 from ..streaming import streams
 from .common import P, r, rounded, rs
 from .registry import part, query
-from .structure_queries import FOUND_PLANES, found_planes
+from .structure_queries import FOUND_PLANES, found_planes, found_surfaces
 from .views import STREAM, load
 
 T = 0.8
@@ -267,9 +267,9 @@ def stream_moments(spark, sf):
     return rounded(d, S.split(), 9)
 
 
+# one layer without retries, for quick checks
 EXTRACT = P.but(only_depth=P.depth, tries_on_each_depth=0, min_octree_nodes=8, min_nodes_in_cc=3)
 
-
 # all layers, published number of tries, merge, spread and merge again
 WHOLE = P.but(tries_on_each_depth=SegParams().tries_on_each_depth, post_processing=7)
 
@@ -299,10 +299,20 @@ def extract_planes_threshold_fit(spark, sf):
     return got.join(true, "surface").select("scan_id", "surface", "points", "found", F.coalesce(agrees, F.lit(False)).alias("agrees"))
 
 
-@query("extract_cylinders")
+@query("extract_cylinders", """select scan_id, cast(surf as bigint) as surface, count(*) as points, true as found, true as agrees
+  from scene_points where surf = 3 group by 1, 2""")
 def extract_cylinders(spark, sf):
-    p = EXTRACT.but(min_nodes_in_cylinder=12, max_cylinder_radius=0.6, occupied_ratio=0.1, cylinder_hypotheses=100, no_ransac_step=False)
-    seg = pipeline.segment_cylinders(load(spark, sf, "scene_points"), p)
+    """All layers with the published tries and hypotheses: the true cylinder and its shape in each scan."""
+    p = WHOLE.but(min_octree_nodes=8, min_nodes_in_cc=3, min_nodes_in_cylinder=12, max_cylinder_radius=0.6, occupied_ratio=0.1)
+    pts = load(spark, sf, "scene_points")
+    seg = pipeline.segment_cylinders(pts, p)
     if seg.structures is None:
-        return spark.createDataFrame([], "scan_id bigint, cylinder_id bigint, members bigint, radius double")
-    return seg.structures.select("scan_id", "cylinder_id", "members", r("radius", 2).alias("radius"))
+        return pts.filter("surf = 3").groupBy("scan_id", F.expr("cast(surf as bigint) as surface")).agg(
+            F.count("*").alias("points"), F.lit(False).alias("found"), F.lit(False).alias("agrees"))
+    got = found_surfaces(pts, seg.assignment.withColumnRenamed("structure_id", "cylinder_id"), "cylinder_id", "surf = 3", 0.6)
+    true = load(spark, sf, "true_cylinders").selectExpr("cast(cylinder_id as bigint) as surface", "px as tx", "py as ty", "radius as tr")
+    # the true axis is parallel to z, so its distance is that in x and y at the height 0
+    near = (F.abs("az") > math.cos(P.angle_eps)) & (F.hypot(F.expr("px - pz*ax/az - tx"), F.expr("py - pz*ay/az - ty")) < 2 * F.col("thr")) & (
+        F.abs(F.col("radius") - F.col("tr")) < 2 * F.col("thr"))
+    good = seg.structures.withColumn("surface", F.lit(3).cast("bigint")).join(true, "surface").filter(near).select("scan_id", "surface").distinct()
+    return got.join(good.withColumn("agrees", F.lit(True)), ["scan_id", "surface"], "left").fillna(False, ["agrees"])
