@@ -2,11 +2,13 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from facetry import session
 from facetry.functions import geometry as G
 from facetry.functions.moments import moment_aggs, with_eigen
 from facetry.functions.vec import v
@@ -175,6 +177,30 @@ def test_radius_rows_grow_slower_than_pairs(spark):
     assert pairs[1] > 14 * pairs[0] and rows[1] < 11 * rows[0] and rows[1] < pairs[1] / 2
 
 
+def test_radius_blocks_of_any_size_equal_brute_force(spark):
+    pts = dense_cloud(1500, 5)
+    odd = spark.createDataFrame([(0, 9001, float("nan"), 0.0, 0.0), (0, 9002, 0.0, float("inf"), 0.0), (0, 9003, 0.0, 0.0, None), (None, 9004, 0.0, 0.0, 0.0)],
+                                "scan_id int, pid bigint, x double, y double, z double")
+    df = cloud_frame(spark, pts).union(odd)
+    near = [(((pts - q) ** 2) @ np.ones(3) <= 0.1 * 0.1).sum() for q in pts]
+    for in_block in (10**6, 900, 300, 1):  # whole, halved blocks, crowded cells, crowded cells only
+        got = {r.pid: r.n for r in spatial.radius_moments(df, df, 0.1, ["pid"], in_block=in_block).collect()}
+        assert got == dict(enumerate(near)), in_block
+
+
+def stored_bytes(spark):
+    folder = Path(session.shared_folder(spark).removeprefix("file:"))
+    return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+
+def test_radius_moments_store_no_rows_for_pairs(spark):
+    pts = np.column_stack([np.random.default_rng(8).uniform(0, 0.5, (8000, 2)), np.zeros(8000)])
+    df = cloud_frame(spark, pts)
+    before = stored_bytes(spark)
+    assert spatial.radius_moments(df, df, 0.1, ["pid"]).agg(F.sum("n")).first()[0] > 5_000_000
+    assert stored_bytes(spark) - before < 100 * len(pts)
+
+
 def test_radius_moments_of_nothing(spark):
     df = cloud_frame(spark, dense_cloud(30, 1))
     none = df.limit(0)
