@@ -38,7 +38,8 @@ plane_cells_part("mid_cells", 0.25)
 
 def true_planes(points, *, thr=0.05):
     """True planes of every scan as a small table."""
-    return points.select("scan_id").distinct().selectExpr("scan_id", TRUE_PLANES).withColumn("thr", F.lit(thr))
+    # stored, so that joins see how few they are and points are not dealt by plane
+    return stage(points.select("scan_id").distinct().selectExpr("scan_id", TRUE_PLANES).withColumn("thr", F.lit(thr)))
 
 
 def local(spark, sf):
@@ -108,8 +109,10 @@ part("all_cells", "select scan_id, plane_id, cx, cy from old_cells union select
   hit as (select n.scan_id, n.plane_id, n.pid from new_cells n join walk w on n.scan_id=w.scan_id and n.plane_id=w.plane_id and n.cx=w.cx and n.cy=w.cy)
   select * from hit where (select count(*) from hit h where h.scan_id=hit.scan_id and h.plane_id=hit.plane_id) > 3""")
 def grid_grow(spark, sf):
-    old = grid.refine(grid.populate(placed(spark, sf, 0.06).filter("u < -0.8"), KEY).select(*KEY, "cx", "cy"), 2)
-    new = placed(spark, sf, 0.03).filter("u >= -0.8").select(*KEY, "pid", "cx", "cy")
+    own = local(spark, sf)
+    o = grid.origins(own, KEY)
+    old = grid.refine(grid.populate(grid.with_cells(own.filter("u < -0.8"), o, KEY, 0.06), KEY).select(*KEY, "cx", "cy"), 2)
+    new = grid.with_cells(own.filter("u >= -0.8"), o, KEY, 0.03).select(*KEY, "pid", "cx", "cy")
     return grid.attached(old, new, KEY, 3).select(*KEY, "pid")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import constant_rows
+from ..session import stage
 from .components import cell_components
 
 
@@ -18,8 +19,9 @@ def with_cells(df: DataFrame, origin: DataFrame, keys, size) -> DataFrame:
 
 
 def origins(df: DataFrame, keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min("u").alias("umin"), F.max("u").alias("umax"),
-                                 F.min("v").alias("vmin"), F.max("v").alias("vmax"))
+    """Ranges of each key's rows, stored: where they are few, rows that meet them stay where they are."""
+    return stage(df.groupBy(*keys).agg(F.min("u").alias("umin"), F.max("u").alias("umax"),
+                                       F.min("v").alias("vmin"), F.max("v").alias("vmax")))
 
 
 def populate(cell_rows: DataFrame, keys) -> DataFrame:

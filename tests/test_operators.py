@@ -207,6 +207,16 @@ def test_radius_moments_of_nothing(spark):
     assert spatial.radius_moments(none, df, 0.1, ["pid"]).count() == 0 and spatial.radius_moments(df, none, 0.1, ["pid"]).count() == 0
 
 
+def test_rows_are_not_dealt_by_grid_to_meet_its_origin(spark, capsys):
+    rows = spark.range(2_000_000).selectExpr("id % 2 as scan_id", "id / 7 as u", "-id / 3 as v")
+    placed = grid.with_cells(rows, grid.origins(rows, ["scan_id"]), ["scan_id"], 0.5)
+    capsys.readouterr()
+    placed.explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(scan_id" not in plan and "BroadcastHashJoin" in plan
+    assert placed.agg(F.min("cx"), F.min("cy")).first() == (0, 0)
+
+
 def brute_classes(table, t):
     """The rule order spelled out on one image's overlap counts."""
     gts, mss = sorted({g for _, g in table if g >= 10}), sorted({m for m, _ in table if m >= 10})
