@@ -8,8 +8,8 @@ of addition, on any cluster.
 
 Counting and scoring are two passes over the texts without a shuffle of texts: each task adds up its own bucket
 table (``buckets`` rows at most), and only these tables are grouped.  The bucket weights are sent to the tasks;
-their size is ``buckets * 8`` bytes whatever the corpus.  The ids of the target sample are sent too: at most about
-``target_rows`` of them, drawn by a hash of the id when more rows are labelled good.
+their size is ``buckets * 8`` bytes whatever the corpus.  Every text labelled good counts for the target: up to
+``broadcast_ids`` ids are sent to the tasks as well, more are joined by a shuffle of the texts.
 
 Defined cases: null or empty text has no words and fails the base rules.  No good label at all: all weights are 0
 and only the base rules decide.  Contradicting labels of one document: not good.  Rows that repeat a ``doc_id``
@@ -40,7 +40,7 @@ class QualityParams:
     buckets: int = 1 << 16
     smoothing: float = 1.0
     threshold: int = -250_000  # micro-nats for each n-gram
-    target_rows: int = 200_000
+    broadcast_ids: int = 1_000_000  # good ids that are sent to every task; more are joined by a shuffle
     least_words: int = 20
     repeat_window: int = 8
     repeat_percent: int = 30
@@ -88,19 +88,19 @@ def _bucket_tables(p: QualityParams):
     return run
 
 
-def target_ids(labels: DataFrame, p: QualityParams) -> DataFrame:
-    """Ids of the texts labelled good and not toxic, a hash sample of about ``target_rows`` if there are more."""
-    good = (labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+def target_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all texts labelled good and not toxic."""
+    return (labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
             .filter("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("bigint").alias("id")))
-    n = good.count()
-    return good.filter(F.pmod(F.xxhash64("id"), F.lit(n)) < p.target_rows) if n > p.target_rows else good
 
 
 def bucket_counts(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """(bucket, target, raw): n-grams of the trusted target and of all texts in each bucket."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    flagged = rows.join(F.broadcast(target_ids(labels, p).withColumn("good", F.lit(True))), "id", "left")
-    tables = flagged.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(
+    ids = target_ids(labels)
+    # a table of ids is built, never a sort of texts
+    good = ids.withColumn("good", F.lit(True)).hint("broadcast" if ids.count() <= p.broadcast_ids else "shuffle_hash")
+    tables = rows.join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(
         _bucket_tables(p), "bucket bigint, target bigint, raw bigint")
     return tables.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 

@@ -1,9 +1,9 @@
 """Operators with a SQL counterpart on texts with all the odd cases, and on empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.llm import decontaminate, near_dedup, oracles, quality, queries, quotes, secrets, sharding
-from pyspark.sql import functions as F
 
 from . import brute, texts
 from .conftest import as_sql, same
@@ -18,6 +18,22 @@ def labels(spark, rows):
     return spark.createDataFrame([(i, None if q is None else int(q), None if t is None else int(t)) for i, q, t in rows], LABELS)
 
 
+def test_quality_counts_every_good_text(spark):
+    docs = spark.range(210_000).selectExpr("id as doc_id", "'word' as text")
+    marked = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 10 = 0 as int) as toxic")
+    assert [tuple(r)[1:] for r in quality.bucket_counts(docs, marked).collect()] == [(189_000, 210_000)]
+    few = quality.QualityParams(broadcast_ids=10)  # ids joined by a shuffle
+    again = marked.union(marked).withColumn("doc_id", F.expr("if(doc_id = 5, null, doc_id)"))
+    assert [tuple(r)[1:] for r in quality.bucket_counts(docs.union(docs.limit(1)), again, few).collect()] == [(188_999, 210_001)]
+    more = docs.selectExpr("doc_id % 105000 as doc_id", "text")
+    every = more.selectExpr("doc_id", "1 as quality", "0 as toxic").distinct()
+    for p in (few, quality.QualityParams()):
+        assert [tuple(r)[1:] for r in quality.bucket_counts(more, every, p).collect()] == [(210_000, 210_000)]
+    all_good = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    for p in (few, quality.QualityParams()):
+        assert [tuple(r)[1:] for r in quality.bucket_counts(docs, all_good, p).collect()] == [(210_000, 210_000)]
+
+
 @pytest.mark.parametrize("rows", [texts.rows(), [], [(1, None)]], ids=["all", "empty", "null"])
 class TestTexts:
     def test_quality(self, spark, docs_of, duck, rows):
