@@ -1,8 +1,9 @@
 """Connected components of grid cells and of general edges.
 
 Cells are first labelled inside blocks of 64 x 64 cells, a group of at most 4,096 rows
-whatever the size of the plane; only links between blocks enter the distributed
-large-star / small-star contraction (Kiveris et al., 2014).
+whatever the size of the plane; only links between blocks are joined up, by one task
+for groups with few of them and else by the distributed large-star / small-star
+contraction (Kiveris et al., 2014).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions.vec import constant_rows
 from ..session import is_empty, stage
 
 BLOCK_BITS = 6
+EDGES_IN_TASK = 100_000  # edges of a group that one task settles
 SHIFT = 1 << 30
 # cell code: orders cells by cx, then cy
 CODE = f"((cx + {SHIFT}L) * {2 * SHIFT}L + (cy + {SHIFT}L))"
@@ -78,10 +80,46 @@ def _block_links(local: DataFrame, keys) -> DataFrame:
     return hit.filter("a <> b").select(*keys, "a", "b").distinct()
 
 
-def connected_components(edges: DataFrame, keys=()) -> DataFrame:
-    """Edges (keys, a, b) -> (keys, node, root) with the smallest node id as root."""
+def _settled(keys):
+    """Smallest node of each node's component, for all edges of one group."""
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(pdf[["a", "b"]].to_numpy(np.int64), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        root = np.arange(len(nodes))
+        while True:
+            low, before = np.minimum(root[a], root[b]), root.copy()
+            for end in (a, b):
+                np.minimum.at(root, before[end], low)
+                np.minimum.at(root, end, low)
+            root = root[root]
+            if np.array_equal(root, before):
+                break
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(nodes) for k in keys}, "node": nodes, "root": nodes[root]})
+
+    return kernel
+
+
+def connected_components(edges: DataFrame, keys=(), in_task: int = EDGES_IN_TASK) -> DataFrame:
+    """Edges (keys, a, b) -> (keys, node, root) with the smallest node id as root.
+
+    Groups of up to ``in_task`` edges are settled by one task each, larger ones by rounds over all their edges.
+    """
     keys = list(keys)
     e = stage(edges.selectExpr(*keys, "greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct())
+    if not keys:
+        return _contracted(e, keys)
+    size = e.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = stage(size.filter(F.col("_n") > in_task).select(*keys))
+    kinds = dict(e.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", node bigint, root bigint"
+    if is_empty(large):
+        return e.groupBy(*keys).applyInPandas(_settled(keys), schema)
+    small = e.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(_settled(keys), schema)
+    return small.unionByName(_contracted(stage(e.join(large, keys, "left_semi")), keys))
+
+
+def _contracted(e: DataFrame, keys) -> DataFrame:
+    """Large-star / small-star rounds over distinct edges with a > b."""
     seal = None
     while True:
         both = e.unionByName(e.selectExpr(*keys, "b as a", "a as b"))

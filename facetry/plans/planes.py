@@ -334,8 +334,8 @@ def peel_planes(points: DataFrame, p: SegParams, most_tries: int = 100, failures
     state = stage(left.select("scan_id").distinct().selectExpr("scan_id", "0L as next", "0L as fails", "1L as width"))
     while not is_empty(state):
         crowd = left.groupBy("scan_id").agg(F.count("*").alias("c")).filter(F.col("c") > p.min_points_in_cc)
-        tries = state.join(crowd, "scan_id", "left_semi").selectExpr("scan_id", "explode(sequence(next, next + width - 1)) as attempt")
-        fits, members = fit.msac_planes(left.join(tries, "scan_id"), keys, f"{limit!r}D", p.sac_iterations, "count", seed="attempt")
+        tries = stage(state.join(crowd, "scan_id", "left_semi").selectExpr("scan_id", "explode(sequence(next, next + width - 1)) as attempt"))
+        fits, members = fit.msac_planes(left, keys, f"{limit!r}D", p.sac_iterations, "count", "attempt", tries)
         members = stage(members.select(*keys, "pid", "x", "y", "z"))
         fit_size = members.groupBy(*keys).agg(F.count("*").alias("c")).filter(F.col("c") >= p.min_points_in_cc)
         fits = stage(fits.select(*keys, "nx", "ny", "nz", "d").join(fit_size, keys, "left_semi"))
