@@ -6,6 +6,8 @@ hypotheses from it, and score every hypothesis against every point of the group.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -102,8 +104,9 @@ def axis_points(d: DataFrame, keys) -> DataFrame:
 STRIDE, SHIFT = 2305843009213693951, 2971215073
 POOL_SALTS = 32  # parts of a group that are ranked apart first
 BLOCK_POINTS = 40_000  # points of a group that are scored together
-SOME = {"plane": 1024, "cylinder": 16}  # hypotheses that are scored together
+SOME = {"plane": 1024, "cylinder": 16, "tiles": 2048}  # hypotheses that are scored together
 BOX = 512  # points that a plane meets together
+ROUGH = 2e-6  # relative to a box, far above the rounding of its distances in single precision
 SLACK = 1e-7  # far above the rounding of an error, so that boxes decide only what the test of each point would
 SET_PARTS = 16  # parts into which sets of hypotheses that share a group's points are dealt
 
@@ -248,7 +251,8 @@ def scored(points: DataFrame, hypotheses: DataFrame, keys, cols, needs, limit: s
 def plane_cost(mode: str):
     """Truncated squares (``msac``) or the negative number of inliers (``count``).
 
-    For the number of inliers, points along the Morton curve form boxes; a plane meets only the points of boxes it may reach.
+    For the number of inliers, points along the Morton curve form boxes; a plane meets only the points of boxes it may reach,
+    in single precision around the box's centre first.  Where a point is too near the limit for that, the box is counted again.
     """
     def kernel(xyz, t):
         if mode == "msac":
@@ -257,19 +261,40 @@ def plane_cost(mode: str):
                 return np.minimum(off * off, (t * t)[:, None]).sum(axis=0)
 
             return cost
+        able = np.isfinite(xyz).all(axis=1)
+        xyz, t = xyz[able], t[able]
+        if not len(xyz):
+            return lambda planes: -np.zeros(len(planes))
         order = _along_curve(xyz)
-        boxes = [(xyz[order[i:i + BOX]], t[order[i:i + BOX], None]) for i in range(0, len(order), BOX)]
+        boxes = [(xyz[order[i:i + BOX]], t[order[i:i + BOX]]) for i in range(0, len(order), BOX)]
         low, high = (np.array([f(b, axis=0) for b, _ in boxes]) for f in (np.min, np.max))
         centre, half, widest = (low + high) / 2, (high - low) / 2, np.array([limit.max() for _, limit in boxes])
+        tiles = []
+        for (points, limit), middle, reach in zip(boxes, centre, half.sum(axis=1)):
+            fill = -len(points) % 8
+            local = np.pad(np.column_stack((points - middle, np.ones(len(points)))), ((0, fill), (0, 0))).T.astype(np.float32)
+            slack = ROUGH * (reach + np.abs(limit))
+            tiles.append((local, *(np.pad(limit + s, (0, fill), constant_values=-np.inf).astype(np.float32) for s in (-slack, slack))))
+
+        def held(mask):
+            # a byte for each point: at most 64 of them are added up in each byte of a word
+            return mask.view(np.uint64).sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64)
 
         def count(planes):
-            off = np.abs(centre @ planes[:, :3].T - planes[:, 3])
-            far = off - half @ np.abs(planes[:, :3]).T > widest[:, None] + SLACK  # false where a position is no number
-            found = np.zeros(len(planes))
-            for (points, limit), missed in zip(boxes, far):
-                met = np.flatnonzero(~missed)
-                off = np.abs(points @ planes[met, :3].T - planes[met, 3])
-                found[met] += np.count_nonzero(off < limit, axis=0)
+            side = centre @ planes[:, :3].T - planes[:, 3]
+            far = np.abs(side) - half @ np.abs(planes[:, :3]).T > widest[:, None] + SLACK
+            found, normal, side = np.zeros(len(planes)), planes[:, :3].astype(np.float32), side.astype(np.float32)
+            for at, (local, surely, maybe) in enumerate(tiles):
+                met = np.flatnonzero(~far[at])
+                off = np.column_stack((normal[met], side[at, met])) @ local
+                np.abs(off, out=off)
+                least, most = held(off < surely), held(off < maybe)
+                found[met] += least
+                unsure = np.flatnonzero(least != most)
+                if len(unsure):
+                    points, limit = boxes[at]
+                    off = np.abs(points @ planes[met[unsure], :3].T - planes[met[unsure], 3])
+                    found[met[unsure]] += np.count_nonzero(off < limit[:, None], axis=0) - least[unsure]
             return -found
 
         return count
@@ -307,6 +332,69 @@ def msac_planes(points: DataFrame, keys, limit: str, count: int = 100, mode: str
     return refined, plane_inliers(points, refined, own, limit, extra=extra)
 
 
+def _drawn_triples(n: int, count: int, seed: int):
+    """``drawn`` for one pool of ``n`` points and width 3: ranks a, b, c."""
+    total = n * (n - 1) // 2 * (n - 2) // 3
+    r = (np.arange(min(count, total)) * (STRIDE % total) + seed * SHIFT % total) % total
+    f = np.floor(np.cbrt(6.0 * r)).astype(np.int64)
+    c = np.where((f + 2) * (f + 1) * f <= 6 * r, f + 2, np.where((f + 1) * f * (f - 1) <= 6 * r, f + 1, f))
+    r = r - c * (c - 1) * (c - 2) // 6
+    g = np.floor(np.sqrt(2.0 * r)).astype(np.int64)
+    b = np.where((g + 1) * g <= 2 * r, g + 1, g)
+    return r - b * (b - 1) // 2, b, c
+
+
+def _pca_plane(xyz: np.ndarray):
+    """``pca_planes`` of one group of rows: (normal, distance), or None."""
+    n = len(xyz)
+    if n < 3:
+        return None
+    mean = xyz.sum(axis=0) / n
+    c = xyz.T @ xyz / n - np.outer(mean, mean)
+    q = np.trace(c) / 3
+    dev = c - q * np.eye(3)
+    spread = math.sqrt((dev * dev).sum() / 6)
+    if not spread < math.inf:
+        return None
+    cube = 2 * spread * spread * spread
+    phi = math.acos(min(max(np.linalg.det(dev) / cube if cube else 0.0, -1.0), 1.0)) / 3
+    u = c - (q + 2 * spread * math.cos(phi + 2 * math.pi / 3)) * np.eye(3)
+    ways = [np.cross(u[0], u[1]), np.cross(u[0], u[2]), np.cross(u[1], u[2])]
+    lengths = [math.sqrt(w @ w) for w in ways]
+    best = 0 if lengths[0] >= lengths[1] and lengths[0] >= lengths[2] else 1 if lengths[1] >= lengths[2] else 2
+    if not lengths[best] > 0:
+        return None
+    normal = ways[best] / lengths[best]
+    d = float(normal @ mean)
+    return (-normal, -d) if d < 0 else (normal, d)
+
+
+def count_plane(pid: np.ndarray, xyz: np.ndarray, limit: float, count: int, seed: int):
+    """``msac_planes`` of one group in memory, by the number of inliers: (normal, distance, which points are members), or None."""
+    order = draw_numbers(pid, seed)
+    size = min(3 * count, len(pid))
+    low = np.flatnonzero(order <= np.partition(order, size - 1)[size - 1]) if len(pid) else np.empty(0, int)
+    pool = xyz[low[np.lexsort((pid[low], order[low]))][:size]]
+    if len(pool) < 3:
+        return None
+    a, b, c = (pool[at] for at in _drawn_triples(len(pool), count, seed))
+    ray = np.cross(b - a, c - a)
+    r = np.sqrt((ray * ray).sum(axis=1))
+    kept = r > 1e-12
+    ray, r, a = ray[kept], r[kept], a[kept]
+    if not len(r):
+        return None
+    d = (ray * a).sum(axis=1) / r
+    planes = np.column_stack((ray / r[:, None], d)) * np.where(d < 0, -1.0, 1.0)[:, None]
+    of = plane_cost("count")(xyz, np.full(len(xyz), limit))
+    cost = np.concatenate([of(planes[i:i + SOME["plane"]]) for i in range(0, len(planes), SOME["plane"])])
+    best = planes[cost.argmin()]
+    refined = _pca_plane(xyz[np.abs(xyz @ best[:3] - best[3]) < limit])
+    if refined is None:
+        return None
+    return *refined, np.abs(xyz @ refined[0] - refined[1]) < limit
+
+
 def cylinder_hypotheses(pool: DataFrame, keys, count: int, r_min: float, r_max: float, seed: int | str = 0) -> DataFrame:
     """Cylinders through oriented point pairs: axis f_n x g_n, circle in the plane across it."""
     d = drawn(pool, keys, count, 2, seed).withColumnsRenamed({"a": "f", "b": "g"})
@@ -379,11 +467,11 @@ def _normal_boxes(xyz, normal, t):
 
 def cylinder_cost(weight: float):
     """The negative number of inliers by surface distance and normal deviation."""
-    bounds = cylinder_bounds(weight)
+    counts = cylinder_counts(weight)
 
     def kernel(rows, t):
-        of = bounds(rows, t)
-        return lambda shapes: -of(shapes)[0]
+        of = counts(rows, t)
+        return lambda shapes: -of(shapes)
 
     return kernel
 
@@ -450,6 +538,80 @@ def cylinder_bounds(weight: float):
     return kernel
 
 
+TILE, TILE_SHAPES = 512, 64  # neighbouring points, and cylinders, that meet in one product of matrices
+TOLD = 1e-8  # distances this near the limit, far above the rounding of products, are computed point by point
+
+
+def cylinder_counts(weight: float):
+    """The exact number of inliers by surface distance and normal deviation, as in ``cylinder_hits``.
+
+    Neighbouring points form tiles; a tile is dropped where its distance from the surface allows it, and meets the other
+    cylinders in products of matrices around its centre.  The angle is told by bounds of its cosine; pairs between the bounds,
+    near the limit or near the axis are computed one by one.
+    """
+    near, part = 1 - weight, max(weight, 1e-300)
+
+    def kernel(rows, t):
+        able = np.isfinite(rows).all(axis=1)
+        rows, t, tiles = rows[able], t[able], []
+        if len(rows):
+            order = _along_curve(rows[:, :3])
+            rows, t = rows[order], t[order]
+        for i in range(0, len(rows), TILE):
+            xyz, normal, limit = rows[i:i + TILE, :3], rows[i:i + TILE, 3:], t[i:i + TILE]
+            centre = (xyz.min(axis=0) + xyz.max(axis=0)) / 2
+            local = xyz - centre
+            square = (local * local).sum(axis=1)
+            tiles.append((centre, np.sqrt(square.max()), np.column_stack((local, np.ones(len(local)), square)), np.column_stack((normal, (local * normal).sum(axis=1))),
+                          limit, np.ascontiguousarray(xyz.T), np.ascontiguousarray(normal.T)))
+
+        def count(shapes):
+            found, columns = np.zeros(len(shapes)), np.ascontiguousarray(shapes.T)
+            p, axis, radius = shapes[:, :3], shapes[:, 3:6], shapes[:, 6]
+            for centre, reach, local, normal, limit, xyz, normals in tiles:
+                o = centre - p
+                o -= (o * axis).sum(axis=1)[:, None] * axis
+                span = (o * o).sum(axis=1)
+                met = np.flatnonzero(~(near * (np.abs(np.sqrt(span) - radius) - reach) > limit.max() + SLACK))
+                for first in range(0, len(met), TILE_SHAPES):
+                    some = met[first:first + TILE_SHAPES]
+                    a, foot, scale = axis[some].T, o[some].T, span[some] + reach * reach
+                    slack = TOLD * np.sqrt(scale)
+                    h = local[:, :3] @ a
+                    dist = local @ np.vstack((2 * foot, span[some], np.ones(len(some))))
+                    dist -= h * h
+                    close = dist <= 1e-4 * scale
+                    np.sqrt(np.maximum(dist, 0, out=dist), out=dist)
+                    h *= normal[:, :3] @ a
+                    dot = normal @ np.vstack((foot, np.ones(len(some))))
+                    dot -= h
+                    np.abs(dot, out=dot)
+                    turn = np.abs(dist - radius[some])
+                    turn *= -near
+                    turn += limit[:, None]
+                    able = turn > -slack
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        turn /= part
+                        turn *= turn
+                        # cos(t) lies between 1 - t^2/2 + t^4/24 - t^6/720 and the same without its last term
+                        most = (turn / 24 - 0.5) * turn + 1
+                        turn *= turn * turn / 720
+                        least = most - turn
+                        inside = able & (dot > most * dist + slack) & ~close
+                        told = inside | ~(able | close) | (dot < least * dist - slack) & ~close
+                    found[some] += np.count_nonzero(inside, axis=0)
+                    at, of = np.nonzero(~told)
+                    of = some[of]
+                    ray, dist, off = _radial(xyz, columns, at, of)
+                    hit = near * off + weight * _turn(ray, dist, normals, at) < limit[at]
+                    found += np.bincount(of[hit], minlength=len(shapes))
+            return found
+
+        return count
+
+    return kernel
+
+
 def cylinder_hits(xyz, normal, shape, limit: float, weight: float):
     """Which points (rows of 3 x n) a cylinder accepts, by the same test as in ``cylinder_bounds``."""
     o, dist, off = _radial(xyz, np.asarray(shape, float)[:, None], slice(None), 0)
@@ -460,7 +622,7 @@ def score_cylinders(points: DataFrame, hypotheses: DataFrame, keys, limit: str,
     """Hypothesis with the most inliers per group."""
     keys = list(keys)
     cols = ["px", "py", "pz", "ax", "ay", "az", "radius"]
-    costs = scored(points, hypotheses, keys, cols, ["x", "y", "z", "nx", "ny", "nz"], limit, cylinder_cost(weight), SOME["cylinder"])
+    costs = scored(points, hypotheses, keys, cols, ["x", "y", "z", "nx", "ny", "nz"], limit, cylinder_cost(weight), SOME["tiles"])
     best = costs.groupBy(*keys).agg(F.min_by("k", F.struct("cost", "k")).alias("k"), (-F.min("cost")).cast("bigint").alias("inliers"))
     return hypotheses.join(best, [*keys, "k"]).select(*keys, "k", *cols, "inliers")
 

@@ -13,8 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import EPS32
 from ..functions.vec import v
 from ..operators import assign, claims, fit, grid, hist, octree, sphere
+from ..operators.components import label_cells
+from ..operators.fit import count_plane
 from ..params import SegParams
 from .book import Book, is_empty, stack, stage
 
@@ -319,17 +322,86 @@ def extract_planes(points: DataFrame, p: SegParams):
     return book, keyed, nodes
 
 
-def peel_planes(points: DataFrame, p: SegParams, most_tries: int = 100, failures: int = 100):
+POINTS_IN_TASK = 1_000_000  # points of a scan that one task peels
+
+
+def _frame(n):
+    """First two rows of the rotation that turns a unit normal onto z, as in ``geometry.frame``."""
+    x, y, z = n
+    if z < -1.0 + EPS32:
+        return np.array(((-1.0, 0.0, 0.0), (0.0, 1.0, 0.0)))
+    k = 1.0 / (1.0 + z)
+    return np.array(((z + y * y * k, -x * y * k, -x), (-x * y * k, z + x * x * k, -y)))
+
+
+def _large_parts(xyz: np.ndarray, normal: np.ndarray, d: float, p: SegParams) -> np.ndarray:
+    """Number of each member's part, from 1 in the order of the parts' first cells, among those with enough points; else 0."""
+    u, v_ = _frame(normal) @ (xyz - normal * d).T
+    cell = np.stack([np.floor((c - c.min()) / p.min_sac_distance).astype(np.int64) for c in (u, v_)])
+    cells, at = np.unique(cell, axis=1, return_inverse=True)
+    first, part = np.unique(label_cells(*cells), return_inverse=True)
+    part = part[at.ravel()]
+    n = np.bincount(part)
+    least, most = sorted((p.min_octree_nodes, p.min_nodes_in_cc))
+    good = (n > np.where(np.arange(len(first)) == 0, most, least)) & (n >= p.min_points_in_cc)
+    return np.where(good, np.cumsum(good), 0)[part]
+
+
+def _peeled(p: SegParams, failures: int):
+    """All fits of one scan, one after the other: the claimed points with their plane."""
+    def kernel(points: pd.DataFrame) -> pd.DataFrame:
+        pid, xyz = points["pid"].to_numpy(np.int64), points[["x", "y", "z"]].to_numpy(float)
+        scan, out, attempt, failed = points["scan_id"].iloc[0], [], 0, 0
+        while len(pid) > p.min_points_in_cc and failed < failures:
+            best = count_plane(pid, xyz, p.min_sac_distance, p.sac_iterations, attempt)
+            if best is None or np.count_nonzero(best[2]) < p.min_points_in_cc:
+                break
+            normal, d, member = best
+            mine = np.flatnonzero(member)
+            part = _large_parts(xyz[mine], normal, d, p)
+            if part.any():
+                mine, part = mine[part > 0], part[part > 0]
+                out.append(pd.DataFrame(dict(zip("xyz", xyz[mine].T)) | {"pid": pid[mine], "plane_id": (attempt << 24) + part}
+                                        | dict(zip(("nx", "ny", "nz", "d"), (*normal, d)))))
+                left = ~np.isin(pid, pid[mine])
+                pid, xyz = pid[left], xyz[left]
+            else:
+                failed += 1
+            attempt += 1
+        return pd.concat(out).assign(scan_id=scan)[CLAIMED] if out else pd.DataFrame({c: [] for c in CLAIMED})
+
+    return kernel
+
+
+CLAIMED = [*PLANE, "pid", "x", "y", "z", "nx", "ny", "nz", "d"]
+
+
+def peel_planes(points: DataFrame, p: SegParams, most_tries: int = 100, failures: int = 100, in_task: int = POINTS_IN_TASK):
     """Consensus-only planes: fit all remaining points, split into parts, claim, repeat: Book.
 
-    A scan ends when a fit gets too few points, or after ``failures`` fits without a large enough part.  A failed fit
-    leaves the points as they were, so the fits after it are independent of each other: they are made in one pass, keyed
-    by (scan, attempt), ten times as many as in the pass before and at most ``most_tries``, and the first one that claims
-    or ends counts.  The result is that of one fit after the other; a pass is one chain of jobs however many fits it makes.
+    A scan ends when a fit gets too few points, or after ``failures`` fits without a large enough part.  Each plane needs the
+    points that the planes before it have left, so scans of up to ``in_task`` points are peeled by one task each.
+
+    Larger scans take a chain of jobs for a pass.  A failed fit leaves the points as they were, so the fits after it are
+    independent of each other: they are made in one pass, keyed by (scan, attempt), ten times as many as in the pass before
+    and at most ``most_tries``, and the first one that claims or ends counts.  The result is that of one fit after the other.
     """
     book = Book()
-    left = stage(points.select("scan_id", "pid", "x", "y", "z"))
+    cloud = points.select("scan_id", "pid", "x", "y", "z")
     limit, keys = p.min_sac_distance, ["scan_id", "attempt"]
+    size = cloud.filter("scan_id is not null").groupBy("scan_id").agg(F.count("*").alias("c"), F.count("pid").alias("named"))
+    small = stage(size.filter(f"c <= {in_task} and named = c").select("scan_id"))
+    if not is_empty(small):
+        rows = cloud.join(small, "scan_id").select("scan_id", F.col("pid").cast("bigint").alias("pid"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
+        schema = f"scan_id {dict(cloud.dtypes)['scan_id']}, plane_id bigint, pid bigint, " + ", ".join(f"{c} double" for c in CLAIMED[3:])
+        claimed = stage(rows.groupBy("scan_id").applyInPandas(_peeled(p, failures), schema))
+        if not is_empty(claimed):
+            good = claimed.select(*PLANE, "nx", "ny", "nz", "d").distinct().withColumn("thr", F.lit(limit))
+            table, cells = describe(good, claimed.select(*PLANE, "pid", "x", "y", "z"), limit)
+            book.add_structures(table.withColumn("layer", F.lit(0)), cells)
+            book.assignment.append(claimed.select("scan_id", "pid", "plane_id"))
+        cloud = cloud.join(small, "scan_id", "left_anti")
+    left = stage(cloud)
     # the next attempt, failures so far, and how many attempts the next pass makes
     state = stage(left.select("scan_id").distinct().selectExpr("scan_id", "0L as next", "0L as fails", "1L as width"))
     while not is_empty(state):

@@ -55,3 +55,18 @@ def test_tries_in_one_pass_are_the_tries_one_by_one(spark):
     owned = [sorted(tuple(r) for r in stack(b.assignment).select("scan_id", "pid", "plane_id").collect()) for b in books]
     assert shapes[0] == shapes[1] and owned[0] == owned[1]
     assert len(shapes[0]) >= 4 and len({r[:2] for r in owned[0]}) == len(owned[0])
+
+
+def test_scans_peeled_in_a_task_are_those_peeled_by_jobs(spark):
+    """A scan in one task gives the planes and points of the chain of jobs; it took a chain for each plane before."""
+    p = P.but(min_sac_distance=0.2, min_points_in_cc=60, sac_iterations=40)
+    pts = cloud(spark)
+    odd = spark.createDataFrame([(0, 9001, float("nan"), 0.0, 0.0), (0, 9002, 0.0, None, 0.0), (None, 9003, 0.0, 0.0, 0.0)],
+                                "scan_id int, pid bigint, x double, y double, z double")
+    pts = pts.select("scan_id", "pid", "x", "y", "z").unionByName(odd.withColumn("scan_id", F.col("scan_id").cast(dict(pts.dtypes)["scan_id"])))
+    pts = pts.unionByName(pts.filter("pid % 50 = 7"))  # rows that come twice
+    books = [planes.peel_planes(pts, p, failures=3, in_task=n) for n in (0, 10**6)]
+    shapes = [sorted(tuple(r) for r in b.structures.select("scan_id", "plane_id", "members", *(F.round(c, 9) for c in ("nx", "ny", "nz", "d", "area"))).collect()) for b in books]
+    owned = [sorted(tuple(r) for r in stack(b.assignment).select("scan_id", "pid", "plane_id").collect()) for b in books]
+    cells = [sorted(tuple(r) for r in b.cells.collect()) for b in books]
+    assert shapes[0] == shapes[1] and owned[0] == owned[1] and cells[0] == cells[1] and len(shapes[0]) >= 4

@@ -69,3 +69,33 @@ def test_sets_share_their_points(spark):
         shapes = [sorted(tuple(r) for r in f.select(*keys, "n", *(F.round(c, 9) for c in ("nx", "ny", "nz", "d"))).collect()) for f, _ in got]
         held = [sorted(tuple(r) for r in m.select(*keys, "pid").collect()) for _, m in got]
         assert shapes[0] == shapes[1] and len(shapes[0]) == 6 and held[0] == held[1]
+
+
+def test_cylinder_counts_by_products_are_those_of_single_points():
+    """Tiles of points meet cylinders in products of matrices; before, every cylinder went down the boxes."""
+    rng = np.random.default_rng(6)
+    turn = rng.uniform(0, 2 * np.pi, 1500)
+    tube = np.column_stack([0.3 + 0.3 * np.cos(turn), -0.2 + 0.3 * np.sin(turn), rng.uniform(-1, 1, 1500), np.cos(turn), np.sin(turn), np.zeros(1500)])
+    noise = np.column_stack([rng.uniform(-1.5, 1.5, (700, 3)), rng.normal(size=(700, 3))])
+    points = np.vstack([tube, noise, np.full((40, 6), 0.1), [[np.nan] * 6, [0.3, -0.2, 0.0, 0.0, 0.0, 1.0]]])
+    points[:, 3:] /= np.linalg.norm(points[:, 3:], axis=1)[:, None]
+    axes = rng.normal(size=(60, 3))
+    shapes = np.column_stack([rng.uniform(-1, 1, (60, 3)), axes / np.linalg.norm(axes, axis=1)[:, None], rng.uniform(0.001, 3, 60)])
+    shapes = np.vstack([shapes, [[0.3, -0.2, 50.0, 0.0, 0.0, 1.0, 0.3], [0.3, -0.2, 0.0, 0.0, 0.0, 1.0, 0.001], [np.nan] * 7]])
+    for weight in (0.0, 0.001, 0.1, 1.0):
+        for limit in (0.05, 0.3, 2.0):
+            got = fit.cylinder_counts(weight)(points, np.full(len(points), limit))(shapes)
+            want = [np.count_nonzero(fit.cylinder_hits(points[:, :3].T, points[:, 3:].T, s, limit, weight)) for s in shapes]
+            assert got.tolist() == want, (weight, limit)
+
+
+def test_plane_counts_in_single_precision_are_exact():
+    """Points at the limit, far from the origin, are counted as in double precision."""
+    rng = np.random.default_rng(7)
+    points = rng.uniform(-1, 1, (3000, 3)) + [1000.0, -2000.0, 500.0]
+    points[::7, 2] = 500.05 + rng.choice([-1e-9, 0.0, 1e-9], len(points[::7]))
+    normals = rng.normal(size=(50, 3))
+    normals = np.vstack([normals / np.linalg.norm(normals, axis=1)[:, None], [[0.0, 0.0, 1.0]]])
+    planes = np.column_stack([normals, (normals * np.vstack([points[:50], [[0.0, 0.0, 500.0]]])).sum(axis=1)])
+    got = fit.plane_cost("count")(points, np.full(len(points), 0.05))(planes)
+    assert (-got).tolist() == [np.count_nonzero(np.abs(points @ n[:3] - n[3]) < 0.05) for n in planes]
