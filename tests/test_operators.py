@@ -201,6 +201,22 @@ def test_radius_moments_store_no_rows_for_pairs(spark):
     assert stored_bytes(spark) - before < 100 * len(pts)
 
 
+def test_crowded_cells_store_no_rows_for_boxes(spark, monkeypatch):
+    """Cells beyond the limit of a block stored a row for each query and cut box; now positions pass the queries in chunks."""
+    monkeypatch.setattr(spatial, "QUERIES_HELD", 900)
+    monkeypatch.setattr(spatial, "CHUNK", 500)
+    pts = np.column_stack([np.random.default_rng(9).uniform(0, 0.5, (4000, 2)), np.zeros(4000)])
+    pts = np.vstack([pts, np.full((1500, 3), 0.25)])
+    df = cloud_frame(spark, pts)
+    before = stored_bytes(spark)
+    got = {r.pid: (r.n, r.sx, r.sxy) for r in spatial.radius_moments(df, df, 0.1, ["pid"], in_block=100).collect()}
+    assert stored_bytes(spark) - before < 100 * len(pts)
+    assert len(got) == len(pts)
+    for i in range(0, len(pts), 11):
+        near = pts[((pts - pts[i]) ** 2) @ np.ones(3) <= 0.1 * 0.1]
+        assert got[i][0] == len(near) and np.allclose(got[i][1:], [near[:, 0].sum(), near[:, 0] @ near[:, 1]])
+
+
 def test_radius_moments_of_nothing(spark):
     df = cloud_frame(spark, dense_cloud(30, 1))
     none = df.limit(0)
